@@ -9,7 +9,7 @@ about a million tokens and carries its last, unfilled sequence into the next blo
 sequence of a task is padded much, and one whose length is a power of two not at all. No shuffle.
 
 Texts split at ASCII white space tokenize word by word to the same ids (the vocabulary's words never span
-it), so each word is encoded once a task and looked up afterwards.
+it), so each word is encoded once a worker and looked up afterwards.
 
 Defined results: a null or empty text is the end id alone; ids may be null or repeat; no row is dropped.
 """
@@ -36,7 +36,7 @@ _SPAN = 256
 class WordCoder:
     """Ids of texts through a cache of words."""
 
-    def __init__(self, path: str | None, most: int = 300_000):
+    def __init__(self, path: str | None, most: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -49,39 +49,70 @@ class WordCoder:
         self._reset()
 
     def _reset(self):
-        self.index: dict[bytes, int] = {}
-        self.pool, self.starts, self.sizes, self.used = np.zeros(1 << 16, np.uint32), [], [], 0
+        self.index: dict[bytes, int] = {}  # words as they stand
+        self.parts: dict[bytes, tuple[int, int]] = {}  # what the vocabulary codes: start in the pool, length
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _put(self, ids) -> tuple[int, int]:
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids), len(ids)
 
     def _learn(self, new: list[bytes]) -> None:
-        for got in self.coder.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False):
-            ids = got.ids
-            while self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.starts.append(self.used)
-            self.sizes.append(len(ids))
-            self.used += len(ids)
+        """Codes unseen words. ASCII letter case never matters, nor does what stands before end marks after an ASCII letter or digit."""
+        split = []
+        for w in new:
+            low = w if b"<|" in w else w.lower()
+            core = low.rstrip(b".,;:!?")
+            split.append((core, low[len(core) :]) if len(core) < len(low) and core[-1:].isalnum() and len(low) < 1 << 12 else (low, b""))
+        parts = self.parts
+        unseen = list(dict.fromkeys(x for pair in split for x in pair if x and x not in parts))
+        for lo in range(0, len(unseen), 20_000):
+            some = unseen[lo : lo + 20_000]
+            for x, got in zip(some, self.coder.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
+                ids = got.ids
+                parts[x] = self._put(ids)
         n = len(self.index)
-        self.index.update((w, n + k) for k, w in enumerate(new))
+        while n + len(new) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        for k, (w, (core, mark)) in enumerate(zip(new, split)):
+            start, size = parts[core]
+            if mark:
+                begin, more = parts[mark]
+                start, size = self._put(np.concatenate([self.pool[start : start + size], self.pool[begin : begin + more]]))
+            self.index[w] = n + k
+            self.starts[n + k], self.sizes[n + k] = start, size
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, the end id after each text, and where each text ends."""
         each = [t.split() for t in texts]
         if len(self.index) > self.most:
             self._reset()
-        get = self.index.get
-        if new := list(dict.fromkeys(w for ws in each for w in ws if w not in self.index)):
+        flat = [w for ws in each for w in ws]
+        index = self.index
+        if new := list(set(flat).difference(index)):
             self._learn(new)
-        which = np.array([get(w) for ws in each for w in ws], np.int64)
-        sizes = np.array(self.sizes, np.int64)[which] if len(which) else which
-        starts = np.array(self.starts, np.int64)[which] if len(which) else which
-        words = np.cumsum([len(ws) for ws in each])
+        which = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+        sizes = self.sizes[which]
         upto = np.r_[0, np.cumsum(sizes)]
-        body = self.pool[ragged(starts, sizes)]
-        ends = upto[words]
+        ends = upto[np.cumsum([len(ws) for ws in each])]
+        body = self.pool[ragged(self.starts[which], sizes)]
         return np.insert(body, ends, end), ends + np.arange(1, len(texts) + 1)
 
 
+_CODERS: dict = {}
+
+
+def coder_of(path: str | None) -> WordCoder:
+    """The coder of this worker: what it has learned serves the tasks after."""
+    if path not in _CODERS:
+        _CODERS[path] = WordCoder(path)
+    return _CODERS[path]
+
+
 def choose(cuts: list[int], penalty: list[int], capacity: int = CAPACITY) -> list[int]:
     """The indexes of `cuts` (the first and last included) of least padding and penalties."""
     n = len(cuts)
@@ -174,7 +205,7 @@ def _run(text: str, key: str, key_type: pa.DataType, path: str | None, end: int,
         )
 
     def run(batches):
-        coder = WordCoder(path)
+        coder = coder_of(path)
         packer = _Packer(TaskContext.get().partitionId() << 32, capacity, block)
         for batch in batches:
             for part in chunks(batch, text):
