@@ -46,6 +46,7 @@ class WordCoder:
         ends = [i for t, i in self.coder.get_vocab().items() if any(c in t for c in ".!?") and not any(c.isalnum() for c in t.removesuffix("</w>"))]
         self.ends = np.zeros(self.coder.get_vocab_size() + 1, bool)
         self.ends[ends] = True
+        self.mark = self.coder.encode(";", add_special_tokens=False).ids[0]
         self._reset()
 
     def _reset(self):
@@ -61,6 +62,19 @@ class WordCoder:
         self.used += len(ids)
         return self.used - len(ids), len(ids)
 
+    def _coded(self, some: list[str]) -> list:
+        """Ids of each word. Words are coded in one text, between marks that none of them holds."""
+        if not any(";" in w for w in some):
+            ids = np.array(self.coder.encode_batch_fast([" ; ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) == len(some) - 1:
+                return [ids[a:b] for a, b in zip(np.r_[0, at + 1], np.r_[at, len(ids)])]
+        if len(some) > 1:
+            easy = [w for w in some if ";" not in w]
+            done = dict(zip(easy, self._coded(easy))) if 0 < len(easy) < len(some) else {}
+            return [done[w] if w in done else self._coded([w])[0] for w in some]
+        return [x.ids for x in self.coder.encode_batch_fast(some, add_special_tokens=False)]
+
     def _learn(self, new: list[bytes]) -> None:
         """Codes unseen words. ASCII letter case never matters, nor does what stands before end marks after an ASCII letter or digit."""
         split = []
@@ -70,10 +84,9 @@ class WordCoder:
             split.append((core, low[len(core) :]) if len(core) < len(low) and core[-1:].isalnum() and len(low) < 1 << 12 else (low, b""))
         parts = self.parts
         unseen = list(dict.fromkeys(x for pair in split for x in pair if x and x not in parts))
-        for lo in range(0, len(unseen), 20_000):
-            some = unseen[lo : lo + 20_000]
-            for x, got in zip(some, self.coder.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
-                ids = got.ids
+        for lo in range(0, len(unseen), 5_000):
+            some = unseen[lo : lo + 5_000]
+            for x, ids in zip(some, self._coded([w.decode("utf-8", "replace") for w in some])):
                 parts[x] = self._put(ids)
         n = len(self.index)
         while n + len(new) > len(self.starts):
