@@ -76,7 +76,7 @@ def executions(rows: DataFrame) -> DataFrame:
     """Executed statements with local time, hour and microseconds; rows of unknown zone or time are left out."""
     zones = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
     local = F.to_timestamp_ntz(F.concat_ws(" ", "date", F.substring("time", 1, 8)), F.lit("yyyy-MM-dd HH:mm:ss"))
-    good = rows.filter(F.col("prepared_step").isin("statement", "execute")).withColumn("zone", F.element_at(zones, "timezone")).filter(F.col("zone").isNotNull() & F.concat_ws(" ", "date", F.substring("time", 1, 8)).rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"))
+    good = rows.filter(F.col("prepared_step").isin("statement", "execute")).withColumn("zone", zones[F.col("timezone")]).filter(F.col("zone").isNotNull() & F.concat_ws(" ", "date", F.substring("time", 1, 8)).rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"))
     return good.withColumn("local_time", local).select(
         "file", "entry_no", "local_time", F.date_trunc("hour", "local_time").cast("timestamp_ntz").alias("hour"), F.convert_timezone(F.col("zone"), F.lit("UTC"), F.col("local_time")).alias("utc_time"),
         "user", "database", "query", microseconds(F.col("duration_lit"), F.col("duration_measure")).alias("duration_us"),
