@@ -12,9 +12,10 @@ If both sets of a pair are deficient they meet there; otherwise one has an equal
 neither empty nor shared often, and they meet in it. No pair is lost.
 
 Hash shards receive packed (key, class) arrays and give the pairs of small buckets; a large bucket gives its
-rows and links to its least member only. Round one verifies for each class the best partner alone and
-joins what is proven into components; round two verifies every candidate pair, and all pairs of deficient
-sets in large buckets that a parity bitmap leaves possible, that still lie in different components.
+rows and links to its least member only. Parity bitmaps drop pairs that cannot be linked. Round one verifies
+for each class the best partner alone and joins what is proven into components; round two does so for the
+nearest set in another component; the last verifies every candidate pair, and all pairs of deficient
+sets in large buckets that the bitmaps leave possible, that still lie in different components.
 Large buckets are cut into a grid of bounded cells. Sets are hashed to 64 bits, tokens too.
 
 Defined results: no words or null text: size 0, linked with nothing; fewer words than a shingle: the whole
@@ -144,6 +145,11 @@ def _signatures(sets: list[np.ndarray], schemes: Schemes):
     return info, np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.concatenate(owners) if owners else np.zeros(0, np.int64)
 
 
+def _bitmap(s: np.ndarray) -> bytes:
+    """512 parities: two sets differ in as many tokens at least as their bitmaps do in bits."""
+    return np.packbits((np.bincount((mix(s, 21) & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).tobytes()
+
+
 def _classify(width: int):
     def run(batches):
         for batch in batches:
@@ -151,7 +157,7 @@ def _classify(width: int):
                 sets = shingle_sets([x.as_py() or b"" for x in column(part, "text").cast(pa.binary())], width)
                 cls = np.array([class_of(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 none = np.array([not len(s) for s in sets], bool)
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64(), mask=none)], names=["doc_id", "n_shingles", "cls"])
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64(), mask=none), pa.array([_bitmap(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "cls", "bits"])
 
     return run
 
@@ -256,8 +262,7 @@ def _sets(width: int):
             for part in chunks(batch, "text"):
                 for s, want in zip(shingle_sets([x.as_py() or b"" for x in column(part, "text").cast(pa.binary())], width), column(part, "cls").to_pylist()):
                     if np.uint64(class_of(s)).astype(np.int64) == want:
-                        bits = np.bincount((mix(s, 21) & np.uint64(511)).astype(np.int64), minlength=512) & 1
-                        yield pa.RecordBatch.from_arrays([pa.array([want], pa.int64()), pa.array([len(s)], pa.int64()), pa.array([s.tobytes()], pa.binary()), pa.array([np.packbits(bits.astype(np.uint8)).tobytes()], pa.binary())], names=["cls", "n", "tokens", "bits"])
+                        yield pa.RecordBatch.from_arrays([pa.array([want], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["cls", "tokens"])
 
     return run
 
@@ -278,8 +283,22 @@ def _verify(percent: int):
     return run
 
 
-def _cells(percent: int):
-    """Pairs in one cell of a large bucket: other component, sizes and bitmaps that allow a link."""
+def _possible(percent: int):
+    """Of (a, b, times, n and bitmap of each) the pairs whose bitmaps allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, 8) for c in (4, 6))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            total = batch.column(3).to_numpy() + batch.column(5).to_numpy()
+            at = pa.array(differ * (100 + percent) <= total * (100 - percent), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(at) for k in range(3)], names=["a", "b", "times"])
+
+    return run
+
+
+def _cells(percent: int, best: bool):
+    """Pairs in one cell of a large bucket: other component, sizes and bitmaps that allow a link; `best`: for each set its nearest only."""
 
     def run(t: pa.Table) -> pa.Table:
         cls, root, n = (t[c].to_numpy() for c in ("cls", "root", "n"))
@@ -294,6 +313,12 @@ def _cells(percent: int):
             ok = (root[l][:, None] != root[right]) & (100 * np.minimum(n[l][:, None], n[right]) >= percent * np.maximum(n[l][:, None], n[right])) & (differ * (100 + percent) <= total * (100 - percent))
             if i == j:
                 ok &= l[:, None] < right
+            if best and ok.any():
+                far = np.where(ok, differ, 1 << 20)
+                near = np.zeros_like(ok)
+                near[np.arange(len(l)), far.argmin(axis=1)] = True
+                near[far.argmin(axis=0), np.arange(len(right))] = True
+                ok &= near
             r, c = np.nonzero(ok)
             x, y = cls[l[r]], cls[right[c]]
             out.append(np.stack([np.maximum(x, y), np.minimum(x, y)], 1))
@@ -312,37 +337,46 @@ def _proven(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the least id reachable by links of Jaccard similarity `percent` or more."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    members = stored(docs.mapInArrow(_classify(width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls long"), "classes")
+    members = stored(docs.mapInArrow(_classify(width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls long, bits binary"), "classes")
     linked = docs.filter("doc_id is not null and text is not null")
     shards = pieces(docs, 16 << 20, 32)
     met = stored(linked.select("text").mapInArrow(_sign(width, percent, shards), "shard int, keys binary, owners binary, info binary").groupBy("shard").applyInArrow(_meet(percent), _MET), "met")
+    sketch = stored(members.filter("doc_id is not null and cls is not null").dropDuplicates(["cls"]).select("cls", F.col("n_shingles").alias("n"), "bits"), "sketch")
     counted = met.filter("kind <> 'row'").groupBy("a", "b").agg(F.count("*").alias("times"))
-    pairs = stored(counted, "pairs")
+    for side in ("a", "b"):
+        counted = counted.join(sketch.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
+    pairs = stored(counted.select("a", "b", "times", "na", "bitsa", "nb", "bitsb").mapInArrow(_possible(percent), "a long, b long, times long"), "pairs")
     # deficient: more segments left out than the slack allows
     short = met.filter("kind = 'row'").groupBy(F.col("a").alias("cls"), F.col("b").alias("low")).agg(F.count("*").alias("n"), F.min("slack").alias("slack")).filter("n > slack").select("cls", "low")
     rows = stored(met.filter("kind = 'row'").select(F.col("a").alias("cls"), F.col("b").alias("low"), "bucket").join(short, ["cls", "low"]).select("bucket", "cls").distinct(), "buckets")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(rows.select("cls")).distinct()
     chosen = stored(members.filter("doc_id is not null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls", "left_semi"), "chosen")
     few = chosen.count() <= 1 << 20  # 16 bytes each
-    sets = stored(docs.join(F.broadcast(chosen) if few else chosen, "doc_id").select("cls", "text").mapInArrow(_sets(width), "cls long, n long, tokens binary, bits binary").dropDuplicates(["cls"]), "sets")
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
-    proven = stored(_proven(best, sets, percent), "proven")
-    roots = stored(components(proven), "roots")
+    sets = stored(docs.join(F.broadcast(chosen) if few else chosen, "doc_id").select("cls", "text").mapInArrow(_sets(width), "cls long, tokens binary"), "sets")
+    if sets.count() != sets.select("cls").distinct().count():  # an id that repeats with the same set
+        sets = stored(sets.dropDuplicates(["cls"]), "sets")
+    links = stored(_proven(pairs.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b")), sets, percent), "proven")
+    roots = stored(components(links), "roots")
 
     def rooted(df: DataFrame, of: str, name: str) -> DataFrame:
         return df.join(roots.select(F.col("node").alias(of), F.col("root").alias(name)), of, "left").withColumn(name, F.coalesce(name, of))
 
-    open_pairs = rooted(rooted(pairs.select("a", "b"), "a", "ra"), "b", "rb").filter("ra <> rb").select("a", "b")
-    placed = rooted(rows, "cls", "root")
-    mixed = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", F.ceil(F.col("size") / CELL).cast("int").alias("parts"))
-    cells = placed.join(mixed, "bucket").join(sets.select("cls", "n", "bits"), "cls").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cls", "root", "n", "bits")
-    crossed = cells.groupBy("bucket", "i", "j").applyInArrow(_cells(percent), "a long, b long")
-    rest = stored(open_pairs.union(crossed).distinct(), "open-pairs")
-    links = proven
-    if rest.limit(1).count():
-        links = proven.union(stored(_proven(rest, sets, percent), "proven"))
-        roots = stored(components(links), "roots")
+    # what is still apart: first the nearest set of another component for each, so that large groups join up, then all pairs
+    for best in (True, False):
+        apart = rooted(rooted(pairs, "a", "ra"), "b", "rb").filter("ra <> rb")
+        apart = apart.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b")) if best else apart.select("a", "b")
+        placed = rooted(rows, "cls", "root")
+        mixed = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket", F.ceil(F.col("size") / CELL).cast("int").alias("parts"))
+        cells = placed.join(mixed, "bucket").join(sketch, "cls").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cls", "root", "n", "bits")
+        crossed = cells.groupBy("bucket", "i", "j").applyInArrow(_cells(percent, best), "a long, b long")
+        rest = stored(apart.union(crossed).distinct(), "open-pairs")
+        if not rest.limit(1).count():
+            break
+        more = stored(_proven(rest, sets, percent), "proven")
+        if more.limit(1).count():
+            links = links.union(more)
+            roots = stored(components(links), "roots")
     keyed = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = keyed.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return keyed.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
