@@ -30,7 +30,7 @@ def analyze_text(sql: str | None) -> dict:
         found = []
         for s in parse(sql):
             m = extract(s)
-            table = s.body.kind == "select" and len(m.tables) == 1 and next(iter(m.tables)) if s.body else None
+            table = next(iter(m.tables)) if len(m.tables) == 1 else None
             found.append(
                 {
                     "command": s.command, "masked": text(s, True), "unmasked": text(s),

@@ -19,7 +19,7 @@ def test_star(spark):
     hours = sorted((r.queried_hour, r.total_count, r.total_duration_us, r.total_queries_in_transaction) for r in star["queries_by_hours"].collect())
     assert hours == [(15, 2, 6000, 2), (16, 1, 0, 1), (16, 1, 5000, 2), (16, 1, 5000, 2)]
     assert {r.table_name for r in star["tables"].collect()} == {"users", "t"}
-    assert {(r.clause, r.table_name, r.column_name) for r in star["columns_in_queries"].collect()} == {("SELECT", "users", "id"), ("WHERE", "users", "id"), ("WHERE", "UNKNOWN", "b")}
+    assert {(r.clause, r.table_name, r.column_name) for r in star["columns_in_queries"].collect()} == {("SELECT", "users", "id"), ("WHERE", "users", "id"), ("WHERE", "t", "b")}
     assert star["errors"].first()["count"] == 1 and star["query_users"].count() == 4
 
 
