@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
 
@@ -80,6 +82,57 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts, starts)
 
 
+#: What a worker keeps from one task to the next, by the operator it is for.
+KEPT: dict[str, dict] = {}
+
+
+def give_back(owner: str = "") -> None:
+    """Ends what other operators keep in this worker, and returns freed memory to the system: workers outlive their tasks."""
+    import pyarrow as pa
+
+    for other in [k for k in KEPT if k != owner]:
+        del KEPT[other]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run, owner: str = ""):
+    """The Arrow function `run` (over batches or over one group), giving memory back when it ends."""
+    if inspect.isgeneratorfunction(run):
+
+        def lean_run(batches):
+            try:
+                yield from run(batches)
+            finally:
+                give_back(owner)
+
+    elif len(inspect.signature(run).parameters) == 1:
+
+        def lean_run(group):
+            try:
+                return run(group)
+            finally:
+                give_back(owner)
+
+    else:
+
+        def lean_run(left, right):
+            try:
+                return run(left, right)
+            finally:
+                give_back(owner)
+
+    return lean_run
+
+
+def sorted_distinct(keys: np.ndarray) -> np.ndarray:
+    """As np.unique, by a plain sort: several times as fast on 64-bit keys."""
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenated ranges start .. start + length."""
     total = int(lengths.sum())

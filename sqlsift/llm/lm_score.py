@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlsift.llm.common import chunks, column, mix, pieces, ragged, stored, summed, table
+from sqlsift.llm.common import chunks, column, lean, mix, pieces, ragged, sorted_distinct, stored, summed, table
 from sqlsift.llm.langid import held_out
 
 DEPTH = 5
@@ -233,22 +233,34 @@ def log10_probability(keys: np.ndarray, top: Top, trees: Subtrees, depth: int) -
     return out
 
 
-def _distinct(t: pa.Table, depth: int) -> dict[int, np.ndarray]:
-    """The sorted distinct keys of a block."""
-    found, words = [], set()
+def _texts(t: pa.Table):
+    """The texts of a block, some MB at a time."""
     for batch in t.select(["text"]).to_batches():
-        for part in chunks(batch, "text", 4 << 20):
-            texts = [x.as_py() or b"" for x in column(part, "text").cast(pa.binary())]
-            found.append(np.unique(grams(texts, depth)[0]))
-            for x in texts:
-                words.update(x.lower().split())
-    return {_WORDS: np.unique(_word_hashes(words)), _GRAMS: np.unique(np.concatenate(found))}
+        for part in chunks(batch, "text", 2 << 20):
+            yield [x.as_py() or b"" for x in column(part, "text").cast(pa.binary())]
+
+
+def _word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, a code for each word, and the hashes by code."""
+    split = [t.lower().split() for t in texts]
+    codes, found = pd.factorize(np.array([w for ws in split for w in ws], object))
+    return np.array([len(w) for w in split], np.int64), codes.astype(np.int32), _word_hashes(found)
+
+
+def _distinct(t: pa.Table, depth: int) -> tuple[dict[int, np.ndarray], list]:
+    """The sorted distinct keys of a block, and the word codes of its texts."""
+    found, coded = [np.zeros(0, np.uint64)], []
+    for texts in _texts(t):
+        found.append(sorted_distinct(grams(texts, depth)[0]))
+        coded.append(_word_codes(texts))
+    words = [hashes for _, _, hashes in coded]
+    return {_WORDS: sorted_distinct(np.concatenate(words + found[:1])), _GRAMS: sorted_distinct(np.concatenate(found))}, coded
 
 
 def _ask(depth: int, shards: int, copies: int):
     def run(t: pa.Table) -> pa.Table:
         block = int(t["block"][0].as_py())
-        rows = [(kind, s, block % copies, block, _packed(keys[at])) for kind, keys in _distinct(t, depth).items() for s, at in _dealt(kind, keys, depth, shards)]
+        rows = [(kind, s, block % copies, block, _packed(keys[at])) for kind, keys in _distinct(t, depth)[0].items() for s, at in _dealt(kind, keys, depth, shards)]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32()] * 4 + [pa.binary()])], names=["kind", "shard", "copy", "block", "keys"])
 
     return run
@@ -281,30 +293,25 @@ def _score(depth: int, shards: int, total: int, distinct: int, ends: int, id_typ
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         cols = {"doc_id": docs["doc_id"], "held_out": docs["held_out"]}
-        keys = _distinct(docs, depth) if len(docs) else {_WORDS: np.zeros(0, np.uint64), _GRAMS: np.zeros(0, np.uint64)}
+        keys, coded = _distinct(docs, depth)
         value = {_WORDS: np.zeros(len(keys[_WORDS]), np.int64), _GRAMS: np.zeros(len(keys[_GRAMS]), np.float32)}
         got = {(k, s): a for k, s, a in zip(answers["kind"].to_pylist(), answers["shard"].to_pylist(), answers["answer"].to_pylist())}
         for kind in keys:
             for s, at in _dealt(kind, keys[kind], depth, shards):
                 value[kind][at] = np.frombuffer(got[kind, s], value[kind].dtype)
         n_tokens, n_known, base, score = [], [], [], []
-        for batch in docs.select(["text"]).to_batches():
-            for part in chunks(batch, "text", 4 << 20):
-                texts = [x.as_py() or b"" for x in column(part, "text").cast(pa.binary())]
-                g, upto = grams(texts, depth)
-                codes, found = pd.factorize(g)
-                each = value[_GRAMS][np.searchsorted(keys[_GRAMS], found)].astype(float)[codes]
-                score.append(np.add.reduceat(each, np.r_[0, upto[:-1]]))
-                split = [t.lower().split() for t in texts]
-                n = np.array([len(w) for w in split], np.int64)
-                codes, found = pd.factorize(np.array([w for ws in split for w in ws], object))
-                count = value[_WORDS][np.searchsorted(keys[_WORDS], _word_hashes(found))][codes] if len(found) else np.zeros(0, np.int64)
-                of = np.repeat(np.arange(len(texts)), n)
-                known = np.bincount(of, weights=count > 0, minlength=len(texts)).astype(np.int64)
-                logs = np.bincount(of, weights=np.log10(count + 0.1), minlength=len(texts))
-                n_tokens.append(n + 1)
-                n_known.append(known + (ends > 0))
-                base.append(logs + np.log10(ends + 0.1) - (n + 1) * floor)
+        for texts, (n, word, hashes) in zip(_texts(docs), coded):
+            g, upto = grams(texts, depth)
+            codes, found = pd.factorize(g)
+            each = value[_GRAMS][np.searchsorted(keys[_GRAMS], found)].astype(float)[codes]
+            score.append(np.add.reduceat(each, np.r_[0, upto[:-1]]))
+            count = value[_WORDS][np.searchsorted(keys[_WORDS], hashes)][word] if len(hashes) else np.zeros(0, np.int64)
+            of = np.repeat(np.arange(len(texts)), n)
+            known = np.bincount(of, weights=count > 0, minlength=len(texts)).astype(np.int64)
+            logs = np.bincount(of, weights=np.log10(count + 0.1), minlength=len(texts))
+            n_tokens.append(n + 1)
+            n_known.append(known + (ends > 0))
+            base.append(logs + np.log10(ends + 0.1) - (n + 1) * floor)
         cols |= {k: pa.array(np.concatenate(v) if v else []).cast(kind) for k, v, kind in (("n_tokens", n_tokens, pa.int64()), ("n_known", n_known, pa.int64()))}
         cols["train_tokens"] = pa.array([total] * len(docs), pa.int64())
         cols |= {k: pa.array(np.concatenate(v) if v else []).cast(pa.float64()) for k, v in (("base_score", base), ("score", score))}
@@ -320,11 +327,11 @@ def lm_scores(docs: DataFrame, training, text_col: str = "text", id_col: str = "
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (~training).alias("held_out"))
     shards = pieces(docs, 4 << 20, 32)
-    learned = rows.filter("not held_out").select("text").mapInArrow(_learn(depth, shards), "kind int, shard int, keys binary, counts binary")
-    model = stored(learned.groupBy("kind", "shard").applyInArrow(_merge, _MODEL), "lm")
+    learned = rows.filter("not held_out").select("text").mapInArrow(lean(_learn(depth, shards)), "kind int, shard int, keys binary, counts binary")
+    model = stored(learned.groupBy("kind", "shard").applyInArrow(lean(_merge), _MODEL), "lm")
     ends = rows.filter("not held_out").count()
     facts = {r.kind: r for r in model.groupBy("kind").agg(F.sum("n_in").alias("n_in"), F.sum("n_keys").alias("n_keys"), F.sum("total").alias("total")).collect()}
-    first = model.filter(f"kind = {_GRAMS}").select("keys", "counts").mapInArrow(_first_levels(depth), "node long, zero long, one long, below double")
+    first = model.filter(f"kind = {_GRAMS}").select("keys", "counts").mapInArrow(lean(_first_levels(depth)), "node long, zero long, one long, below double")
     first = first.groupBy("node").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), F.sum("below").alias("below")).toPandas()
     top = spark.sparkContext.broadcast(Top(*(first[c].to_numpy() for c in ("node", "zero", "one", "below"))))
     words = facts.get(_WORDS)
@@ -332,13 +339,13 @@ def lm_scores(docs: DataFrame, training, text_col: str = "text", id_col: str = "
     copies = max(1, *(-(-f.n_in // (8 * f.n_keys)) for f in facts.values())) if facts else 1
     blocks = pieces(docs, 8 << 20, 16)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    asked = dealt.groupBy("block").applyInArrow(_ask(depth, shards, copies), "kind int, shard int, copy int, block int, keys binary")
+    asked = dealt.groupBy("block").applyInArrow(lean(_ask(depth, shards, copies)), "kind int, shard int, copy int, block int, keys binary")
     known = model.select("kind", "shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "keys", "counts")
     by = ("kind", "shard", "copy")
-    answers = asked.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(_answer(top, depth), "block int, kind int, shard int, answer binary")
+    answers = asked.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(lean(_answer(top, depth)), "block int, kind int, shard int, answer binary")
     kind = rows.schema["doc_id"].dataType
     out = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(depth, shards, total, distinct, ends, to_arrow_type(kind)), out)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(_score(depth, shards, total, distinct, ends, to_arrow_type(kind))), out)
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
