@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sqlsift.llm.common import chunks, column, schema_with, table, without
+from sqlsift.llm.common import chunks, column, lean, schema_with, table, without
 
 WINDOW = 10
 _TOKEN = 3
@@ -179,13 +179,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         rows = items.filter(F.expr(f"pmod(xxhash64(item, text), {blocks}) = {b}")).collect()
         parts.append(ItemIndex([(r.item, bytes(r.text)) for r in rows], window))
     counting = [sc.broadcast(p) for p in parts]
-    rare = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(counting), "block int, token int, n long").groupBy("block", "token").agg(F.sum("n").alias("n")).toLocalIterator()
+    rare = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(_count(counting)), "block int, token int, n long").groupBy("block", "token").agg(F.sum("n").alias("n")).toLocalIterator()
     counts = [np.zeros(len(p.tokens), np.int64) for p in parts]
     for r in rare:
         counts[r.block][r.token] = r.n
     for p, c in zip(parts, counts):
         p.order(c)
-    return docs.mapInArrow(_judge([sc.broadcast(p) for p in parts], text_col), schema_with(docs, **kinds))
+    return docs.mapInArrow(lean(_judge([sc.broadcast(p) for p in parts], text_col)), schema_with(docs, **kinds))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

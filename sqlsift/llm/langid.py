@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sqlsift.llm.common import chunks, column, schema_with, table, without
+from sqlsift.llm.common import chunks, column, lean, schema_with, table, without
 
 ORDERS = (1, 2, 3)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -96,7 +96,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
     langs = rows.select("lang").distinct().count()
     while bins * langs > max_cells and bins > _PIECES:
         bins //= 2
-    sums = rows.mapInArrow(_learn(bins), "lang string, piece int, sums binary").groupBy("lang", "piece").applyInArrow(_add, "lang string, piece int, sums binary").collect()
+    sums = rows.mapInArrow(lean(_learn(bins)), "lang string, piece int, sums binary").groupBy("lang", "piece").applyInArrow(_add, "lang string, piece int, sums binary").collect()
     names = sorted({r.lang for r in sums})
     counts, prior = np.zeros((bins, len(names))), np.zeros(len(names))
     for r in sums:
@@ -130,7 +130,7 @@ def _predict(model, text: str):
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Every row of `docs` with lang_pred and score; input columns of these names are replaced."""
     docs = without(docs, "lang_pred", "score")
-    return docs.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), text_col), schema_with(docs, lang_pred=T.StringType(), score=T.DoubleType()))
+    return docs.mapInArrow(lean(_predict(docs.sparkSession.sparkContext.broadcast(model), text_col)), schema_with(docs, lang_pred=T.StringType(), score=T.DoubleType()))
 
 
 def held_out(modulus: int):

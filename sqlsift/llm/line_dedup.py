@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sqlsift.llm.common import BROADCAST_BYTES, column, mix, pieces, schema_with, stored, summed, table, without
+from sqlsift.llm.common import BROADCAST_BYTES, column, lean, mix, pieces, schema_with, stored, summed, table, without
 
 _FLUSH = 1_000_000
 
@@ -123,7 +123,7 @@ def _build(min_docs: int):
 def build_index(docs: DataFrame, text_col: str = "text", min_docs: int = 10) -> tuple[DataFrame, int]:
     """The index as a table (shard, n_keys, n_bytes, blob) in the shared folder, and its number of shards."""
     shards = 1 << (pieces(docs, 256 << 20, 64) - 1).bit_length()
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(shards), "shard int, hashes binary, counts binary")
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(_count(shards)), "shard int, hashes binary, counts binary")
     built = counted.groupBy("shard").applyInArrow(_build(min_docs), "shard int, n_keys long, n_bytes long, blob binary")
     return stored(built.filter("n_keys > 0"), "line-index"), shards
 
@@ -192,7 +192,7 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, limi
     index, shards = build_index(docs, text_col, min_docs)
     at = [c.lower() for c in docs.columns].index(text_col.lower())
     kinds = {"n_lines": T.LongType(), "n_dropped": T.LongType(), "kept_text": T.StringType()}
-    return docs.mapInArrow(_probe(_groups(index, limit), shards, at), schema_with(docs, **kinds))
+    return docs.mapInArrow(lean(_probe(_groups(index, limit), shards, at)), schema_with(docs, **kinds))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlsift.llm.common import chunks, column, mix, pieces, ragged, stored, table
+from sqlsift.llm.common import chunks, column, lean, mix, pieces, ragged, stored, table
 from sqlsift.llm.components import components
 
 WIDTH, PERCENT, OFTEN, CELL = 5, 80, 16, 2048
@@ -357,34 +357,34 @@ def _proven(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     near = pairs.select("a", "b")
     for side in ("a", "b"):
         near = near.join(sets.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("wide").alias(f"wide{side}")), side)
-    near = stored(near.select("a", "b", "na", "widea", "nb", "wideb").mapInArrow(_close(percent), "a long, b long"), "near-pairs")
+    near = stored(near.select("a", "b", "na", "widea", "nb", "wideb").mapInArrow(lean(_close(percent)), "a long, b long"), "near-pairs")
     needed = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
     few = 2 * near.count() <= 1 << 20  # 8 bytes each
     sets = sets.select("cls", "tokens").join(F.broadcast(needed) if few else needed, "cls", "left_semi")
     first = near.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a")
     both = first.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(_verify(percent), "u long, v long")
+    return both.mapInArrow(lean(_verify(percent)), "u long, v long")
 
 
 def near_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the least id reachable by links of Jaccard similarity `percent` or more."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    members = stored(docs.mapInArrow(_classify(width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls long, bits binary"), "classes")
+    members = stored(docs.mapInArrow(lean(_classify(width)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls long, bits binary"), "classes")
     linked = docs.filter("doc_id is not null and text is not null")
     shards = pieces(docs, 16 << 20, 32)
-    met = stored(linked.select("text").mapInArrow(_sign(width, percent, shards), "shard int, keys binary, owners binary, info binary").groupBy("shard").applyInArrow(_meet(percent), _MET), "met")
+    met = stored(linked.select("text").mapInArrow(lean(_sign(width, percent, shards)), "shard int, keys binary, owners binary, info binary").groupBy("shard").applyInArrow(lean(_meet(percent)), _MET), "met")
     sketch = stored(members.filter("doc_id is not null and cls is not null").dropDuplicates(["cls"]).select("cls", F.col("n_shingles").alias("n"), "bits"), "sketch")
     counted = met.filter("kind <> 'row'").groupBy("a", "b").agg(F.count("*").alias("times"))
     for side in ("a", "b"):
         counted = counted.join(sketch.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
-    pairs = stored(counted.select("a", "b", "times", "na", "bitsa", "nb", "bitsb").mapInArrow(_possible(percent), "a long, b long, times long"), "pairs")
+    pairs = stored(counted.select("a", "b", "times", "na", "bitsa", "nb", "bitsb").mapInArrow(lean(_possible(percent)), "a long, b long, times long"), "pairs")
     # deficient: more segments left out than the slack allows
     short = met.filter("kind = 'row'").groupBy(F.col("a").alias("cls"), F.col("b").alias("low")).agg(F.count("*").alias("n"), F.min("slack").alias("slack")).filter("n > slack").select("cls", "low")
     rows = stored(met.filter("kind = 'row'").select(F.col("a").alias("cls"), F.col("b").alias("low"), "bucket").join(short, ["cls", "low"]).select("bucket", "cls").distinct(), "buckets")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(rows.select("cls")).distinct()
     chosen = stored(members.filter("doc_id is not null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls", "left_semi"), "chosen")
     few = chosen.count() <= 1 << 20  # 16 bytes each
-    sets = stored(docs.join(F.broadcast(chosen) if few else chosen, "doc_id").select("cls", "text").mapInArrow(_sets(width), "cls long, n long, wide binary, tokens binary"), "sets")
+    sets = stored(docs.join(F.broadcast(chosen) if few else chosen, "doc_id").select("cls", "text").mapInArrow(lean(_sets(width)), "cls long, n long, wide binary, tokens binary"), "sets")
     if sets.count() != sets.select("cls").distinct().count():  # an id that repeats with the same set
         sets = stored(sets.dropDuplicates(["cls"]), "sets")
     links = stored(_proven(pairs.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b")), sets, percent), "proven")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from sqlsift.llm.common import chunks, column, ragged, table
+from sqlsift.llm.common import KEPT, chunks, column, lean, ragged, table
 
 CAPACITY = 2048
 SENTENCE, INSIDE = 8, 96
@@ -116,14 +116,12 @@ class WordCoder:
         return np.insert(body, ends, end), ends + np.arange(1, len(texts) + 1)
 
 
-_CODERS: dict = {}
-
-
 def coder_of(path: str | None) -> WordCoder:
-    """The coder of this worker: what it has learned serves the tasks after."""
-    if path not in _CODERS:
-        _CODERS[path] = WordCoder(path)
-    return _CODERS[path]
+    """The coder of this worker: what it has learned serves the packing tasks after."""
+    coders = KEPT.setdefault("packing", {})
+    if path not in coders:
+        coders[path] = WordCoder(path)
+    return coders[path]
 
 
 def choose(cuts: list[int], penalty: list[int], capacity: int = CAPACITY) -> list[int]:
@@ -248,7 +246,7 @@ def pack(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", token
     rows = docs.select(key_col, text_col)
     names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     out = T.StructType([T.StructField(key_col, rows.schema[key_col].dataType)] + [T.StructField(n, T.LongType()) for n in names])
-    return rows.mapInArrow(_run(text_col, key_col, to_arrow_type(rows.schema[key_col].dataType), tokenizer, end_id, capacity, block), out)
+    return rows.mapInArrow(lean(_run(text_col, key_col, to_arrow_type(rows.schema[key_col].dataType), tokenizer, end_id, capacity, block), "packing"), out)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
