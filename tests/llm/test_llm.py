@@ -282,3 +282,25 @@ def test_pipeline(spark):
         docs = stored(stage(spark, docs, SF), name)
         counts.append(docs.count())
     assert counts[1] <= counts[0] and counts[2] == counts[1] and counts[3] < counts[2] and counts[4] < counts[3] and counts[5] >= counts[4]
+
+
+def test_lean_keeps_results_and_ends_what_others_keep():
+    from sqlsift.llm.common import KEPT, lean
+
+    KEPT.update(a={1: 1}, b={2: 2})
+    assert list(lean(lambda batches: iter(()), "a")([])) == []
+    assert list(KEPT) == ["a"]
+
+    def doubled(batches):
+        for x in batches:
+            yield 2 * x
+
+    assert list(lean(doubled)([1, 2])) == [2, 4] and not KEPT
+    assert lean(lambda t: t + 1)(1) == 2 and lean(lambda s, t: s + t)(1, 2) == 3
+
+
+def test_sorted_distinct():
+    from sqlsift.llm.common import sorted_distinct
+
+    for keys in ([], [5], [3, 1, 3, 1 << 63, 1]):
+        assert sorted_distinct(np.array(keys, np.uint64)).tolist() == sorted(set(keys))
