@@ -140,6 +140,25 @@ def test_html(spark):
     assert got == {**{k: f"own text {k}" for k in range(5)}, 8: "", 9: ""} and html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_copies_are_no_template(spark):
+    article = "".join(f"<p>sentence {i} of the long article</p>" for i in range(12))
+    page = "<body><nav>menu {0}</nav><div class=t>Fixed words</div><article>{1}</article></body>".format
+    copies = [page(k, article) for k in range(6)]
+    alone = spark.createDataFrame([(k, "http://c.example/", p) for k, p in enumerate(copies)], "page_id long, url string, html string")
+    assert {len(r.text.split("\n")) for r in html_extract.extract_pages(alone).collect()} == {12}
+    mixed = copies + [page(k, f"<p>short text {k}</p>") for k in range(6, 20)]
+    got = html_extract.extract_pages(spark.createDataFrame([(k, "http://m.example/", p) for k, p in enumerate(mixed)], alone.schema))
+    assert [len(r.text.split("\n")) for r in got.orderBy("page_id").collect()] == [12] * 6 + [1] * 14
+
+
+def test_html_constant_on_all_pages_only(spark):
+    # the same words on many pages of a host, other words on a few: no template; the fixed words are
+    body = "<body><div class=t>Fixed words</div><div class=s>{1}</div><div>own text {0}</div></body>".format
+    pages = [(k, "http://h.example/", body(k, "Rare words" if k % 50 == 7 else "Usual words")) for k in range(200)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == {k: f"{'Rare' if k % 50 == 7 else 'Usual'} words\nown text {k}" for k in range(200)}
+
+
 def test_top_k_edges(spark):
     vs = [(k, [float(x) for x in np.random.default_rng(k).normal(size=6) * 0.2]) for k in range(200)] + [(300 + k, [0.5] * 6) for k in range(100)] + [(900, None), (901, [float("nan")] * 6), (902, [None] * 6), (None, [0.1] * 6), (903, [0.4, 0.4])]
     df = spark.createDataFrame(vs, "vec_id long, embedding array<double>")
