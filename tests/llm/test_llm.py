@@ -159,6 +159,31 @@ def test_html_constant_on_all_pages_only(spark):
     assert got == {k: f"{'Rare' if k % 50 == 7 else 'Usual'} words\nown text {k}" for k in range(200)}
 
 
+def test_html_middle_of_long_pages():
+    def page(k, n):
+        words = [f"<p>text {k} {i}</p>" for i in range(n)]
+        return f"<body>{''.join(words[: n // 2])}<div class=box>Fixed words</div><p>Same line</p>{''.join(words[n // 2 :])}</body>"
+
+    for sizes in ([20, 24, 30, 22], [700, 640, 811, 905], [20, 700, 24, 905]):
+        pages = [page(k, n) for k, n in enumerate(sizes)]
+        wrapper = html_extract.induce(pages)
+        for p, n in zip(pages, sizes):
+            got = html_extract.extract(p, wrapper).split("\n")
+            assert "Fixed words" not in got and len(got) in (n, n + 1)
+
+
+def test_common_subsequence():
+    rng = np.random.default_rng(3)
+    for n, m, k in ((0, 5, 2), (1, 1, 1), (40, 70, 3), (90, 50, 12), (200, 200, 40)):
+        xs, ys = rng.integers(0, k, n).tolist(), rng.integers(0, k, m).tolist()
+        size = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                size[i + 1][j + 1] = size[i][j] + 1 if xs[i] == ys[j] else max(size[i][j + 1], size[i + 1][j])
+        got = html_extract._common(xs, ys)
+        assert len(got) == size[n][m] and all(xs[i] == ys[j] for i, j in got) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:]))
+
+
 def test_top_k_edges(spark):
     vs = [(k, [float(x) for x in np.random.default_rng(k).normal(size=6) * 0.2]) for k in range(200)] + [(300 + k, [0.5] * 6) for k in range(100)] + [(900, None), (901, [float("nan")] * 6), (902, [None] * 6), (None, [0.1] * 6), (903, [0.4, 0.4])]
     df = spark.createDataFrame(vs, "vec_id long, embedding array<double>")
