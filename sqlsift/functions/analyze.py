@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+import threading
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Texts beyond this many characters are errors.
-LONGEST = 1 << 20
+#: Frames and bytes of stack for texts that nest deeper than Python's default.
+DEEP_FRAMES, DEEP_STACK = 100_000, 512 << 20
 SCHEMA = """struct<error: string, statements: array<struct<command: string, masked: string, unmasked: string,
   columns: array<struct<clause: string, schema_name: string, table_name: string, column_name: string>>,
   tables: array<struct<schema_name: string, table_name: string>>,
@@ -16,16 +19,49 @@ SCHEMA = """struct<error: string, statements: array<struct<command: string, mask
     if_not_exists: boolean, name: string, on_commit: string, operator: string, expression: string, where_clause: string>>>>>"""
 
 
+def _deep(run, *args):
+    """The result of `run` in a thread of its own with a large stack; RecursionError if even that is too small."""
+    out: list = []
+
+    def inner():
+        try:
+            out.append(run(*args))
+        except RecursionError as e:
+            out.append(e)
+
+    frames, stack = sys.getrecursionlimit(), threading.stack_size(DEEP_STACK)
+    try:
+        sys.setrecursionlimit(DEEP_FRAMES)
+        thread = threading.Thread(target=inner)
+        thread.start()
+        thread.join()
+    finally:
+        threading.stack_size(stack)
+        sys.setrecursionlimit(frames)
+    if isinstance(out[0], RecursionError):
+        raise out[0]
+    return out[0]
+
+
 def analyze_text(sql: str | None) -> dict:
     """Error or statements of one text. Null and empty texts have no statement and no error."""
+    try:
+        return _analyzed(sql)
+    except RecursionError:
+        pass
+    try:
+        return _deep(_analyzed, sql)
+    except RecursionError:
+        return {"error": "nested too deep", "statements": []}
+
+
+def _analyzed(sql: str | None) -> dict:
     from sqlsift.sqltext.lexer import SqlError
     from sqlsift.sqltext.metadata import extract
     from sqlsift.sqltext.parser import parse
     from sqlsift.sqltext.printer import text
 
     sql = sql or ""
-    if len(sql) > LONGEST:
-        return {"error": "text too long", "statements": []}
     try:
         found = []
         for s in parse(sql):
@@ -44,8 +80,6 @@ def analyze_text(sql: str | None) -> dict:
         return {"error": None, "statements": found}
     except SqlError as e:
         return {"error": str(e), "statements": []}
-    except RecursionError:
-        return {"error": "nested too deep", "statements": []}
 
 
 def analyze(text: Column | str) -> Column:

@@ -22,9 +22,9 @@ RESERVED = frozenset(
 )
 _TOKEN = re.compile(
     r"""(?P<skip>\s+|--[^\n]*|/\*.*?\*/)
-      |(?P<escape>[eE]'(?:[^'\\]|''|\\.)*')
-      |(?P<string>'(?:[^']|'')*')
-      |(?P<name>"(?:[^"]|"")*"|[^\W\d]\w*)
+      |(?P<escape>[eE]'[^'\\]*(?:(?:''|\\.)[^'\\]*)*')
+      |(?P<string>'[^']*(?:''[^']*)*')
+      |(?P<name>"[^"]*(?:""[^"]*)*"|[^\W\d]\w*)
       |(?P<float>\d+\.\d*|\.\d+)
       |(?P<int>\d+)
       |(?P<param>\$\d+)
@@ -33,6 +33,10 @@ _TOKEN = re.compile(
 )
 
 
+#: A single word of more characters is an error: servers cut names at 63 bytes.
+LONGEST_WORD = 1 << 20
+
+
 class SqlError(ValueError):
     """Text that the dialect does not take."""
 
@@ -53,6 +57,8 @@ def tokens(sql: str) -> list[Token]:
         at, kind, text = m.end(), m.lastgroup, m.group()
         if kind == "skip":
             continue
+        if kind == "name" and len(text) > LONGEST_WORD:
+            raise SqlError("text too long")
         upper = text.upper()
         out.append(Token(upper if kind == "name" and upper in RESERVED else text if kind == "op" else kind, text, upper))
     end = Token("end", "", "")

@@ -29,6 +29,24 @@ def test_bad_texts():
     assert analyze_text("x" * (1 << 21))["error"] == "text too long" and analyze_text("select 'a")["error"]
 
 
+def test_long_and_deep_texts():
+    long = "insert into t (a, b) values " + ", ".join(f"({i}, 'text {i}')" for i in range(60_000))
+    assert len(long) > 1 << 20
+    got = analyze_text(long)
+    assert got["error"] is None and got["statements"][0]["masked"] == "(INSERT INTO t (a, b) VALUES (?, '?'));"
+    for op, n in (("or", 3000), ("and", 3000), ("||", 3000)):
+        got = analyze_text("select t.id from t join u on " + f" {op} ".join(f"t.a{i} = u.b{i}" if op != "||" else f"t.a{i}" for i in range(n)))
+        s = got["statements"][0]
+        assert got["error"] is None and len(s["joins"]) == 1 and s["tables"] == [{"schema_name": "public", "table_name": "t"}, {"schema_name": "public", "table_name": "u"}]
+        assert s["masked"].count(f" {op.upper()} ") == n - 1
+    n = 1500
+    got = analyze_text("select id from t where " + "(" * n + "a = 0" + "".join(f" or a = {i})" for i in range(n)))
+    assert got["error"] is None and got["statements"][0]["masked"] == "(SELECT id FROM t WHERE " + "(" * n + "(a = ?)" + " OR (a = ?))" * n + ");"
+    got = analyze_text(" union all ".join(f"select a from t{i}" for i in range(1200)))["statements"][0]
+    assert len(got["tables"]) == 1200 and got["tables"][-1]["table_name"] == "t1199"
+    assert analyze_text("select '" + "it''s " * 500_000 + "', e'a\\'b''c' from t")["statements"][0]["masked"] == "(SELECT '?', ? FROM t);"
+
+
 def test_owners(spark):
     rows = spark.createDataFrame([("shop", [("a", ["x", "y"]), ("s.b", ["x"]), ("p.q.r", ["z"])])], "database string, data array<struct<`table`: string, owners: array<string>>>")
     out = ingest.owners(rows, spark.createDataFrame([], "uid string"))
