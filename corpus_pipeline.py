@@ -11,20 +11,21 @@ from pyspark.sql import functions as F
 
 from sqlsift.llm.common import stored, table
 from sqlsift.llm.decontaminate import decontaminate
-from sqlsift.llm.langid import predict, train
+from sqlsift.llm.langid import fitting, predict, train
 from sqlsift.llm.line_dedup import line_dedup
 from sqlsift.llm.ngram_join import near_components
 from sqlsift.llm.packing import pack
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document goes if no language reaches this posterior, or if it has no letter.
+#: A document goes if no language reaches this posterior, if it has no letter, or if its n-grams do not fit its language.
 LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told; learns from all labelled ones."""
-    judged = predict(docs, train(docs))
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    model = train(docs)
+    judged = predict(docs, model, per_gram=True).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return fitting(judged, model).select(*COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,28 +109,57 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
     return Model(names, weights, np.log(prior / prior.sum()) if names else prior)
 
 
-def _predict(model, text: str):
+def _predict(model, text: str, per_gram: bool):
     def run(batches):
         m = model.value
         for batch in batches:
             for part in chunks(batch, text, 1 << 20):
                 texts = [t or "" for t in column(part, text).to_pylist()]
                 known = np.array([bool(m.langs and _LETTER.search(t)) for t in texts])
-                best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+                best, score, each = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
+                grams = np.array([sum(max(0, len(t.lower()) - n + 1) for n in ORDERS) for t in texts], np.int64) if per_gram else None
                 if known.any():
                     s = m.scores(texts)
                     best = np.argmax(s, axis=1)
                     score = np.where(known, 1 / np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1), 0)
+                    if per_gram:
+                        each = (s[np.arange(len(texts)), best] - m.prior[best]) / np.maximum(grams, 1)
                 pred = [m.langs[b] if k else "und" for b, k in zip(best, known)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                out = {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())}
+                if per_gram:
+                    out |= {"per_gram": pa.array(each, pa.float64()), "n_grams": pa.array(grams, pa.int64())}
+                yield pa.RecordBatch.from_arrays([*part.columns, *out.values()], names=[*part.schema.names, *out])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Every row of `docs` with lang_pred and score; input columns of these names are replaced."""
-    docs = without(docs, "lang_pred", "score")
-    return docs.mapInArrow(lean(_predict(docs.sparkSession.sparkContext.broadcast(model), text_col)), schema_with(docs, lang_pred=T.StringType(), score=T.DoubleType()))
+def predict(docs: DataFrame, model: Model, text_col: str = "text", per_gram: bool = False) -> DataFrame:
+    """Every row of `docs` with lang_pred and score; input columns of these names are replaced.
+
+    `per_gram` adds the mean log-probability of an n-gram in lang_pred, and the number of n-grams.
+    """
+    kinds = {"lang_pred": T.StringType(), "score": T.DoubleType()} | ({"per_gram": T.DoubleType(), "n_grams": T.LongType()} if per_gram else {})
+    docs = without(docs, *kinds)
+    return docs.mapInArrow(lean(_predict(docs.sparkSession.sparkContext.broadcast(model), text_col, per_gram)), schema_with(docs, **kinds))
+
+
+def fitting(judged: DataFrame, model: Model, lang_col: str = "lang", least_z: float = -8.0) -> DataFrame:
+    """The rows of `judged` (predicted with `per_gram`) whose n-grams are about as likely as their language's are.
+
+    A posterior only compares the languages learned; this holds a text against all labelled texts of its language:
+    its log-probability an n-gram may lie `least_z` deviations (between texts, and of as many n-grams) from their
+    mean, and must be nearer to that mean than to what n-grams spread evenly over the bins would have.
+    """
+    rows = judged.filter(F.col(lang_col) == F.col("lang_pred")).groupBy("lang_pred").agg(F.avg("per_gram").alias("m"), F.var_pop("per_gram").alias("v")).collect()
+    bounds = []
+    for r in rows:
+        w = model.weights[:, model.langs.index(r.lang_pred)]
+        p = np.exp(w)
+        bounds.append((r.lang_pred, r.m, r.v, float(p @ (w - p @ w) ** 2), float(r.m + w.mean()) / 2))
+    found = judged.sparkSession.createDataFrame(bounds, "lang_pred string, __m double, __v double, __g double, __half double")
+    z = (F.col("per_gram") - F.col("__m")) / F.sqrt(F.col("__v") + F.col("__g") / F.col("n_grams"))
+    fits = (z >= least_z) & (F.col("per_gram") >= F.col("__half"))
+    return judged.join(F.broadcast(found), "lang_pred", "left").filter(F.coalesce(fits, F.lit(True))).drop("__m", "__v", "__g", "__half")
 
 
 def held_out(modulus: int):

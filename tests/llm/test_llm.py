@@ -328,6 +328,18 @@ def test_pipeline(spark):
     assert counts[1] <= counts[0] and counts[2] == counts[1] and counts[3] < counts[2] and counts[4] < counts[3] and counts[5] >= counts[4]
 
 
+def test_pipeline_drops_foreign_and_random_texts(spark):
+    from corpus_pipeline import language_id
+
+    docs = spark.read.parquet(SF.replace("sf0.001", "sf0.01") + "/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    letters = list("abcdefghijklmnopqrstuvwxyz0123456789")
+    planted = ["Это обычное русское предложение о погоде в большом городе сегодня утром.", "これは日本語の普通の文章です。今日は天気がとても良いです。", "".join(np.random.default_rng(0).choice(letters, 200))]
+    kept = ["This is a normal English sentence about the weather in the big city today.", "the"]
+    extra = spark.createDataFrame([(-1 - k, t, None, "s", len(t)) for k, t in enumerate(planted + kept)], docs.schema)
+    got = {r.doc_id for r in language_id(spark, docs.unionByName(extra), "").select("doc_id").collect()}
+    assert {k for k in got if k < 0} == {-4, -5} and len(got) == docs.count() + 2
+
+
 def test_lean_keeps_results_and_ends_what_others_keep():
     from sqlsift.llm.common import KEPT, lean
 
