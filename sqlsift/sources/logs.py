@@ -1,8 +1,8 @@
 """PostgreSQL server logs: entries, pairing of statements with durations, normalised executions.
 
 All of it is Catalyst expressions. A file is one row (`wholetext`; servers rotate logs at megabytes), an entry
-one row after the split. Text before the first entry, or an entry whose prefix does not parse, is kept in
-`quarantined`. Pairing needs order only within a file and client, so its window never spans files.
+one row after the split. Text before the first entry, an entry whose prefix does not parse, and a statement of
+unknown zone or unreadable time are kept in `quarantined`. Pairing needs order only within a file and client, so its window never spans files.
 """
 
 from __future__ import annotations
@@ -26,13 +26,12 @@ def _split(files: DataFrame) -> DataFrame:
     return files.select("file", F.posexplode(F.split("text", START)).alias("entry_no", "entry")).filter(F.trim("entry") != "")
 
 
-def entries(files: DataFrame) -> DataFrame:
-    """One row per log entry, as parsed."""
+def _parsed(files: DataFrame) -> DataFrame:
     raw = _split(files).withColumn("entry", F.rtrim(F.regexp_replace("entry", r"[\r\n]+\z", "")))
     part = lambda n: F.regexp_extract("entry", PREFIX, n)
     body = F.regexp_replace(part(10), r"(?m)^[ \t\r]+", "")
     raw = raw.filter(F.col("entry").rlike(PREFIX)).select(
-        "file", "entry_no", part(1).alias("date"), part(2).alias("time"), part(3).alias("timezone"), part(4).alias("remote_host"), part(5).cast("int").alias("remote_port"),
+        "entry", "file", "entry_no", part(1).alias("date"), part(2).alias("time"), part(3).alias("timezone"), part(4).alias("remote_host"), part(5).cast("int").alias("remote_port"),
         part(6).alias("user"), part(7).alias("database"), part(8).cast("int").alias("pid"), part(9).alias("severity"), body.alias("body"),
     )
     is_error = F.col("severity") == "ERROR"
@@ -44,8 +43,29 @@ def entries(files: DataFrame) -> DataFrame:
     )
 
 
+def entries(files: DataFrame) -> DataFrame:
+    """One row per log entry, as parsed."""
+    return _parsed(files).drop("entry")
+
+
+def _zone():
+    return F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])[F.col("timezone")]
+
+
+def _local_time():
+    """The time as written, null if it cannot be read."""
+    text = F.concat_ws(" ", "date", F.substring("time", 1, 8))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), text.try_cast("timestamp_ntz"))
+
+
+def _executed():
+    return F.col("prepared_step").isin("statement", "execute")
+
+
 def quarantined(files: DataFrame) -> DataFrame:
-    return _split(files).filter(~F.col("entry").rlike(PREFIX))
+    """file, entry_no, entry of what is no entry, and of statements that `executions` leaves out for their zone or time."""
+    untimed = _parsed(files).filter(_executed() & (_zone().isNull() | _local_time().isNull())).select("file", "entry_no", "entry")
+    return _split(files).filter(~F.col("entry").rlike(PREFIX)).unionByName(untimed)
 
 
 def paired(rows: DataFrame, strict_session: bool = False) -> DataFrame:
@@ -73,11 +93,9 @@ def microseconds(amount, unit):
 
 
 def executions(rows: DataFrame) -> DataFrame:
-    """Executed statements with local time, hour and microseconds; rows of unknown zone or time are left out."""
-    zones = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
-    local = F.to_timestamp_ntz(F.concat_ws(" ", "date", F.substring("time", 1, 8)), F.lit("yyyy-MM-dd HH:mm:ss"))
-    good = rows.filter(F.col("prepared_step").isin("statement", "execute")).withColumn("zone", zones[F.col("timezone")]).filter(F.col("zone").isNotNull() & F.concat_ws(" ", "date", F.substring("time", 1, 8)).rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"))
-    return good.withColumn("local_time", local).select(
+    """Executed statements with local time, hour and microseconds; those of unknown zone or unreadable time are in `quarantined`."""
+    good = rows.filter(_executed()).withColumn("zone", _zone()).withColumn("local_time", _local_time()).filter("zone is not null and local_time is not null")
+    return good.select(
         "file", "entry_no", "local_time", F.date_trunc("hour", "local_time").cast("timestamp_ntz").alias("hour"), F.convert_timezone(F.col("zone"), F.lit("UTC"), F.col("local_time")).alias("utc_time"),
         "user", "database", "query", microseconds(F.col("duration_lit"), F.col("duration_measure")).alias("duration_us"),
     )

@@ -34,6 +34,20 @@ def test_ipv6_and_quarantine(spark):
     assert logs.executions(logs.entries(files)).first().duration_us == 2_000_000
 
 
+def test_unknown_zones_and_times_are_quarantined(spark):
+    at = "{} {}:10.0.0.1(1):ann@shop:[7]:LOG:  duration: 1 ms  {}: select {}\n".format
+    text = (
+        "no prefix\n" + at("2024-07-08 15:00:01", "CET", "statement", 1) + at("2024-07-08 15:00:02", "UTC", "statement", 2) + at("2024-13-45 15:00:03", "UTC", "execute <unnamed>", 3)
+        + at("2024-02-30 15:00:03", "UTC", "statement", 4) + at("2024-07-08 15:00:04", "JST", "bind x", 5) + at("2024-07-08 15:00:05", "MDT", "execute x", 6)
+    )
+    files = spark.createDataFrame([("f", text)], "file string, text string")
+    entries, kept = logs.entries(files), logs.quarantined(files).orderBy("entry_no").collect()
+    runs, others = logs.executions(entries).collect(), entries.filter("prepared_step not in ('statement', 'execute')").count()
+    assert [r.query for r in runs] == ["select 2", "select 6"] and others == 1
+    assert [r.entry.strip()[-8:] for r in kept] == ["o prefix"[-8:], "select 1", "select 3", "select 4"]
+    assert len(text.splitlines()) == len(runs) + others + len(kept)
+
+
 def test_later_hold_replaces_and_empty_input(spark):
     text = P.format(1, 1, "LOG") + "statement: a\n" + P.format(2, 1, "LOG") + "statement: b\n" + P.format(3, 1, "LOG") + "duration: 3 ms\n" + P.format(4, 1, "LOG") + "duration: 4 ms\n"
     assert [(r.query, r.duration_us) for r in logs.executions(logs.paired(parsed(spark, text))).collect()] == [("b", 3000)]
