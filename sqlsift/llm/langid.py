@@ -127,7 +127,7 @@ def _predict(model, text: str, per_gram: bool):
                 pred = [m.langs[b] if k else "und" for b, k in zip(best, known)]
                 out = {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())}
                 if per_gram:
-                    out |= {"per_gram": pa.array(each, pa.float64()), "n_grams": pa.array(grams, pa.int64())}
+                    out |= {"per_gram": pa.array(each, pa.float64())}
                 yield pa.RecordBatch.from_arrays([*part.columns, *out.values()], names=[*part.schema.names, *out])
 
     return run
@@ -136,30 +136,23 @@ def _predict(model, text: str, per_gram: bool):
 def predict(docs: DataFrame, model: Model, text_col: str = "text", per_gram: bool = False) -> DataFrame:
     """Every row of `docs` with lang_pred and score; input columns of these names are replaced.
 
-    `per_gram` adds the mean log-probability of an n-gram in lang_pred, and the number of n-grams.
+    `per_gram` adds the mean log-probability of an n-gram in lang_pred.
     """
-    kinds = {"lang_pred": T.StringType(), "score": T.DoubleType()} | ({"per_gram": T.DoubleType(), "n_grams": T.LongType()} if per_gram else {})
+    kinds = {"lang_pred": T.StringType(), "score": T.DoubleType()} | ({"per_gram": T.DoubleType()} if per_gram else {})
     docs = without(docs, *kinds)
     return docs.mapInArrow(lean(_predict(docs.sparkSession.sparkContext.broadcast(model), text_col, per_gram)), schema_with(docs, **kinds))
 
 
-def fitting(judged: DataFrame, model: Model, lang_col: str = "lang", least_z: float = -8.0) -> DataFrame:
+def fitting(judged: DataFrame, model: Model, lang_col: str = "lang") -> DataFrame:
     """The rows of `judged` (predicted with `per_gram`) whose n-grams are about as likely as their language's are.
 
     A posterior only compares the languages learned; this holds a text against all labelled texts of its language:
-    its log-probability an n-gram may lie `least_z` deviations (between texts, and of as many n-grams) from their
-    mean, and must be nearer to that mean than to what n-grams spread evenly over the bins would have.
+    its log-probability an n-gram must be nearer to their mean than to that of n-grams spread evenly over the bins.
     """
-    rows = judged.filter(F.col(lang_col) == F.col("lang_pred")).groupBy("lang_pred").agg(F.avg("per_gram").alias("m"), F.var_pop("per_gram").alias("v")).collect()
-    bounds = []
-    for r in rows:
-        w = model.weights[:, model.langs.index(r.lang_pred)]
-        p = np.exp(w)
-        bounds.append((r.lang_pred, r.m, r.v, float(p @ (w - p @ w) ** 2), float(r.m + w.mean()) / 2))
-    found = judged.sparkSession.createDataFrame(bounds, "lang_pred string, __m double, __v double, __g double, __half double")
-    z = (F.col("per_gram") - F.col("__m")) / F.sqrt(F.col("__v") + F.col("__g") / F.col("n_grams"))
-    fits = (z >= least_z) & (F.col("per_gram") >= F.col("__half"))
-    return judged.join(F.broadcast(found), "lang_pred", "left").filter(F.coalesce(fits, F.lit(True))).drop("__m", "__v", "__g", "__half")
+    rows = judged.filter(F.col(lang_col) == F.col("lang_pred")).groupBy("lang_pred").agg(F.avg("per_gram").alias("m")).collect()
+    bounds = [(r.lang_pred, float(r.m + model.weights[:, model.langs.index(r.lang_pred)].mean()) / 2) for r in rows]
+    found = judged.sparkSession.createDataFrame(bounds, "lang_pred string, __half double")
+    return judged.join(F.broadcast(found), "lang_pred", "left").filter(F.coalesce(F.col("per_gram") >= F.col("__half"), F.lit(True))).drop("__half")
 
 
 def held_out(modulus: int):
