@@ -53,6 +53,12 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in taken])
 
 
+def named(df: DataFrame, name: str):
+    """The column of `df` of this name in any letter case, whatever characters the name holds."""
+    found = next((c for c in df.columns if c == name), None) or next((c for c in df.columns if c.lower() == name.lower()), name)
+    return df[f"`{found.replace('`', '``')}`"]
+
+
 def schema_with(df: DataFrame, **kinds: T.DataType) -> T.StructType:
     return T.StructType(list(df.schema.fields) + [T.StructField(k, v) for k, v in kinds.items()])
 

@@ -7,15 +7,20 @@ candidate cuts c_0 < c_1 < ... the least cost up to c_j is
 so a monotone queue of f(i) + c_i gives every transition in constant time. A task works on blocks of
 about a million tokens and carries its last, unfilled sequence into the next block; only the last
 sequence of a task is padded much, and one whose length is a power of two not at all. No shuffle.
+`sequence_id` is the number of the scan task and the sequence in it: unique, but other splits of the
+input give other ids.
 
-Texts split at ASCII white space tokenize word by word to the same ids (the vocabulary's words never span
-it), so each word is encoded once a worker and looked up afterwards.
+With the public word vocabulary (checked when its file is opened) texts split at ASCII white space tokenize
+word by word to the same ids, so a worker codes a word once and keeps those that come often, in bounded
+memory. With any other tokenizer file whole texts are coded.
 
-Defined results: a null or empty text is the end id alone; ids may be null or repeat; no row is dropped.
+Defined results: a null or empty text is the end id alone; ids may be null or repeat; no row is dropped; an
+empty table gives no pieces; of other columns, whatever their names, none is read or returned.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import deque
@@ -26,93 +31,123 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from sqlsift.llm.common import KEPT, chunks, column, lean, ragged, table
+from sqlsift.llm.common import KEPT, chunks, column, lean, named, ragged, table
 
 CAPACITY = 2048
 SENTENCE, INSIDE = 8, 96
 _SPAN = 256
+#: Fixed value: how the public word vocabulary splits a text.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordCoder:
-    """Ids of texts through a cache of words."""
+    """Ids of texts; words that come often are kept, `most` and `most_bytes` of them at most."""
 
-    def __init__(self, path: str | None, most: int = 800_000):
+    def __init__(self, path: str | None, most: int = 400_000, most_bytes: int = 16 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
-
-        self.coder = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self.most = most
-        ends = [i for t, i in self.coder.get_vocab().items() if any(c in t for c in ".!?") and not any(c.isalnum() for c in t.removesuffix("</w>"))]
-        self.ends = np.zeros(self.coder.get_vocab_size() + 1, bool)
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        path = path or public_tokenizers.path("word_bpe_49k.json")
+        self.coder = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        lowers = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        model = spec["model"]
+        self.by_word = lowers and split == [_WORD_PATTERN, None] and spec.get("post_processor") is None and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+        if self.by_word:
+            # the library's own cache only costs time here
+            merges = [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]]
+            self.coder.model = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0)
+            # lower-case ASCII letters need neither normalizer nor pattern
+            self.letters = Tokenizer(self.coder.model)
+            self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.mark = self.coder.encode(";", add_special_tokens=False).ids[0]
+        vocabulary = self.coder.get_vocab()
+        ends = [i for t, i in vocabulary.items() if any(c in t for c in ".!?") and not any(c.isalnum() for c in t.removesuffix("</w>"))]
+        self.ends = np.zeros(max(vocabulary.values()) + 2, bool)
         self.ends[ends] = True
-        self.mark = self.coder.encode(";", add_special_tokens=False).ids[0]
-        self._reset()
-
-    def _reset(self):
-        self.index: dict[bytes, int] = {}  # words as they stand
-        self.parts: dict[bytes, tuple[int, int]] = {}  # what the vocabulary codes: start in the pool, length
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _put(self, ids) -> tuple[int, int]:
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        return self.used - len(ids), len(ids)
-
-    def _coded(self, some: list[str]) -> list:
-        """Ids of each word. Words are coded in one text, between marks that none of them holds."""
-        if not any(";" in w for w in some):
-            ids = np.array(self.coder.encode_batch_fast([" ; ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            at = np.flatnonzero(ids == self.mark)
-            if len(at) == len(some) - 1:
-                return [ids[a:b] for a, b in zip(np.r_[0, at + 1], np.r_[at, len(ids)])]
-        if len(some) > 1:
-            easy = [w for w in some if ";" not in w]
-            done = dict(zip(easy, self._coded(easy))) if 0 < len(easy) < len(some) else {}
-            return [done[w] if w in done else self._coded([w])[0] for w in some]
-        return [x.ids for x in self.coder.encode_batch_fast(some, add_special_tokens=False)]
+        self.most, self.most_bytes = most, most_bytes
+        self.index: dict[bytes, int] = {}
+        self.starts, self.sizes, self.seen, self.pool, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
+
+    def _coded(self, words: list[bytes], coder) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has. Words are coded in texts of some hundred, between marks that none of them holds."""
+        found, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(words), 6_000):
+            some = [words[k : k + 300] for k in range(lo, min(lo + 6_000, len(words)), 300)]
+            texts = coder.encode_batch_fast([b" ; ".join(ws).decode("utf-8", "replace") for ws in some], add_special_tokens=False)
+            for ws, coded in zip(some, texts):
+                ids = np.array(coded.ids, np.uint32)
+                at = np.flatnonzero(ids == self.mark)
+                if len(at) == len(ws) - 1:
+                    found.append(np.delete(ids, at))
+                    sizes.append(np.diff(np.r_[-1, at, len(ids)]) - 1)
+                else:
+                    found += (each := [np.array(x.ids, np.uint32) for x in coder.encode_batch_fast([w.decode("utf-8", "replace") for w in ws], add_special_tokens=False)])
+                    sizes.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(found), np.concatenate(sizes)
 
     def _learn(self, new: list[bytes]) -> None:
-        """Codes unseen words. ASCII letter case never matters, nor does what stands before end marks after an ASCII letter or digit."""
-        split = []
-        for w in new:
-            low = w if b"<|" in w else w.lower()
-            core = low.rstrip(b".,;:!?")
-            split.append((core, low[len(core) :]) if len(core) < len(low) and core[-1:].isalnum() and len(low) < 1 << 12 else (low, b""))
-        parts = self.parts
-        unseen = list(dict.fromkeys(x for pair in split for x in pair if x and x not in parts))
-        for lo in range(0, len(unseen), 5_000):
-            some = unseen[lo : lo + 5_000]
-            for x, ids in zip(some, self._coded([w.decode("utf-8", "replace") for w in some])):
-                parts[x] = self._put(ids)
-        n = len(self.index)
-        while n + len(new) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        for k, (w, (core, mark)) in enumerate(zip(new, split)):
-            start, size = parts[core]
-            if mark:
-                begin, more = parts[mark]
-                start, size = self._put(np.concatenate([self.pool[start : start + size], self.pool[begin : begin + more]]))
-            self.index[w] = n + k
-            self.starts[n + k], self.sizes[n + k] = start, size
+        """Codes unseen words. Marks after letters are coded apart from them, as the pattern does."""
+        cores = [w.rstrip(_MARKS) for w in new]
+        plain = np.fromiter((c.isalpha() and c.islower() for c in cores), bool, len(new))
+        letters = list(dict.fromkeys(c for c, p in zip(cores, plain) if p))
+        tails = [w[len(c) :] for w, c, p in zip(new, cores, plain) if p]
+        others = list(dict.fromkeys([w for w, p in zip(new, plain) if not p] + [t for t in set(tails) if t]))
+        others.sort(key=lambda w: b";" in w)
+        ids_a, size_a = self._coded(letters, self.letters)
+        ids_b, size_b = self._coded(others, self.coder)
+        size = np.r_[size_a, size_b, 0]
+        start = np.cumsum(size) - size
+        where = {w: k for k, w in enumerate(letters)}
+        other = {w: len(letters) + k for k, w in enumerate(others)} | {b"": len(size) - 1}
+        left = np.fromiter((where[c] if p else other[w] for w, c, p in zip(new, cores, plain)), np.int64, len(new))
+        right = np.full(len(new), len(size) - 1)
+        right[plain] = np.fromiter(map(other.__getitem__, tails), np.int64, len(tails))
+        total = size[left] + size[right]
+        begin = np.cumsum(total) - total
+        out, ids = np.zeros(int(total.sum()), np.uint32), np.concatenate([ids_a, ids_b])
+        out[ragged(begin, size[left])] = ids[ragged(start[left], size[left])]
+        out[ragged(begin + size[left], size[right])] = ids[ragged(start[right], size[right])]
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        self.starts = np.concatenate([self.starts, begin + len(self.pool)])
+        self.sizes, self.pool = np.concatenate([self.sizes, total]), np.concatenate([self.pool, out])
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        self.bytes += sum(map(len, new))
+
+    def _thin(self) -> None:
+        """Keeps the third of the bounds that came most often."""
+        words = list(self.index)
+        order = np.argsort(-self.seen, kind="stable")[: self.most // 3]
+        order = order[np.fromiter((len(words[k]) <= 64 for k in order), bool, len(order))]
+        order = np.sort(order[np.cumsum([len(words[k]) for k in order]) <= self.most_bytes // 3])
+        self.index = {words[k]: i for i, k in enumerate(order.tolist())}
+        sizes = self.sizes[order]
+        self.pool = self.pool[ragged(self.starts[order], sizes)]
+        self.starts, self.sizes, self.seen = np.cumsum(sizes) - sizes, sizes, self.seen[order] // 2
+        self.bytes = sum(map(len, self.index))
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, the end id after each text, and where each text ends."""
-        each = [t.split() for t in texts]
-        if len(self.index) > self.most:
-            self._reset()
-        flat = [w for ws in each for w in ws]
-        index = self.index
-        if new := list(set(flat).difference(index)):
-            self._learn(new)
-        which = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-        sizes = self.sizes[which]
-        upto = np.r_[0, np.cumsum(sizes)]
-        ends = upto[np.cumsum([len(ws) for ws in each])]
-        body = self.pool[ragged(self.starts[which], sizes)]
+        if self.by_word:
+            # folding before the tokenizer does is safe without its special tokens and without marks that compose
+            each = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+            flat = [w for ws in each for w in ws]
+            if new := list(set(flat).difference(self.index)):
+                self._learn(new)
+            which = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+            sizes = self.sizes[which]
+            body = self.pool[ragged(self.starts[which], sizes)]
+            ends = np.r_[0, np.cumsum(sizes)][np.cumsum([len(ws) for ws in each])]
+            self.seen += np.bincount(which, minlength=len(self.seen))
+            if len(self.index) > self.most or self.bytes > self.most_bytes:
+                self._thin()
+        else:
+            each = [np.array(x.ids, np.uint32) for x in self.coder.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+            body, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
         return np.insert(body, ends, end), ends + np.arange(1, len(texts) + 1)
 
 
@@ -156,64 +191,63 @@ class _Packer:
     """Documents in, pieces out."""
 
     def __init__(self, first: int, capacity: int, block: int):
-        self.next, self.capacity, self.block = first, capacity, block
-        self.held: list[tuple] = []  # (row key, start in its document, ids, document's ids, candidate cuts)
-        self.tokens = 0
-        self.rows: list[tuple] = []
-
-    def add(self, key, ids: np.ndarray, sentence_ends: np.ndarray) -> None:
-        self.held.append((key, 0, ids, len(ids), sentence_ends))
-        self.tokens += len(ids)
-        if self.tokens >= self.block:
+        self.next, self.capacity, self.block = first, capacity, max(block, 8 * capacity)
+        self.keys: list = []  # of the documents held
+        self.begin = np.zeros(0, np.int64)  # of each document, in the ids held
+        self.done, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)  # ids of it packed before, ids of it in all
+        self.ids, self.stops = np.zeros(0, np.uint32), np.zeros(0, np.int64)  # stops: ends of sentences
+        self.columns: list[tuple] = []
+
+    def add(self, keys: list, ids: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> None:
+        """Documents that end at `ends`."""
+        base, begin = len(self.ids), np.r_[0, ends[:-1]]
+        self.keys += keys
+        self.begin = np.concatenate([self.begin, base + begin])
+        self.done, self.size = np.concatenate([self.done, np.zeros(len(keys), np.int64)]), np.concatenate([self.size, ends - begin])
+        self.ids, self.stops = np.concatenate([self.ids, ids]), np.concatenate([self.stops, base + stops])
+        if len(self.ids) >= self.block:
             self.pack(final=False)
 
     def pack(self, final: bool) -> None:
-        if not self.held:
+        if not self.keys:
             return
-        base, cuts, costs, starts = 0, [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], []
-        for _, _, ids, _, ends in self.held:
-            inner = ends[(ends > 0) & (ends < len(ids))]
-            points = np.r_[0, inner, len(ids)]
-            gaps = np.diff(points)
-            far = np.flatnonzero(gaps > min(self.capacity, 4 * _SPAN))
-            forced = np.concatenate([np.arange(points[g] + _SPAN, points[g + 1], _SPAN) for g in far]) if len(far) else np.zeros(0, np.int64)
-            at = np.r_[inner, forced]
-            price = np.r_[np.full(len(inner), SENTENCE), np.full(len(forced), INSIDE)]
-            order = np.argsort(at, kind="stable")
-            cuts += [base + at[order], np.array([base + len(ids)])]
-            costs += [price[order], np.zeros(1, np.int64)]
-            starts.append(base)
-            base += len(ids)
-        places = np.concatenate(cuts)
-        chosen = places[choose(places.tolist(), np.concatenate(costs).tolist(), self.capacity)]
+        n = len(self.ids)
+        borders = np.r_[self.begin, n]
+        points = np.union1d(borders, self.stops)
+        price = np.full(len(points), SENTENCE)
+        price[np.searchsorted(points, borders)] = 0
+        gaps = np.diff(points)
+        step = min(_SPAN, self.capacity)
+        far = np.flatnonzero(gaps > min(self.capacity, 4 * _SPAN))
+        many = (gaps[far] - 1) // step
+        forced = np.repeat(points[far], many) + step * (ragged(np.zeros(len(far), np.int64), many) + 1)
+        cuts, price = np.concatenate([points, forced]), np.concatenate([price, np.full(len(forced), INSIDE)])
+        order = np.argsort(cuts, kind="stable")
+        chosen = cuts[order][choose(cuts[order].tolist(), price[order].tolist(), self.capacity)]
         stop = len(chosen) - 1 if final else max(1, len(chosen) - 2)
-        limit = chosen[stop] if stop < len(chosen) else base
-        edges = np.unique(np.r_[chosen[: stop + 1], np.array(starts)[np.array(starts) < limit], limit])
-        owner = np.searchsorted(np.array(starts), edges[:-1], "right") - 1
-        window = np.searchsorted(chosen, edges[:-1], "right") - 1
-        for a, b, d, w in zip(edges[:-1].tolist(), edges[1:].tolist(), owner.tolist(), window.tolist()):
-            key, start, ids, size, _ = self.held[d]
-            piece = ids[a - starts[d] : b - starts[d]]
-            self.rows.append((key, start + a - starts[d], b - a, zlib.crc32(piece.astype("<u4").tobytes()), size, self.next + w, a - int(chosen[w])))
+        limit = int(chosen[stop])
+        edges = np.unique(np.concatenate([chosen[: stop + 1], self.begin[self.begin < limit]]))
+        at, size = edges[:-1], np.diff(edges)
+        owner, window = np.searchsorted(self.begin, at, "right") - 1, np.searchsorted(chosen, at, "right") - 1
+        raw = memoryview(self.ids.astype("<u4").tobytes())
+        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        self.columns.append(([self.keys[k] for k in owner.tolist()], self.done[owner] + at - self.begin[owner], size, np.array(crc, np.int64), self.size[owner], self.next + window, at - chosen[window]))
         self.next += stop
-        rest = []
-        for (key, start, ids, size, ends), s in zip(self.held, starts):
-            if s + len(ids) > limit:
-                k = max(0, int(limit) - s)
-                rest.append((key, start + k, ids[k:], size, ends - k))
-        self.held, self.tokens = rest, base - int(limit)
+        ahead = np.r_[self.begin[1:], n] > limit
+        self.keys = [k for k, a in zip(self.keys, ahead.tolist()) if a]
+        begin = self.begin[ahead] - limit
+        self.done, self.size = self.done[ahead] + np.maximum(0, -begin), self.size[ahead]
+        self.begin, self.ids, self.stops = np.maximum(0, begin), self.ids[limit:].copy(), self.stops[self.stops > limit] - limit
 
     def taken(self) -> list[tuple]:
-        rows, self.rows = self.rows, []
-        return rows
+        out, self.columns = self.columns, []
+        return out
 
 
 def _run(text: str, key: str, key_type: pa.DataType, path: str | None, end: int, capacity: int, block: int):
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*rows), (key_type, *[pa.int64()] * 6))],
-            names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-        )
+    def batches_of(found: list[tuple]):
+        for keys, *rest in found:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, key_type), *map(pa.array, rest)], names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     def run(batches):
         coder = coder_of(path)
@@ -221,17 +255,10 @@ def _run(text: str, key: str, key_type: pa.DataType, path: str | None, end: int,
         for batch in batches:
             for part in chunks(batch, text):
                 ids, ends = coder.encode([x.as_py() or b"" for x in column(part, text).cast(pa.binary())], end)
-                sentence = np.flatnonzero(coder.ends[ids]) + 1
-                begin = 0
-                for k, stop in zip(column(part, key).to_pylist(), ends.tolist()):
-                    lo, hi = np.searchsorted(sentence, (begin, stop))
-                    packer.add(k, ids[begin:stop], sentence[lo:hi] - begin)
-                    begin = stop
-                if len(packer.rows) > 50_000:
-                    yield batch_of(packer.taken())
+                packer.add(column(part, key).to_pylist(), ids, ends, np.flatnonzero(coder.ends[np.minimum(ids, len(coder.ends) - 1)]) + 1)
+                yield from batches_of(packer.taken())
         packer.pack(final=True)
-        if packer.rows:
-            yield batch_of(packer.taken())
+        yield from batches_of(packer.taken())
 
     return run
 
@@ -239,11 +266,13 @@ def _run(text: str, key: str, key_type: pa.DataType, path: str | None, end: int,
 def pack(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", tokenizer: str | None = None, end_id: int = 1, capacity: int = CAPACITY, block: int = 1 << 20) -> DataFrame:
     """Pieces (key, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents.
 
-    `tokenizer`: path of a tokenizers file; None is the public word_bpe_49k.json of the worker.
+    `tokenizer`: path of a tokenizers file; None is the public word_bpe_49k.json of the worker. `capacity`: 1 or more.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    rows = docs.select(key_col, text_col)
+    if capacity < 1 or block < 1 or end_id < 0:
+        raise ValueError("capacity and block must be 1 or more, end_id 0 or more")
+    rows = docs.select(named(docs, key_col), named(docs, text_col))
     names = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     out = T.StructType([T.StructField(key_col, rows.schema[key_col].dataType)] + [T.StructField(n, T.LongType()) for n in names])
     return rows.mapInArrow(lean(_run(text_col, key_col, to_arrow_type(rows.schema[key_col].dataType), tokenizer, end_id, capacity, block), "packing"), out)
