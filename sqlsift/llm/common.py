@@ -21,9 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where none is named."""
+    """The folder that driver and executors share: the one the cluster names. A temporary one of our own where none is named and all runs in this process.
+
+    Tables written there stay until whoever owns the folder clears it, as with checkpoints.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sqlsift-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,6 +64,14 @@ def named(df: DataFrame, name: str):
     return df[f"`{found.replace('`', '``')}`"]
 
 
+def mapped(df: DataFrame, columns: dict[str, str], run, **kinds: T.DataType) -> DataFrame:
+    """`df` through the Arrow function `run`, which adds `kinds`. It sees `columns` (by its own names: those of `df`) and passes all others on, whatever they are called."""
+    outer, low = df.columns, [c.lower() for c in df.columns]
+    inner = {(outer.index(name) if name in outer else low.index(name.lower())): own for own, name in columns.items()}
+    plain = df.toDF(*[inner.get(k, f"__{k}") for k in range(len(outer))])
+    return plain.mapInArrow(run, schema_with(plain, **kinds)).toDF(*outer, *kinds)
+
+
 def schema_with(df: DataFrame, **kinds: T.DataType) -> T.StructType:
     return T.StructType(list(df.schema.fields) + [T.StructField(k, v) for k, v in kinds.items()])
 
