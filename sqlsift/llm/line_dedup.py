@@ -1,13 +1,17 @@
-"""Line dedup: a sharded minimal perfect hash over line hashes, probed by the documents.
+"""Line dedup: a sharded minimal perfect hash over distinct line hashes, probed by the documents.
 
 Pass 1 counts, for every line key, the documents that hold it: each task sends packed (hash, count)
-arrays to hash shards, so a common line costs one entry a task. A shard keeps the keys that reach the
-threshold (no other key can decide anything) and writes a minimal perfect hash over them with arrays of
-fingerprints and counts. Pass 2 probes these arrays; no line is joined and no document is shuffled.
-Shards are grouped into broadcasts of at most `BROADCAST_BYTES`; a larger index is probed group by group.
+arrays to hash shards, so a common line costs one entry a task. A shard writes a minimal perfect hash over all
+its distinct keys, with arrays of 16-bit fingerprints and of counts (one byte each if the threshold fits).
+Pass 2 probes these arrays; no line is joined. Every line of the documents is in the index, so a probe always
+meets its own entry; the fingerprint is a check on that, and a probe that fails it ends the job.
+An index of at most `limit` bytes is broadcast whole. A larger one stays where it is: documents are dealt into
+blocks (one more copy of them), a block asks each shard for the counts of its distinct lines in one packed row, and answers come back in the
+order asked. Both ways give the same rows.
 
 Defined results: a null or empty text is one empty line and is kept; blank lines are never dropped;
-repeated rows count as documents of their own; an empty table gives an empty result.
+repeated rows count as documents of their own; an empty table gives an empty result; other columns stay,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sqlsift.llm.common import BROADCAST_BYTES, column, lean, mix, pieces, schema_with, stored, summed, table, without
+from sqlsift.llm.common import BROADCAST_BYTES, chunks, column, lean, mapped, mix, named, pieces, sorted_distinct, stored, summed, table, without
 
-_FLUSH = 1_000_000
-
-
-def _key(line: bytes) -> bytes:
-    return line.strip().lower()
+_FLUSH = 2_000_000
 
 
 class PerfectHash:
@@ -49,19 +49,23 @@ class PerfectHash:
             left, base = left[~alone], base + m
         self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
         ones = np.bitwise_count(self.words).astype(np.int64)
-        self.rank = np.cumsum(ones) - ones
-        self.fingerprints, self.counts = np.zeros(len(keys), np.uint64), np.zeros(len(keys), values.dtype)
+        self.rank = (np.cumsum(ones) - ones).astype(np.uint32)
+        self.fingerprints, self.counts = np.zeros(len(keys), np.uint16), np.zeros(len(keys), values.dtype)
         if len(keys):
             at, who = self._index(np.concatenate(placed_at)), np.concatenate(placed)
-            self.fingerprints[at], self.counts[at] = mix(keys[who], 77), values[who]
+            self.fingerprints[at], self.counts[at] = self._print(keys[who]), values[who]
+
+    @staticmethod
+    def _print(keys: np.ndarray) -> np.ndarray:
+        return (mix(keys, 77) >> np.uint64(48)).astype(np.uint16)
 
     def _index(self, position: np.ndarray) -> np.ndarray:
         word = position >> 6
         below = (np.uint64(1) << (position & 63).astype(np.uint64)) - np.uint64(1)
-        return self.rank[word] + np.bitwise_count(self.words[word] & below).astype(np.int64)
+        return self.rank[word].astype(np.int64) + np.bitwise_count(self.words[word] & below).astype(np.int64)
 
     def lookup(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of the keys, 0 for a key that is not in the index."""
+        """Counts of the keys, 0 for a key that has no slot or another fingerprint than the slot's key."""
         out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for level, (base, m) in enumerate(self.levels):
             if not len(left):
@@ -69,116 +73,162 @@ class PerfectHash:
             position = base + (mix(keys[left], level) % np.uint64(m)).astype(np.int64)
             there = (self.words[position >> 6] >> (position & 63).astype(np.uint64)) & np.uint64(1) == 1
             at, who = self._index(position[there]), left[there]
-            same = self.fingerprints[at] == mix(keys[who], 77)
+            same = self.fingerprints[at] == self._print(keys[who])
             out[who[same]] = self.counts[at[same]]
             left = left[~there]
         return out
 
+    def known(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of keys that are all in the index."""
+        out = self.lookup(keys)
+        if len(out) and not out.all():
+            raise ValueError("a line is not in the index of its own documents")
+        return out
+
     def nbytes(self) -> int:
         return self.words.nbytes + self.rank.nbytes + self.fingerprints.nbytes + self.counts.nbytes
 
 
-def _count(shards: int):
-    shift = np.uint64(64 - (shards - 1).bit_length())
-
-    def emit(found: dict[bytes, int]):
-        keys = np.fromiter((xxhash.xxh3_64_intdigest(k) for k in found), np.uint64, len(found))
-        keys, counts = summed(keys, np.fromiter(found.values(), np.int64, len(found)))
-        cuts = np.searchsorted(keys >> shift, np.arange((1 << 64 - int(shift)) + 1, dtype=np.uint64))
-        full = np.flatnonzero(np.diff(cuts))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(full, pa.int32()), pa.array([keys[cuts[s] : cuts[s + 1]].tobytes() for s in full], pa.binary()), pa.array([counts[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes() for s in full], pa.binary())],
-            names=["shard", "hashes", "counts"],
-        )
+class _Lines:
+    """The lines of some texts: their keys' hashes (0: blank), and how many each text has."""
+
+    def __init__(self, part):
+        self.texts = [x.as_py() or b"" for x in column(part, "text").cast(pa.binary())]
+        self.lines = [t.split(b"\n") for t in self.texts]
+        keys = [line.strip().lower() for ls in self.lines for line in ls]
+        self.hashes = np.fromiter((xxhash.xxh3_64_intdigest(k) or 1 if k else 0 for k in keys), np.uint64, len(keys))
+        self.many = np.fromiter(map(len, self.lines), np.int64, len(self.lines))
+
+    def judged(self, part, drop: np.ndarray) -> pa.RecordBatch:
+        """The rows of the part, less the lines where `drop` holds."""
+        starts = np.cumsum(self.many) - self.many
+        dropped = np.add.reduceat(drop, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+        kept = [t if not d else b"\n".join(x for x, gone in zip(ls, drop[s : s + len(ls)]) if not gone) for t, ls, s, d in zip(self.texts, self.lines, starts, dropped)]
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(self.many), pa.array(dropped), pa.array(kept, pa.binary()).cast(pa.string())], names=[*part.schema.names, "n_lines", "n_dropped", "kept_text"])
+
 
+def _dealt(keys: np.ndarray, shards: int):
+    """(shard, range) of sorted keys."""
+    shift = np.uint64(64 - (shards - 1).bit_length()) if shards > 1 else np.uint64(63)
+    cuts = np.searchsorted(keys >> shift, np.arange(max(2, shards) + 1, dtype=np.uint64))
+    return [(int(s), slice(cuts[s], cuts[s + 1])) for s in np.flatnonzero(np.diff(cuts))]
+
+
+def _count(shards: int):
     def run(batches):
-        found: dict[bytes, int] = {}
+        held: list[tuple] = []
+
+        def emit():
+            keys, counts = held[0]
+            dealt = _dealt(keys, shards)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([s for s, _ in dealt], pa.int32()), pa.array([keys[at].tobytes() for _, at in dealt], pa.binary()), pa.array([counts[at].tobytes() for _, at in dealt], pa.binary())],
+                names=["shard", "hashes", "counts"],
+            )
+
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                if (text := text.as_py()) is not None:
-                    for k in {line.strip().lower() for line in text.split(b"\n")}:
-                        if k:
-                            found[k] = found.get(k, 0) + 1
-                if len(found) >= _FLUSH:
-                    yield emit(found)
-                    found = {}
-        if found:
-            yield emit(found)
+            for part in chunks(batch, "text"):
+                found = _Lines(part)
+                of = np.repeat(np.arange(len(found.many)), found.many)[found.hashes > 0]
+                keys = found.hashes[found.hashes > 0]
+                order = np.lexsort((of, keys))
+                keys, of = keys[order], of[order]
+                first = np.r_[True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])] if len(keys) else np.zeros(0, bool)
+                held.append(summed(keys[first], np.ones(int(first.sum()), np.int64)))
+                if sum(len(k) for k, _ in held) > _FLUSH:
+                    held = [summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+                    if len(held[0][0]) > _FLUSH // 2:
+                        yield emit()
+                        held = []
+        if held:
+            held = [summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+            yield emit()
 
     return run
 
 
 def _build(min_docs: int):
+    small = np.uint8 if min_docs <= 0xFF else np.uint32
+    most = np.iinfo(small).max
+
     def run(t: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in t["hashes"]])
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in t["counts"]]).astype(np.int64)
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t["counts"]])
         keys, counts = summed(keys, counts)
-        often = counts >= min_docs
-        index = PerfectHash(keys[often], np.minimum(counts[often], 0xFFFFFFFF).astype(np.uint32))
-        return pa.table({"shard": t["shard"][:1].cast(pa.int32()), "n_keys": pa.array([int(often.sum())], pa.int64()), "n_bytes": pa.array([index.nbytes()], pa.int64()), "blob": pa.array([pickle.dumps(index, 5)], pa.binary())})
+        index = PerfectHash(keys, np.minimum(counts, most).astype(small))
+        return pa.table({"shard": t["shard"][:1].cast(pa.int32()), "n_keys": pa.array([len(keys)], pa.int64()), "n_bytes": pa.array([index.nbytes()], pa.int64()), "blob": pa.array([pickle.dumps(index, 5)], pa.binary())})
 
     return run
 
 
 def build_index(docs: DataFrame, text_col: str = "text", min_docs: int = 10) -> tuple[DataFrame, int]:
     """The index as a table (shard, n_keys, n_bytes, blob) in the shared folder, and its number of shards."""
-    shards = 1 << (pieces(docs, 256 << 20, 64) - 1).bit_length()
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(_count(shards)), "shard int, hashes binary, counts binary")
-    built = counted.groupBy("shard").applyInArrow(_build(min_docs), "shard int, n_keys long, n_bytes long, blob binary")
-    return stored(built.filter("n_keys > 0"), "line-index"), shards
-
-
-def _groups(index: DataFrame, limit: int):
-    """Broadcasts of whole shards, each of `limit` bytes at most (or one shard); the driver holds one at a time."""
-    sizes = sorted((r.shard, r.n_bytes) for r in index.select("shard", "n_bytes").toLocalIterator())
-    groups, held = [[]], 0
-    for shard, n in sizes:
-        if groups[-1] and held + n > limit:
-            groups.append([])
-            held = 0
-        groups[-1].append(shard)
-        held += n
-    sc = index.sparkSession.sparkContext
-    out = []
-    for g in groups:
-        if g:
-            rows = index.filter(F.col("shard").between(g[0], g[-1])).select("shard", "blob").collect()
-            out.append(sc.broadcast({r.shard: bytes(r.blob) for r in rows}))
-    return out
-
-
-def _probe(groups, shards: int, text_at: int):
-    shift = np.uint64(64 - (shards - 1).bit_length())
-    opened: dict = {}
-
-    def indexes(g: int):
-        if g not in opened:
-            opened.clear()
-            opened[g] = {k: pickle.loads(v) for k, v in groups[g].value.items()}
-        return opened[g]
+    shards = 1 << (pieces(docs, 64 << 20, 64) - 1).bit_length()
+    counted = docs.select(named(docs, text_col).alias("text")).mapInArrow(lean(_count(shards)), "shard int, hashes binary, counts binary")
+    built = counted.groupBy("shard").applyInArrow(lean(_build(min_docs)), "shard int, n_keys long, n_bytes long, blob binary")
+    return stored(built, "line-index"), shards
+
 
+def _probe(shared, shards: int, min_docs: int):
     def run(batches):
+        index = {s: pickle.loads(blob) for s, blob in shared.value.items()}
         for batch in batches:
-            texts = [x.as_py() or b"" for x in batch.column(text_at).cast(pa.binary())]
-            lines = [t.split(b"\n") for t in texts]
-            flat = [k for ls in lines for k in map(_key, ls)]
-            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
-            blank = np.fromiter((not k for k in flat), bool, len(flat))
-            drop = np.zeros(len(flat), bool)
-            shard = (keys >> shift).astype(np.int64)
-            for g in range(len(groups)):
-                for s, index in indexes(g).items():
-                    if len(at := np.flatnonzero(shard == s)):
-                        drop[at] |= index.lookup(keys[at]) > 0
-            drop &= ~blank
-            counts = np.fromiter(map(len, lines), np.int64, len(lines))
-            starts = np.cumsum(counts) - counts
-            dropped = np.add.reduceat(drop, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
-            kept = [t if not d else b"\n".join(x for x, gone in zip(ls, drop[s : s + len(ls)]) if not gone) for t, ls, s, d in zip(texts, lines, starts, dropped)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=[*batch.schema.names, "n_lines", "n_dropped", "kept_text"],
-            )
+            for part in chunks(batch, "text"):
+                found = _Lines(part)
+                keys, which = np.unique(found.hashes, return_inverse=True)
+                often = np.zeros(len(keys), bool)
+                lines = keys > 0
+                some = keys[lines]
+                often[lines] = np.concatenate([index[s].known(some[at]) >= min_docs for s, at in _dealt(some, shards)]) if len(some) else False
+                yield found.judged(part, often[which])
+
+    return run
+
+
+def _parts(t: pa.Table):
+    for batch in t.to_batches():
+        yield from chunks(batch, "text")
+
+
+def _wanted(t: pa.Table) -> np.ndarray:
+    """The distinct keys of a block of documents."""
+    keys = sorted_distinct(np.concatenate([sorted_distinct(_Lines(part).hashes) for part in _parts(t)]))
+    return keys[keys > 0]
+
+
+def _ask(shards: int):
+    def run(t: pa.Table) -> pa.Table:
+        keys = _wanted(t)
+        dealt = _dealt(keys, shards)
+        return pa.table({"shard": pa.array([s for s, _ in dealt], pa.int32()), "block": pa.array([t["block"][0].as_py()] * len(dealt), pa.int32()), "hashes": pa.array([keys[at].tobytes() for _, at in dealt], pa.binary())})
+
+    return run
+
+
+def _answer(min_docs: int):
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        if len(asked):
+            index = pickle.loads(known["blob"][0].as_py())
+            out = [np.packbits(index.known(np.frombuffer(x.as_py(), np.uint64)) >= min_docs).tobytes() for x in asked["hashes"]]
+        return pa.table({"block": asked["block"].cast(pa.int32()), "shard": asked["shard"].cast(pa.int32()), "often": pa.array(out, pa.binary())})
+
+    return run
+
+
+def _judge(shards: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        keys = _wanted(docs)
+        often = np.zeros(len(keys), bool)
+        got = dict(zip(answers["shard"].to_pylist(), answers["often"].to_pylist()))
+        for s, at in _dealt(keys, shards):
+            often[at] = np.unpackbits(np.frombuffer(got[s], np.uint8), count=at.stop - at.start).astype(bool)
+        out = []
+        for part in _parts(docs):
+            found = _Lines(part)
+            at = np.minimum(np.searchsorted(keys, found.hashes), max(0, len(keys) - 1))
+            out.append(found.judged(part, (found.hashes > 0) & often[at] if len(keys) else np.zeros(len(found.hashes), bool)))
+        return pa.Table.from_batches(out).drop_columns(["block"])
 
     return run
 
@@ -188,11 +238,22 @@ def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, limi
 
     Input columns of these three names are replaced.
     """
-    docs = without(docs, "n_lines", "n_dropped", "kept_text")
-    index, shards = build_index(docs, text_col, min_docs)
-    at = [c.lower() for c in docs.columns].index(text_col.lower())
     kinds = {"n_lines": T.LongType(), "n_dropped": T.LongType(), "kept_text": T.StringType()}
-    return docs.mapInArrow(lean(_probe(_groups(index, limit), shards, at)), schema_with(docs, **kinds))
+    docs = without(docs, *kinds)
+    index, shards = build_index(docs, text_col, min_docs)
+    if (index.agg(F.sum("n_bytes")).first()[0] or 0) <= limit:
+        shared = docs.sparkSession.sparkContext.broadcast({r.shard: bytes(r.blob) for r in index.select("shard", "blob").toLocalIterator()})
+        return mapped(docs, {"text": text_col}, lean(_probe(shared, shards, min_docs)), **kinds)
+    names, low = docs.columns, [c.lower() for c in docs.columns]
+    at = names.index(text_col) if text_col in names else low.index(text_col.lower())
+    plain = docs.toDF(*["text" if k == at else f"__{k}" for k in range(len(names))])
+    blocks = pieces(docs, 8 << 20, 16)
+    # written, so that a row keeps its block when a lost task runs again
+    dealt = stored(plain.withColumn("block", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")), "line-blocks")
+    asked = dealt.select("block", "text").groupBy("block").applyInArrow(lean(_ask(shards)), "shard int, block int, hashes binary")
+    answers = asked.groupBy("shard").cogroup(index.select("shard", "blob").groupBy("shard")).applyInArrow(lean(_answer(min_docs)), "block int, shard int, often binary")
+    out = T.StructType(list(plain.schema.fields) + [T.StructField(k, v) for k, v in kinds.items()])
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(_judge(shards)), out).toDF(*names, *kinds)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
