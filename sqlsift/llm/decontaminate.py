@@ -4,11 +4,13 @@ The sets are item windows (10 consecutive words, or a whole shorter item); their
 trigrams in order (a window of one or two words is its own token). A window is contained only if all its
 tokens are, so one token is a sufficient prefix: the rarest, by counts over all documents. Documents
 join on these prefix tokens; position in the window and both lengths bound the start; the words of the
-whole window are then compared. Nothing but the item index moves: each block of items (4 MB of text at
-most) is one broadcast, and a larger benchmark is joined block by block.
+whole window are then compared. Nothing but the item index moves: up to `block_bytes` of item text are one
+broadcast. A larger benchmark is joined block by block: the driver and the workers hold one block at a time, each pass
+leaves only the occurrences it found, and these meet their documents at the end.
 
 Defined results: null or empty texts have no words and no hits; items without id or words never occur;
-an item id that repeats counts once; repeated documents are judged row by row.
+an item id that repeats counts once; repeated documents are judged row by row; empty tables give no rows or no hits;
+other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sqlsift.llm.common import chunks, column, lean, schema_with, table, without
+from sqlsift.llm.common import chunks, column, lean, mapped, named, stored, table, without
 
 WINDOW = 10
 _TOKEN = 3
@@ -116,53 +118,94 @@ class ItemIndex:
         return np.concatenate(starts), np.concatenate(found)
 
 
-def _count(indexes):
+def _count(shared):
     def run(batches):
-        totals = [np.zeros(len(b.value.tokens), np.int64) for b in indexes]
+        index = shared.value
+        total = np.zeros(len(index.tokens), np.int64)
         for batch in batches:
             for part in chunks(batch, "text"):
                 flat: list[bytes] = []
                 for x in column(part, "text").cast(pa.binary()):
                     flat += [*words(x.as_py()), b""]
-                for b, total in zip(indexes, totals):
-                    _, k = ItemIndex.match(b.value.encode(flat), b.value.widths, b.value.tokens)
-                    total += np.bincount(k, minlength=len(total))
-        for block, total in enumerate(totals):
-            if len(at := np.flatnonzero(total)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), block), pa.int32()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["block", "token", "n"])
+                _, k = ItemIndex.match(index.encode(flat), index.widths, index.tokens)
+                total += np.bincount(k, minlength=len(total))
+        if len(at := np.flatnonzero(total)):
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["token", "n"])
 
     return run
 
 
-def _judge(indexes, text: str):
+class _Words:
+    """The words of some texts in a row, and where each text ends."""
+
+    def __init__(self, part):
+        each = [words(x.as_py()) for x in column(part, "text").cast(pa.binary())]
+        self.flat = [w for ws in each for w in ws]
+        self.n = np.fromiter(map(len, each), np.int64, len(each))
+        self.ends = np.cumsum(self.n)
+
+    def found(self, index: ItemIndex):
+        """Start and length of each occurrence of a window, and the items of each text."""
+        start, w = index.occurrences(index.encode(self.flat), self.ends)
+        items: list[set[str]] = [set() for _ in self.n]
+        doc = np.searchsorted(self.ends, start, "right")
+        for d, k in np.unique(np.stack([doc, w], 1), axis=0) if len(w) else ():
+            items[d].update(index.items[k])
+        return start, index.length[w], doc, items
+
+    def judged(self, part, start: np.ndarray, length: np.ndarray, items: list) -> pa.RecordBatch:
+        hit = np.zeros(len(self.flat) + 1, np.int64)
+        np.add.at(hit, start, 1)
+        np.add.at(hit, start + length, -1)
+        covered = np.r_[0, np.cumsum(np.cumsum(hit[:-1]) > 0)]
+        n_hit = covered[self.ends] - covered[self.ends - self.n]
+        items = [sorted(x) for x in items]
+        digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+        out = {"n_words": pa.array(self.n, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array([len(x) for x in items], pa.int64()), "items_sha256": pa.array(digest, pa.string()), "items": pa.array(items, pa.list_(pa.string())), "contaminated": pa.array(n_hit > 0, pa.bool_())}
+        return pa.RecordBatch.from_arrays([*part.columns, *out.values()], names=[*part.schema.names, *out])
+
+
+def _judge(shared):
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                found = _Words(part)
+                start, length, _, items = found.found(shared.value)
+                yield found.judged(part, start, length, items)
+
+    return run
+
+
+def _find(shared):
+    """What occurs in the texts that hold a window of this block: the words covered as (start, length), and the items."""
+
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, text):
-                each = [words(x.as_py()) for x in column(part, text).cast(pa.binary())]
-                flat = [w for ws in each for w in ws]
-                n = np.fromiter(map(len, each), np.int64, len(each))
-                ends = np.cumsum(n)
-                hit = np.zeros(len(flat) + 1, np.int32)
-                items: list[set[str]] = [set() for _ in each]
-                for b in indexes:
-                    index = b.value
-                    start, w = index.occurrences(index.encode(flat), ends)
-                    np.add.at(hit, start, 1)
-                    np.add.at(hit, start + index.length[w], -1)
-                    doc = np.searchsorted(ends, start, "right")
-                    for d, k in np.unique(np.stack([doc, w], 1), axis=0) if len(w) else ():
-                        items[d].update(index.items[k])
-                covered = np.r_[0, np.cumsum(np.cumsum(hit[:-1]) > 0)]
-                n_hit = covered[ends] - covered[ends - n]
-                digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest, pa.string()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(n_hit > 0, pa.bool_())],
-                    names=[*part.schema.names, "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"],
-                )
+            for part in chunks(batch, "text"):
+                found = _Words(part)
+                start, length, doc, items = found.found(shared.value)
+                order = np.argsort(doc, kind="stable")
+                used, first = np.unique(doc[order], return_index=True)
+                start = (start - (found.ends - found.n)[doc])[order]
+                spans = [np.unique(np.stack([a, b], 1), axis=0).astype("<i8").tobytes() for a, b in zip(np.split(start, first[1:]), np.split(length[order], first[1:]))] if len(used) else []
+                yield pa.RecordBatch.from_arrays([column(part, "__row").take(pa.array(used)), pa.array(spans, pa.binary()), pa.array([sorted(items[d]) for d in used], pa.list_(pa.string()))], names=["__row", "spans", "found"])
 
     return run
 
 
+def _join_up(batches):
+    """Documents with what all blocks found in them."""
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            found = _Words(part)
+            begin = found.ends - found.n
+            spans = [np.frombuffer(b"".join(x or []), "<i8").reshape(-1, 2) for x in column(part, "spans").to_pylist()]
+            items = [{y for some in x or [] for y in some} for x in column(part, "found").to_pylist()]
+            start = np.concatenate([x[:, 0] + b for x, b in zip(spans, begin)] + [np.zeros(0, np.int64)])
+            length = np.concatenate([x[:, 1] for x in spans] + [np.zeros(0, np.int64)])
+            yield found.judged(part.drop_columns(["__row", "spans", "found"]), start, length, items)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_bytes: int = 4 << 20) -> DataFrame:
     """Every row of `docs` with n_words, n_hit, n_items, items_sha256, items and contaminated.
 
@@ -170,22 +213,38 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     kinds = {"n_words": T.LongType(), "n_hit": T.LongType(), "n_items": T.LongType(), "items_sha256": T.StringType(), "items": T.ArrayType(T.StringType()), "contaminated": T.BooleanType()}
     docs = without(docs, *kinds)
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+    items = benchmark.select(named(benchmark, "item_id").cast("string").alias("item"), named(benchmark, "text").cast("binary").alias("text")).filter("item is not null and text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    sc = docs.sparkSession.sparkContext
-    parts = []
+    texts, sc = docs.select(named(docs, text_col).alias("text")), docs.sparkSession.sparkContext
+
+    def ordered(b: int):
+        """The index of a block, its prefixes chosen by counts over all documents, as a broadcast."""
+        rows = items.filter(F.expr(f"pmod(xxhash64(item, text), {blocks}) = {b}")).toLocalIterator()
+        index = ItemIndex([(r.item, bytes(r.text)) for r in rows], window)
+        plain = sc.broadcast(index)
+        counts = np.zeros(len(index.tokens), np.int64)
+        for r in texts.mapInArrow(lean(_count(plain)), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toLocalIterator():
+            counts[r.token] = r.n
+        plain.unpersist()
+        index.order(counts)
+        return sc.broadcast(index)
+
+    if blocks == 1:
+        return mapped(docs, {"text": text_col}, lean(_judge(ordered(0))), **kinds)
+    names, low = docs.columns, [c.lower() for c in docs.columns]
+    at = names.index(text_col) if text_col in names else low.index(text_col.lower())
+    plain = docs.toDF(*["text" if k == at else f"__{k}" for k in range(len(names))])
+    numbered = stored(plain.withColumn("__row", F.monotonically_increasing_id()), "decontamination-rows")
+    found = None
     for b in range(blocks):
-        rows = items.filter(F.expr(f"pmod(xxhash64(item, text), {blocks}) = {b}")).collect()
-        parts.append(ItemIndex([(r.item, bytes(r.text)) for r in rows], window))
-    counting = [sc.broadcast(p) for p in parts]
-    rare = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(_count(counting)), "block int, token int, n long").groupBy("block", "token").agg(F.sum("n").alias("n")).toLocalIterator()
-    counts = [np.zeros(len(p.tokens), np.int64) for p in parts]
-    for r in rare:
-        counts[r.block][r.token] = r.n
-    for p, c in zip(parts, counts):
-        p.order(c)
-    return docs.mapInArrow(lean(_judge([sc.broadcast(p) for p in parts], text_col)), schema_with(docs, **kinds))
+        shared = ordered(b)
+        part = stored(numbered.select("__row", "text").mapInArrow(lean(_find(shared)), "__row long, spans binary, found array<string>"), "occurrences")
+        shared.unpersist()
+        found = part if found is None else found.union(part)
+    found = found.groupBy("__row").agg(F.collect_list("spans").alias("spans"), F.collect_list("found").alias("found"))
+    out = T.StructType(list(plain.schema.fields) + [T.StructField(k, v) for k, v in kinds.items()])
+    return numbered.join(found, "__row", "left").mapInArrow(lean(_join_up), out).toDF(*names, *kinds)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
