@@ -100,7 +100,7 @@ class Schemes:
         return np.searchsorted(np.array(self.edges), sizes, "right") - 1
 
 
-_INFO = np.dtype([("cls", "<u8"), ("n", "<u4"), ("empty", "<u2", 2)])
+_INFO = np.dtype([("cls", "<u8"), ("n", "<u4"), ("empty", "<u4", 2)])
 
 
 def _signatures(sets: list[np.ndarray], schemes: Schemes):
@@ -126,7 +126,7 @@ def _signatures(sets: list[np.ndarray], schemes: Schemes):
             full, total = sp[starts], np.add.reduceat(sv, starts)
             many = np.bincount(full // m, minlength=len(mine))
             none = m - many
-            info["empty"][mine, low] = np.minimum(none, 0xFFFF)
+            info["empty"][mine, low] = none
             emit = np.flatnonzero(none > scheme.slack)
             grid = np.ones((len(emit), m), bool)
             where = np.full(len(mine), -1)
