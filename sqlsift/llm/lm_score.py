@@ -6,15 +6,17 @@ its own estimate and half the product of its children's, so a decision mixes the
 weights the whole training text decides. Where a longer context was never seen, the mixture ends at the
 longest one that was. A text is scored between an end mark on either side, frozen after training.
 
-Learning: tasks send sorted distinct byte n-grams and word hashes with counts, packed, to shards. An n-gram's
-shard is that of its last two context bytes, so a shard holds whole subtrees below depth two; what the
-first two levels need is summed over shards (at most 256 * 255 nodes) and broadcast.
-Scoring: documents lie in blocks by hash. A block asks each shard for the values of its distinct n-grams and
-words in one packed row; answers come back in the order asked. No model is broadcast and no vocabulary
-joined row by row; a shard with many askers is copied and the askers dealt among the copies.
+Documents lie in blocks by hash. A block sends its sorted distinct byte n-grams and word hashes, each with its count in
+the block's training rows, packed, to shards: once, as what it learned and as what it asks. Shards add counts up, some
+blocks at a time. An n-gram's shard is that of its last two context bytes, so a shard holds whole subtrees below
+depth two; what the first two levels need is summed over shards (at most 256 * 255 nodes) and broadcast.
+Answers come back to the block in the order asked. No model is broadcast and no vocabulary joined row by row; a shard
+with many askers is copied and the askers dealt among the copies. Contexts are bounded, so a shard holds a bounded
+number of n-grams however long the text.
 
 Defined results: a null text is empty (its end is still scored); repeated rows and null ids are scored as
-rows of their own; without training rows every decision has probability 1/2. Words are hashed to 64 bits.
+rows of their own; without training rows every decision has probability 1/2; an empty table gives an empty result; of
+other columns none is read or returned. Words are hashed to 64 bits.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlsift.llm.common import chunks, column, lean, mix, pieces, ragged, sorted_distinct, stored, summed, table
+from sqlsift.llm.common import chunks, column, lean, mix, named, ragged, sorted_distinct, stored, summed, table
 from sqlsift.llm.langid import held_out
 
 DEPTH = 5
@@ -69,54 +71,84 @@ def _dealt(kind: int, keys: np.ndarray, depth: int, shards: int):
     return [(int(s), order[cuts[s] : cuts[s + 1]]) for s in np.flatnonzero(np.diff(cuts))]
 
 
-def _tally(parts: list) -> list:
-    return [summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))] if parts else []
-
-
 def _word_hashes(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _learn(depth: int, shards: int, most: int = 3_000_000):
-    def run(batches):
-        held: dict[int, list] = {_WORDS: [], _GRAMS: []}
+def _planes(counts: np.ndarray) -> bytes:
+    return counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-        def out(kind):
-            rows = []
-            for keys, counts in _tally(held[kind]):
-                rows += [(kind, s, _packed(keys[at]), counts[at].tobytes()) for s, at in _dealt(kind, keys, depth, shards)]
-            held[kind] = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["kind", "shard", "keys", "counts"])
 
-        for batch in batches:
-            for part in chunks(batch, "text", 4 << 20):
-                texts = [x.as_py() or b"" for x in column(part, "text").cast(pa.binary())]
-                g = np.sort(grams(texts, depth)[0])
-                starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-                held[_GRAMS].append((g[starts], np.diff(np.r_[starts, len(g)])))
-                codes, words = pd.factorize(np.array([w for t in texts for w in t.lower().split()], object))
-                held[_WORDS].append(summed(_word_hashes(words), np.bincount(codes, minlength=len(words)).astype(np.int64)))
-                for kind in held:
-                    if sum(len(k) for k, _ in held[kind]) > most:
-                        held[kind] = _tally(held[kind])
-                        if len(held[kind][0][0]) > most // 2:
-                            yield from out(kind)
-        for kind in held:
-            yield from out(kind)
+def _counts(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _texts(t: pa.Table):
+    """The texts of a block and whether each is held out, some MB at a time."""
+    for batch in t.select(["text", "held_out"]).to_batches():
+        for part in chunks(batch, "text", 2 << 20):
+            yield [x.as_py() or b"" for x in column(part, "text").cast(pa.binary())], column(part, "held_out").to_numpy(zero_copy_only=False)
+
+
+def _word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, a code for each word, and the hashes by code."""
+    split = [t.lower().split() for t in texts]
+    codes, found = pd.factorize(np.array([w for ws in split for w in ws], object))
+    return np.array([len(w) for w in split], np.int64), codes.astype(np.int32), _word_hashes(found)
+
+
+def _gather(depth: int, shards: int):
+    """The distinct keys of a block, with their counts in its training rows."""
+
+    def run(t: pa.Table) -> pa.Table:
+        seen: list[list] = [[], []]  # n-grams of training rows, of held-out rows
+        words = []
+        for texts, held in _texts(t):
+            for side in (0, 1):
+                if some := [x for x, h in zip(texts, held) if h == side]:
+                    seen[side].append(grams(some, depth)[0])
+            n, codes, hashes = _word_codes(texts)
+            words.append((hashes, np.bincount(codes, weights=np.repeat(~held, n), minlength=len(hashes)).astype(np.int64)))
+        learned = np.concatenate(seen[0]) if seen[0] else np.zeros(0, np.uint64)
+        seen[0] = []
+        learned.sort()
+        starts = np.flatnonzero(np.r_[True, learned[1:] != learned[:-1]]) if len(learned) else np.zeros(0, np.int64)
+        keys, counts = learned[starts], np.diff(np.r_[starts, len(learned)])
+        if seen[1]:
+            del learned
+            others = sorted_distinct(np.concatenate(seen[1]))
+            others = others[keys[np.minimum(np.searchsorted(keys, others), len(keys) - 1)] != others] if len(keys) else others
+            keys, counts = summed(np.concatenate([keys, others]), np.concatenate([counts, np.zeros(len(others), np.int64)]))
+        found = {_GRAMS: (keys, counts), _WORDS: summed(np.concatenate([k for k, _ in words] or [np.zeros(0, np.uint64)]), np.concatenate([c for _, c in words] or [np.zeros(0, np.int64)]))}
+        block = int(t["block"][0].as_py())
+        rows = [(kind, s, block, _packed(k[at]), _planes(c[at])) for kind, (k, c) in found.items() for s, at in _dealt(kind, k, depth, shards)]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32()] * 3 + [pa.binary()] * 2)], names=["kind", "shard", "part", "keys", "counts"])
 
     return run
 
 
-_MODEL = "kind int, shard int, keys binary, counts binary, n_in long, n_keys long, total long"
+_GATHERED = "kind int, shard int, part int, keys binary, counts binary"
+_MODEL = "kind int, shard int, part int, keys binary, counts binary, n_in long, n_keys long, total long"
+#: How many parts of a shard one task adds up at a time.
+_TOGETHER = 64
 
 
 def _merge(t: pa.Table) -> pa.Table:
-    keys = [_unpacked(x.as_py()) for x in t["keys"]]
-    n = sum(map(len, keys))
-    keys, counts = summed(np.concatenate(keys), np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t["counts"]]))
-    same = {c: pa.array([int(t[c][0].as_py())], pa.int32()) for c in ("kind", "shard")}
-    return pa.table({**same, "keys": pa.array([_packed(keys)], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "n_in": [n], "n_keys": [len(keys)], "total": [int(counts.sum())]})
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    asked = 0
+    held: list[tuple] = []
+    for k, c in zip(t["keys"], t["counts"]):
+        k, c = _unpacked(k.as_py()), _counts(c.as_py())
+        asked += len(k)
+        held.append((k[c > 0], c[c > 0]))
+        if sum(len(x) for x, _ in held) > max(1_000_000, len(keys)):
+            keys, counts = summed(np.concatenate([keys, *[x for x, _ in held]]), np.concatenate([counts, *[x for _, x in held]]))
+            held = []
+    keys, counts = summed(np.concatenate([keys, *[x for x, _ in held]]), np.concatenate([counts, *[x for _, x in held]]))
+    if "n_in" in t.column_names:
+        asked = sum(t["n_in"].to_pylist())
+    same = {c: pa.array([int(t[c][0].as_py())], pa.int32()) for c in ("kind", "shard", "part")}
+    return pa.table({**same, "keys": pa.array([_packed(keys)], pa.binary()), "counts": pa.array([_planes(counts)], pa.binary()), "n_in": [asked], "n_keys": [len(keys)], "total": [int(counts.sum())]})
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -179,7 +211,9 @@ def _first_levels(depth: int):
     def run(batches):
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, counts = _unpacked(k), np.frombuffer(c, np.int64)
+                keys, counts = _unpacked(k), _counts(c)
+                if not len(keys):
+                    continue
                 ids, zero, one = _nodes(*summed((keys >> np.uint64(8 * depth) << np.uint64(8)) | (keys & np.uint64(255)), counts))
                 child = Subtrees.up(*Subtrees(keys, counts, depth).top)
                 yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(zero), pa.array(one), pa.array(child[1])], names=["node", "zero", "one", "below"])
@@ -233,46 +267,13 @@ def log10_probability(keys: np.ndarray, top: Top, trees: Subtrees, depth: int) -
     return out
 
 
-def _texts(t: pa.Table):
-    """The texts of a block, some MB at a time."""
-    for batch in t.select(["text"]).to_batches():
-        for part in chunks(batch, "text", 2 << 20):
-            yield [x.as_py() or b"" for x in column(part, "text").cast(pa.binary())]
-
-
-def _word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text, a code for each word, and the hashes by code."""
-    split = [t.lower().split() for t in texts]
-    codes, found = pd.factorize(np.array([w for ws in split for w in ws], object))
-    return np.array([len(w) for w in split], np.int64), codes.astype(np.int32), _word_hashes(found)
-
-
-def _distinct(t: pa.Table, depth: int) -> tuple[dict[int, np.ndarray], list]:
-    """The sorted distinct keys of a block, and the word codes of its texts."""
-    found, coded = [np.zeros(0, np.uint64)], []
-    for texts in _texts(t):
-        found.append(sorted_distinct(grams(texts, depth)[0]))
-        coded.append(_word_codes(texts))
-    words = [hashes for _, _, hashes in coded]
-    return {_WORDS: sorted_distinct(np.concatenate(words + found[:1])), _GRAMS: sorted_distinct(np.concatenate(found))}, coded
-
-
-def _ask(depth: int, shards: int, copies: int):
-    def run(t: pa.Table) -> pa.Table:
-        block = int(t["block"][0].as_py())
-        rows = [(kind, s, block % copies, block, _packed(keys[at])) for kind, keys in _distinct(t, depth)[0].items() for s, at in _dealt(kind, keys, depth, shards)]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32()] * 4 + [pa.binary()])], names=["kind", "shard", "copy", "block", "keys"])
-
-    return run
-
-
 def _answer(top, depth: int):
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
         out = []
         if len(asked):
             kind, shard = int(asked["kind"][0].as_py()), int(asked["shard"][0].as_py())
             keys = _unpacked(known["keys"][0].as_py()) if len(known) else np.zeros(0, np.uint64)
-            counts = np.frombuffer(known["counts"][0].as_py(), np.int64) if len(known) else np.zeros(0, np.int64)
+            counts = _counts(known["counts"][0].as_py()) if len(known) else np.zeros(0, np.int64)
             trees = Subtrees(keys, counts, depth) if kind == _GRAMS else None
             for i in range(len(asked)):
                 want = _unpacked(asked["keys"][i].as_py())
@@ -281,7 +282,7 @@ def _answer(top, depth: int):
                 else:
                     at = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
                     value = np.where(keys[at] == want, counts[at], 0) if len(keys) else np.zeros(len(want), np.int64)
-                out.append((int(asked["block"][i].as_py()), kind, shard, value.tobytes()))
+                out.append((int(asked["part"][i].as_py()), kind, shard, value.tobytes()))
         cols = list(zip(*out)) or [()] * 4
         return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32()] * 3 + [pa.binary()])], names=["block", "kind", "shard", "answer"])
 
@@ -293,22 +294,25 @@ def _score(depth: int, shards: int, total: int, distinct: int, ends: int, id_typ
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         cols = {"doc_id": docs["doc_id"], "held_out": docs["held_out"]}
-        keys, coded = _distinct(docs, depth)
+        parts = []
+        for texts, _ in _texts(docs):
+            g, upto = grams(texts, depth)
+            codes, found = pd.factorize(g)
+            parts.append((codes.astype(np.int32), found, upto, *_word_codes(texts)))
+        keys = {_GRAMS: sorted_distinct(np.concatenate([x[1] for x in parts] + [np.zeros(0, np.uint64)])), _WORDS: sorted_distinct(np.concatenate([x[5] for x in parts] + [np.zeros(0, np.uint64)]))}
         value = {_WORDS: np.zeros(len(keys[_WORDS]), np.int64), _GRAMS: np.zeros(len(keys[_GRAMS]), np.float32)}
         got = {(k, s): a for k, s, a in zip(answers["kind"].to_pylist(), answers["shard"].to_pylist(), answers["answer"].to_pylist())}
         for kind in keys:
             for s, at in _dealt(kind, keys[kind], depth, shards):
                 value[kind][at] = np.frombuffer(got[kind, s], value[kind].dtype)
         n_tokens, n_known, base, score = [], [], [], []
-        for texts, (n, word, hashes) in zip(_texts(docs), coded):
-            g, upto = grams(texts, depth)
-            codes, found = pd.factorize(g)
+        for codes, found, upto, n, word, hashes in parts:
             each = value[_GRAMS][np.searchsorted(keys[_GRAMS], found)].astype(float)[codes]
             score.append(np.add.reduceat(each, np.r_[0, upto[:-1]]))
             count = value[_WORDS][np.searchsorted(keys[_WORDS], hashes)][word] if len(hashes) else np.zeros(0, np.int64)
-            of = np.repeat(np.arange(len(texts)), n)
-            known = np.bincount(of, weights=count > 0, minlength=len(texts)).astype(np.int64)
-            logs = np.bincount(of, weights=np.log10(count + 0.1), minlength=len(texts))
+            of = np.repeat(np.arange(len(n)), n)
+            known = np.bincount(of, weights=count > 0, minlength=len(n)).astype(np.int64)
+            logs = np.bincount(of, weights=np.log10(count + 0.1), minlength=len(n))
             n_tokens.append(n + 1)
             n_known.append(known + (ends > 0))
             base.append(logs + np.log10(ends + 0.1) - (n + 1) * floor)
@@ -320,29 +324,36 @@ def _score(depth: int, shards: int, total: int, distinct: int, ends: int, id_typ
     return run
 
 
-def lm_scores(docs: DataFrame, training, text_col: str = "text", id_col: str = "doc_id", depth: int = DEPTH) -> DataFrame:
+def lm_scores(docs: DataFrame, training, text_col: str = "text", id_col: str = "doc_id", depth: int = DEPTH, shard_bytes: int = 7 << 20, block_bytes: int = 14 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows where the column `training` holds are learned from."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    if not 1 <= depth <= 7:
+        raise ValueError("depth must be 1 to 7: an n-gram is one number")
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (~training).alias("held_out"))
-    shards = pieces(docs, 4 << 20, 32)
-    learned = rows.filter("not held_out").select("text").mapInArrow(lean(_learn(depth, shards)), "kind int, shard int, keys binary, counts binary")
-    model = stored(learned.groupBy("kind", "shard").applyInArrow(lean(_merge), _MODEL), "lm")
-    ends = rows.filter("not held_out").count()
+    rows = docs.select(named(docs, id_col).alias("doc_id"), F.coalesce(named(docs, text_col), F.lit("")).alias("text"), (~training).alias("held_out"))
+    ends, size = rows.agg(F.count_if(~F.col("held_out")), F.sum(F.octet_length("text") + 16)).first()
+    shards, blocks = max(32, -(-(size or 0) // shard_bytes)), max(1, -(-(size or 0) // block_bytes))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    gathered = stored(dealt.groupBy("block").applyInArrow(lean(_gather(depth, shards)), _GATHERED), "lm-gathered")
+    model, left = gathered, blocks
+    while True:  # at each level some parts become one
+        left = -(-left // _TOGETHER)
+        model = model.withColumn("part", (F.col("part") / _TOGETHER).cast("int")).groupBy("kind", "shard", "part").applyInArrow(lean(_merge), _MODEL)
+        if left == 1:
+            break
+    model = stored(model, "lm")
     facts = {r.kind: r for r in model.groupBy("kind").agg(F.sum("n_in").alias("n_in"), F.sum("n_keys").alias("n_keys"), F.sum("total").alias("total")).collect()}
     first = model.filter(f"kind = {_GRAMS}").select("keys", "counts").mapInArrow(lean(_first_levels(depth)), "node long, zero long, one long, below double")
     first = first.groupBy("node").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), F.sum("below").alias("below")).toPandas()
     top = spark.sparkContext.broadcast(Top(*(first[c].to_numpy() for c in ("node", "zero", "one", "below"))))
     words = facts.get(_WORDS)
     total, distinct = (words.total if words else 0) + ends, (words.n_keys if words else 0) + (ends > 0)
-    copies = max(1, *(-(-f.n_in // (8 * f.n_keys)) for f in facts.values())) if facts else 1
-    blocks = pieces(docs, 8 << 20, 16)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    asked = dealt.groupBy("block").applyInArrow(lean(_ask(depth, shards, copies)), "kind int, shard int, copy int, block int, keys binary")
-    known = model.select("kind", "shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "keys", "counts")
+    copies = max([1, *(-(-f.n_in // max(1, 8 * f.n_keys)) for f in facts.values())])
     by = ("kind", "shard", "copy")
-    answers = asked.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(lean(_answer(top, depth)), "block int, kind int, shard int, answer binary")
+    asked = gathered.select("kind", "shard", F.pmod("part", F.lit(copies)).alias("copy"), "part", "keys").repartition(2 * shards, *by)
+    known = model.select("kind", "shard", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "keys", "counts").repartition(2 * shards, *by)
+    answers = asked.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(lean(_answer(top, depth)), "block int, kind int, shard int, answer binary").repartition(blocks, "block")
     kind = rows.schema["doc_id"].dataType
     out = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(_score(depth, shards, total, distinct, ends, to_arrow_type(kind))), out)

@@ -107,14 +107,15 @@ def brute_ctw(train, text, depth):
     return total
 
 
-def test_lm_score_brute_force(spark):
+def test_lm_score_brute_force(spark, monkeypatch):
     texts = [(i, t) for i, t in enumerate(["abracadabra abra", "abra cad", None, "", "zzz über", "abracadabra abra", "The the THE"] * 3)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in texts}
     train = [(t or "").encode() for i, t in texts if not held[i]]
     words = Counter(w for t in train for w in [*t.lower().split(), "end"])
     total = sum(words.values())
-    for r in lm_score.lm_scores(docs, ~langid.held_out(10), depth=3).collect():
+    monkeypatch.setattr(lm_score, "_TOGETHER", 2)  # several levels of merging
+    for r in lm_score.lm_scores(docs, ~langid.held_out(10), depth=3, block_bytes=100).collect():
         t = (dict(texts)[r.doc_id] or "").encode()
         ws = [*t.lower().split(), "end"]
         assert r.score == pytest.approx(brute_ctw(train, t, 3), rel=1e-5)
