@@ -1,7 +1,9 @@
 """The corpus pipeline: language ID, line dedup, near duplicates, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the
-docs of the next. Nulls, empty tables and repeated rows are treated as the operators' docstrings define.
+docs of the next; columns beside COLUMNS are dropped by the first. Nulls, empty texts, empty tables and repeated rows are
+treated as the operators' docstrings define: only documents without a letter or in no learned language go for their
+language, lines go and stay by their number of documents, a row goes as a copy or for a benchmark passage by itself.
 """
 
 from __future__ import annotations
@@ -35,9 +37,17 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group; rows without id stay."""
-    found = near_components(docs).filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one document of each group: that of least id, of equal ids the first row, of rows without id the first if no other has one.
+
+    Rows are told apart by their place in the table, so `docs` is to be one read from files, as run() gives it. Rows
+    without words stay.
+    """
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    groups = near_components(rows.select(key.alias("key"), "text"), id_col="key")
+    found = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id.row").alias("__row")), "copies")
+    few = found.count() <= 1 << 20  # 8 bytes each
+    return rows.join(F.broadcast(found) if few else found, "__row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
