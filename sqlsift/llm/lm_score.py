@@ -333,7 +333,7 @@ def lm_scores(docs: DataFrame, training, text_col: str = "text", id_col: str = "
     spark = docs.sparkSession
     rows = docs.select(named(docs, id_col).alias("doc_id"), F.coalesce(named(docs, text_col), F.lit("")).alias("text"), (~training).alias("held_out"))
     ends, size = rows.agg(F.count_if(~F.col("held_out")), F.sum(F.octet_length("text") + 16)).first()
-    shards, blocks = max(32, -(-(size or 0) // shard_bytes)), max(1, -(-(size or 0) // block_bytes))
+    shards, blocks = max(32, -(-(size or 0) // shard_bytes)), max(32, -(-(size or 0) // block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     gathered = stored(dealt.groupBy("block").applyInArrow(lean(_gather(depth, shards)), _GATHERED), "lm-gathered")
     model, left = gathered, blocks
