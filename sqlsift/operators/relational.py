@@ -15,7 +15,6 @@ SQL: dict[str, tuple[str, str | None]] = {
     "star": ("SELECT n.* FROM nation n", None),
     "empty_projection": ("SELECT count(*) AS n FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)", None),
     "distinct": ("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem", None),
-    "distinct_on": ("SELECT o_custkey, max_by(o_orderkey, struct(o_totalprice, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey DESC"),
     # joins
     "join_inner": ("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'", None),
     "join_left": ("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000", None),
@@ -53,7 +52,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "sort_nulls": ("SELECT k, v FROM (SELECT n_nationkey AS k, CASE WHEN n_regionkey > 1 THEN n_name END AS v FROM nation) ORDER BY v ASC NULLS LAST, k DESC NULLS FIRST", None),
     "limit_offset": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5", None),
     "fetch_first": ("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7", "SELECT o_orderkey FROM orders ORDER BY o_orderkey FETCH FIRST 7 ROWS ONLY"),
-    "fetch_with_ties": ("SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size DESC) AS r FROM part) WHERE r <= 5", None),
+    "fetch_with_ties": ("SELECT p_partkey, p_size FROM part WHERE p_size >= (SELECT min(p_size) FROM (SELECT p_size FROM part ORDER BY p_size DESC LIMIT 5))", "SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size DESC) AS r FROM part) WHERE r <= 5"),
     # set operations
     "union": ("SELECT n_nationkey AS k FROM nation UNION SELECT s_nationkey FROM supplier", None),
     "union_all": ("SELECT n_nationkey AS k FROM nation UNION ALL SELECT s_nationkey FROM supplier", None),
@@ -79,7 +78,6 @@ SQL: dict[str, tuple[str, str | None]] = {
     "expr_is": ("SELECT k, v IS NULL AS a, v IS NOT NULL AS b, (v = 'X') IS TRUE AS c, (v = 'X') IS NOT TRUE AS d FROM (SELECT n_nationkey AS k, CASE WHEN n_regionkey > 1 THEN n_name END AS v FROM nation)", None),
     "expr_is_distinct": ("SELECT k FROM (SELECT n_nationkey AS k, CASE WHEN n_regionkey > 1 THEN n_regionkey END AS v FROM nation) WHERE v IS DISTINCT FROM 2 AND v IS NOT DISTINCT FROM NULL", None),
     "expr_like": ("SELECT p_partkey FROM part WHERE p_name LIKE '%a%' AND p_brand ILIKE 'brand%' AND p_type NOT LIKE 'Z%'", None),
-    "expr_similar": ("SELECT p_partkey FROM part WHERE p_brand RLIKE '^(?:Brand#(1|2).*)$'", "SELECT p_partkey FROM part WHERE p_brand SIMILAR TO 'Brand#(1|2).*'"),
     "expr_regex": ("SELECT p_partkey FROM part WHERE p_brand RLIKE '#[13]' AND p_name RLIKE '(?i)A' AND NOT p_type RLIKE 'zz'", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '#[13]') AND regexp_matches(p_name, '(?i)A') AND NOT regexp_matches(p_type, 'zz')"),
     "expr_string": ("SELECT p_partkey, upper(p_name) AS u, lower(p_name) AS l, length(p_name) AS n, substring(p_name FROM 2 FOR 3) AS s, replace(p_name, 'a', 'b') AS r, left(p_name, 2) AS le, right(p_name, 2) AS ri, translate(p_name, 'ae', 'xy') AS t FROM part", "SELECT p_partkey, upper(p_name) AS u, lower(p_name) AS l, cast(length(p_name) AS INT) AS n, substring(p_name, 2, 3) AS s, replace(p_name, 'a', 'b') AS r, left(p_name, 2) AS le, right(p_name, 2) AS ri, translate(p_name, 'ae', 'xy') AS t FROM part"),
     "expr_trim": ("SELECT p_partkey, trim(BOTH 'B' FROM p_brand) AS b, trim(LEADING 'B' FROM p_brand) AS l, trim(TRAILING '1' FROM p_brand) AS t FROM part", "SELECT p_partkey, trim(p_brand, 'B') AS b, ltrim(p_brand, 'B') AS l, rtrim(p_brand, '1') AS t FROM part"),
@@ -90,7 +88,6 @@ SQL: dict[str, tuple[str, str | None]] = {
     "expr_tz": ("SELECT event_id, convert_timezone('America/Denver', 'UTC', ts) AS u FROM events", "SELECT event_id, cast(timezone('America/Denver', ts) AT TIME ZONE 'UTC' AS TIMESTAMP) AS u FROM events"),
     "json_get": ("SELECT event_id, cast(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, cast(props->>'k' AS BIGINT) AS k FROM events"),
     "json_has_key": ("SELECT event_id, array_contains(json_object_keys(props), 'k') AS has FROM events", "SELECT event_id, list_contains(json_keys(props), 'k') AS has FROM events"),
-    "json_contains": ("SELECT event_id FROM events WHERE get_json_object(props, '$.k') = '7'", "SELECT event_id FROM events WHERE json_contains(props, '{\"k\": 7}')"),
     "array_literal": ("SELECT n_nationkey, array_join(array(n_name, 'x'), '|') AS a FROM nation", "SELECT n_nationkey, array_to_string([n_name, 'x'], '|') AS a FROM nation"),
     "array_index_slice": ("SELECT n_nationkey, element_at(split(n_name, ''), 1) AS f, array_join(slice(split(n_name, ''), 2, 2), '') AS s FROM nation", "SELECT n_nationkey, string_split(n_name, '')[1] AS f, array_to_string(string_split(n_name, '')[2:3], '') AS s FROM nation"),
     "array_overlap": ("SELECT n_nationkey, arrays_overlap(array(n_regionkey, n_nationkey), array(1, 2)) AS o FROM nation", "SELECT n_nationkey, list_has_any([n_regionkey, n_nationkey], [1, 2]) AS o FROM nation"),
@@ -105,15 +102,20 @@ def _upserts():
     from sqlsift.operators import upsert as u
 
     def old(s, d):
-        return s.table("orders").select("o_orderkey", "o_orderstatus").filter("o_orderkey % 2 = 0")
+        return s.table("orders").select("o_orderkey", "o_orderstatus")
 
     def new(s, d):
-        return s.table("orders").select("o_orderkey", F.lit("N").alias("o_orderstatus")).filter("o_orderkey % 3 = 0")
+        return s.table("orders").select((F.col("o_orderkey") + 5000).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"))
 
-    pair = "WITH o AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0), n AS (SELECT o_orderkey, 'N' AS o_orderstatus FROM orders WHERE o_orderkey % 3 = 0) "
+    pair = "WITH o AS (SELECT o_orderkey, o_orderstatus FROM orders), n AS (SELECT o_orderkey + 5000 AS o_orderkey, 'N' AS o_orderstatus FROM orders) "
     return {
         "upsert_replace": (lambda s, d: u.replace(old(s, d), new(s, d), "o_orderkey"), pair + "SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.o_orderkey = o.o_orderkey)"),
         "upsert_insert_only": (lambda s, d: u.insert_only(old(s, d), new(s, d), "o_orderkey"), pair + "SELECT * FROM o UNION ALL SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE n.o_orderkey = o.o_orderkey)"),
+        "distinct_on": (lambda s, d: distinct_on(s.table("orders"), ["o_custkey"], [F.desc("o_totalprice"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey"), "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey DESC"),
+        "expr_similar": (lambda s, d: s.table("part").filter(similar_to(F.col("p_brand"), "Brand#(1|2)_%")).select("p_partkey"), "SELECT p_partkey FROM part WHERE p_brand SIMILAR TO 'Brand#(1|2)..*'"),
+        "json_contains": (lambda s, d: s.table("events").select("event_id", json_contains(F.col("props"), F.to_json(F.struct((F.col("event_id") % 100).alias("k")))).alias("has")), "SELECT event_id, json_contains(props, json_object('k', event_id % 100)) AS has FROM events"),
+        "json_path": (lambda s, d: s.table("events").select("event_id", json_path(F.to_json(F.struct(F.array(F.col("props")).alias("a"), F.parse_json("props").alias("o"))), "o", "k").cast("long").alias("k")), "SELECT event_id, cast(props->>'k' AS BIGINT) AS k FROM events"),
+        "json_keys_any_all": (lambda s, d: s.table("events").select("event_id", json_has(F.col("props"), ["k", "z"], False).alias("any_key"), json_has(F.col("props"), ["k", "z"], True).alias("all_keys"), json_without(F.col("props"), "k").alias("rest")), "SELECT event_id, list_has_any(json_keys(props), ['k', 'z']) AS any_key, list_has_all(json_keys(props), ['k', 'z']) AS all_keys, '{}' AS rest FROM events"),
         "delete_rewrite": (lambda s, d: u.delete_where(s.table("orders"), F.col("o_orderstatus") == "F").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F')"),
         "update_rewrite": (lambda s, d: u.update_where(s.table("orders"), F.col("o_orderstatus") == "F", o_orderpriority=F.lit("done")).select("o_orderkey", "o_orderpriority"), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE o_orderpriority END AS o_orderpriority FROM orders"),
     }
@@ -138,6 +140,30 @@ def distinct_on(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_nth = 1").drop("_nth")
 
 
+def json_contains(column, part):
+    """`column @> part` of JSON objects: each top-level key of `part` has the same JSON value in `column`."""
+    kind = "map<string, variant>"
+    whole, wanted = F.from_json(column, kind), F.from_json(part, kind)
+    return F.forall(F.map_keys(wanted), lambda k: F.coalesce(F.to_json(whole[k]) == F.to_json(wanted[k]), F.lit(False)))
+
+
+def json_path(column, *path: str):
+    """`column #>> path`: the value at a path of keys and positions, as text."""
+    return F.get_json_object(column, "$" + "".join(f"[{x}]" if x.isdigit() else f"['{x}']" for x in path))
+
+
+def json_has(column, keys: list[str], every: bool):
+    """`column ?& keys` (every key) or `column ?| keys` (one of them)."""
+    found = F.json_object_keys(column)
+    wanted = F.array(*[F.lit(k) for k in keys])
+    return F.size(F.array_except(wanted, found)) == 0 if every else F.arrays_overlap(found, wanted)
+
+
+def json_without(column, key: str):
+    """`column - key` of a JSON object."""
+    return F.to_json(F.map_filter(F.from_json(column, "map<string, variant>"), lambda k, v: k != key))
+
+
 def similar_to(column, pattern: str):
     """SQL's SIMILAR TO as an anchored regular expression."""
     out, at = "", 0

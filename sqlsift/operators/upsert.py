@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 
 def insert_only(existing: DataFrame, new: DataFrame, key: str = "uid") -> DataFrame:
-    """ON CONFLICT DO NOTHING."""
-    return existing.unionByName(new.dropDuplicates([key]).join(existing.select(key), key, "left_anti"), allowMissingColumns=True)
+    """ON CONFLICT DO NOTHING. A null key conflicts with nothing."""
+    one = new.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(new.filter(F.col(key).isNull()))
+    return existing.unionByName(one.join(existing.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
 def replace(existing: DataFrame, new: DataFrame, key: str = "uid") -> DataFrame:
-    """ON CONFLICT DO UPDATE: new rows win."""
-    return new.unionByName(existing.join(new.select(key), key, "left_anti"), allowMissingColumns=True)
+    """ON CONFLICT DO UPDATE: new rows win; of several with one key one stays. A null key conflicts with nothing."""
+    one = new.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    return one.unionByName(new.filter(F.col(key).isNull())).unionByName(existing.join(one.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
 def add(existing: DataFrame, new: DataFrame, key: str, sums: list[str]) -> DataFrame:

@@ -77,6 +77,18 @@ def _executed(s, d, paired: bool):
     return out.select(F.expr("cast(substr(file, 2) AS BIGINT)").alias("event_id"), "local_time", "hour", F.col("user").alias("user_name"), F.col("database").alias("db"), F.col("query").alias("masked"), "duration_us")
 
 
+def _sessions(s, d):
+    """A log file a day, many clients in each: a statement of two lines, then entries of others, then its duration."""
+    e = _events(s, d).withColumn("file", F.date_format("ts", "yyyy-MM-dd")).withColumn("host", F.concat(F.lit("10.1.1."), F.col("event_id") % 200))
+    prefix = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC:"), "host", F.lit("(5432):"), "user_name", F.lit("@"), "db", F.lit(":[42]:LOG:  "))
+    said = F.concat(prefix, F.lit("statement: /* "), F.col("event_id"), F.lit(" */ "), "masked", F.lit("\n   ;\n"))
+    took = F.concat(prefix, F.lit("duration: "), (F.col("duration_us") / 1000).cast("decimal(20,3)").cast("string"), F.lit(" ms\n"))
+    lines = e.select("file", F.explode(F.array(F.struct((2 * F.col("event_id")).alias("at"), said.alias("line")), F.struct((2 * F.col("event_id") + 7).alias("at"), took.alias("line")))).alias("x"))
+    files = lines.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.line), "").alias("text"))
+    out = logs.executions(logs.paired(logs.entries(files)))
+    return out.select(F.regexp_extract("query", r"^/\* (\d+)", 1).cast("long").alias("event_id"), F.regexp_replace("query", r"^/\* \d+ \*/ ", "").alias("query"), F.col("user").alias("user_name"), F.col("database").alias("db"), "hour", "duration_us")
+
+
 _EX = f"SELECT event_id, date_trunc('second', ts) AS local_time, date_trunc('hour', ts) AS hour, 'user_'||user_id AS user_name, 'db_'||(event_id % 3) AS db, {_MASKED} AS masked, cast(round(value * 1000) AS BIGINT) AS duration_us FROM events"
 _QH = f"WITH e AS (SELECT *, {uuid5_sql('masked')} AS query_uid FROM ({_EX})) "
 _HOUR = uuid5_sql("query_uid||'|'||strftime(hour, '%Y-%m-%d %H:00:00')")
@@ -98,12 +110,13 @@ def registry():
     read_back = _EX.replace("cast(round(value * 1000) AS BIGINT)", "cast(trunc(round(value * 1000) / 1000 * 1000) AS BIGINT)")  # the unit conversion truncates
     out["log_roundtrip"] = (lambda s, d: _executed(s, d, False), read_back)
     out["log_pairing"] = (lambda s, d: _executed(s, d, True), read_back)
+    out["log_sessions"] = (_sessions, f"SELECT event_id, masked || chr(10) || ';' AS query, user_name, db, hour, duration_us FROM ({read_back})")
     out["hour_rollup"] = (lambda s, d: rollup.by_hour(_events(s, d)), _QH + f"SELECT {_HOUR} AS uid, * FROM (SELECT query_uid, cast(hour AS DATE) AS queried_date, cast(extract(hour FROM hour) AS INT) AS queried_hour, count(*) AS total_count, cast(sum(duration_us) AS BIGINT) AS total_duration_us, count(*) AS total_queries_in_transaction, hour FROM e GROUP BY query_uid, hour)".replace("SELECT " + _HOUR + " AS uid, *", f"SELECT {_HOUR} AS uid, query_uid, queried_date, queried_hour, total_count, total_duration_us, total_queries_in_transaction"))
     hour_users = _QH + f"SELECT {uuid5_sql('user_name||' + chr(39) + '|' + chr(39) + '||h')} AS uid, h AS queries_by_hour_uid, user_name, n AS total_count, us AS total_duration_us, {uuid5_sql('user_name||' + chr(39) + '|' + chr(39) + '||query_uid')} AS legacy_uid FROM (SELECT query_uid, hour, user_name, {_HOUR} AS h, count(*) AS n, cast(sum(duration_us) AS BIGINT) AS us FROM e GROUP BY query_uid, hour, user_name)"
     out["user_rollup"] = (lambda s, d: rollup.by_user(_events(s, d)), hour_users)
     out["fingerprint_uuid5"] = (lambda s, d: _events(s, d).select("event_id", "query_uid"), f"SELECT event_id, {uuid5_sql(_MASKED)} AS query_uid FROM events")
     out["sha1"] = (lambda s, d: _events(s, d).select("event_id", F.sha1(F.col("masked").cast("binary")).alias("h")), f"SELECT event_id, sha1({_MASKED}) AS h FROM events")
     out["first_wins"] = (lambda s, d: rollup.first_wins(_events(s, d), "event_id", "db", "user_name"), _QH + "SELECT query_uid, arg_min(db, event_id) AS db, arg_min(user_name, event_id) AS user_name FROM e GROUP BY query_uid")
-    out["error_rank"] = (lambda s, d: rollup.error_ranking(_events(s, d).filter("event_id % 7 = 0").select(F.concat(F.lit("no prefix function for "), "db").alias("first_error"))), "SELECT 'no prefix function for db_'||(event_id % 3) AS first_error, count(*) AS count FROM events WHERE event_id % 7 = 0 GROUP BY 1")
+    out["error_rank"] = (lambda s, d: rollup.error_ranking(_events(s, d).select(F.concat(F.lit("no prefix function for "), "db").alias("first_error"))), "SELECT 'no prefix function for db_'||(event_id % 3) AS first_error, count(*) AS count FROM events GROUP BY 1")
     out["tx_split"] = (_tx, "WITH e AS (SELECT event_id, cast(round(value * 1000) AS BIGINT) AS us FROM events), s AS (SELECT 'BEGIN' AS command, 2 AS tx, round(us / 2) AS us FROM e WHERE event_id % 3 = 0 UNION ALL SELECT 'UPDATE', 2, round(us / 2) FROM e WHERE event_id % 3 = 0 UNION ALL SELECT 'COMMIT', 1, 0 FROM e WHERE event_id % 3 = 0 UNION ALL SELECT 'SET', 1, 0 FROM e WHERE event_id % 3 = 1 UNION ALL SELECT 'SELECT', 2, round(us / 2) FROM e, range(2) WHERE event_id % 3 = 2) SELECT command, count(*) AS n, cast(sum(tx) AS BIGINT) AS tx, cast(sum(us) AS BIGINT) AS us FROM s GROUP BY command")
     return out

@@ -1,6 +1,8 @@
 """PostgreSQL server logs: entries, pairing of statements with durations, normalised executions.
 
-All of it is Catalyst expressions. A file is one row (`wholetext`; servers rotate logs at megabytes), an entry
+All of it is Catalyst expressions. An entry is matched once for its prefix and once for its body, before it leaves the
+array of its file's entries, so that no filter or column repeats a match. Control character 1, which separates the
+pieces, is dropped from texts. A file is one row (`wholetext`; servers rotate logs at megabytes), an entry
 one row after the split. Text before the first entry, an entry whose prefix does not parse, and a statement of
 unknown zone or unreadable time are kept in `quarantined`. Pairing needs order only within a file and client, so its window never spans files.
 """
@@ -22,23 +24,34 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
+_SEPARATOR = "\x01"
+
+
+def _pieces(text, pattern: str, groups: int):
+    """The groups of a match, after an empty piece; the text alone if it does not match."""
+    return F.split(F.regexp_replace(text, pattern, "".join(f"{_SEPARATOR}${n}" for n in range(1, groups + 1))), _SEPARATOR, groups + 1)
+
+
 def _split(files: DataFrame) -> DataFrame:
-    return files.select("file", F.posexplode(F.split("text", START)).alias("entry_no", "entry")).filter(F.trim("entry") != "")
+    """file, entry_no, entry and p (the pieces of its prefix and its body) of each entry."""
+    raw = F.split(F.translate("text", _SEPARATOR, ""), START)
+    each = F.transform(raw, lambda e: F.struct(e.alias("entry"), _pieces(F.rtrim(F.regexp_replace(e, r"[\r\n]+\z", "")), PREFIX, 10).alias("p")))
+    return files.select("file", F.posexplode(each).alias("entry_no", "e")).select("file", "entry_no", "e.entry", "e.p").filter(F.trim("entry") != "")
 
 
 def _parsed(files: DataFrame) -> DataFrame:
-    raw = _split(files).withColumn("entry", F.rtrim(F.regexp_replace("entry", r"[\r\n]+\z", "")))
-    part = lambda n: F.regexp_extract("entry", PREFIX, n)
-    body = F.regexp_replace(part(10), r"(?m)^[ \t\r]+", "")
-    raw = raw.filter(F.col("entry").rlike(PREFIX)).select(
-        "entry", "file", "entry_no", part(1).alias("date"), part(2).alias("time"), part(3).alias("timezone"), part(4).alias("remote_host"), part(5).cast("int").alias("remote_port"),
-        part(6).alias("user"), part(7).alias("database"), part(8).cast("int").alias("pid"), part(9).alias("severity"), body.alias("body"),
+    part = lambda n: F.col("p")[n]
+    raw = _split(files).filter(F.size("p") > 1).select(
+        "entry", "file", "entry_no", part(1).alias("date"), part(2).alias("time"), part(3).alias("timezone"), part(4).alias("remote_host"), part(5).try_cast("int").alias("remote_port"),
+        part(6).alias("user"), part(7).alias("database"), part(8).try_cast("int").alias("pid"), part(9).alias("severity"), F.regexp_replace(part(10), r"(?m)^[ \t\r]+", "").alias("body"),
     )
     is_error = F.col("severity") == "ERROR"
     is_params = F.col("body").startswith("parameters: ")
-    piece = lambda n: F.when(is_error | is_params, "").otherwise(F.regexp_extract("body", BODY, n))
+    # an array of one, taken apart again: filters on the pieces stay above the match
+    raw = raw.select("*", F.explode(F.array(F.when(~(is_error | is_params), _pieces(F.col("body"), BODY, 5)))).alias("b"))
+    piece = lambda n: F.coalesce(F.get("b", F.lit(n)), F.lit(""))
     return raw.select(
-        *raw.columns[:-1], piece(1).alias("duration_lit"), piece(2).alias("duration_measure"), piece(3).alias("prepared_step"), F.trim(piece(4)).alias("prepared_name"),
+        *raw.columns[:-2], piece(1).alias("duration_lit"), piece(2).alias("duration_measure"), piece(3).alias("prepared_step"), F.trim(piece(4)).alias("prepared_name"),
         F.trim(piece(5)).alias("query"), F.when(is_params & ~is_error, F.substring("body", 13, 1 << 30)).otherwise("").alias("parameters"), F.when(is_error, F.col("body")).otherwise("").alias("error"),
     )
 
@@ -65,7 +78,7 @@ def _executed():
 def quarantined(files: DataFrame) -> DataFrame:
     """file, entry_no, entry of what is no entry, and of statements that `executions` leaves out for their zone or time."""
     untimed = _parsed(files).filter(_executed() & (_zone().isNull() | _local_time().isNull())).select("file", "entry_no", "entry")
-    return _split(files).filter(~F.col("entry").rlike(PREFIX)).unionByName(untimed)
+    return _split(files).filter(F.size("p") == 1).drop("p").unionByName(untimed)
 
 
 def paired(rows: DataFrame, strict_session: bool = False) -> DataFrame:
@@ -89,7 +102,7 @@ def paired(rows: DataFrame, strict_session: bool = False) -> DataFrame:
 def microseconds(amount, unit):
     """Microseconds of a duration; -1 without one, 0 if it cannot be read."""
     value = amount.try_cast("double")
-    return F.when(amount == "", F.lit(-1)).when(unit == "ms", F.coalesce((value * 1000).cast("long"), F.lit(0))).when(unit == "sec", F.coalesce((value * 1000000).cast("long"), F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return F.when(amount == "", F.lit(-1)).when(unit == "ms", F.coalesce((value * 1000).try_cast("long"), F.lit(0))).when(unit == "sec", F.coalesce((value * 1000000).try_cast("long"), F.lit(0))).otherwise(F.lit(0)).cast("long")
 
 
 def executions(rows: DataFrame) -> DataFrame:
