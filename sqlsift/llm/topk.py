@@ -9,17 +9,21 @@ d(q, pivot) -+ radius can hold better rows. Those rings, nearest or not, are all
 is exact. Blocks and batches of queries meet by key; groups are bounded on both sides.
 
 Defined results: rows with a null id or a vector that is null or holds null or non-finite components take
-no part; shorter vectors count as padded with zeros; fewer rows than k give all; ties go to the smaller id.
+no part; shorter vectors count as padded with zeros; fewer rows than k give all; ties go to the smaller id. A scaled
+component beyond sqrt(2^62 / dimensions) counts as that bound, so that a score always fits a long (with 64 dimensions:
+beyond 268,435,456, a component of about a million). An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sqlsift.llm.common import mix, stored, table
+from sqlsift.llm.common import mix, named, stored, table
 
 
 def _matrix(lists: pa.Array, dims: int) -> np.ndarray:
@@ -107,12 +111,14 @@ _NEVER = np.iinfo(np.int64).min
 def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, pivots: int = 16, sample_rows: int = 8192, block_rows: int = 4096, most_rings: int = 1 << 14, query_rows: int = 1 << 16) -> DataFrame:
     """For every query row its k best other rows: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("query"), F.col(vec_col).alias("v"))
+    rows = vectors.select(named(vectors, id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("query"), named(vectors, vec_col).alias("v"))
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ok)
-    rows = stored(rows.select("id", "query", F.transform("v", lambda x: F.floor(x.cast("double") * scale)).alias("v")), "vectors")
+    dims = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    most = F.lit(float(math.isqrt((1 << 62) // max(1, dims))))
+    rows = stored(rows.select("id", "query", F.transform("v", lambda x: F.floor(F.greatest(-most, F.least(most, x.cast("double") * scale)))).alias("v")), "vectors")
     square = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)
-    n, nq, dims, norm = rows.agg(F.count("*"), F.count_if("query"), F.max(F.size("v")), F.max(square)).first()
+    n, nq, norm = rows.agg(F.count("*"), F.count_if("query"), F.max(square)).first()
     result = "query_id long, rank int, vec_id long, score long"
     if not n:
         return spark.createDataFrame([], result)
