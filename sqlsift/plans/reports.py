@@ -89,6 +89,19 @@ def _sessions(s, d):
     return out.select(F.regexp_extract("query", r"^/\* (\d+)", 1).cast("long").alias("event_id"), F.regexp_replace("query", r"^/\* \d+ \*/ ", "").alias("query"), F.col("user").alias("user_name"), F.col("database").alias("db"), "hour", "duration_us")
 
 
+def _star(s, d, name):
+    """A table of the star schema, parsed from a log of the events: one statement each, in a file a day."""
+    from sqlsift.plans import ingest
+
+    e = _events(s, d).withColumn("file", F.date_format("ts", "yyyy-MM-dd"))
+    kind = F.regexp_extract("masked", r"FROM (\w+)", 1)
+    said = F.concat(F.lit("select e.user_id, lower(x) from "), kind, F.lit(" e where e.value > "), F.col("event_id"))
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC:10.0.0.1(5432):"), "user_name", F.lit("@"), "db", F.lit(":[42]:LOG:  duration: "), (F.col("duration_us") / 1000).cast("decimal(20,3)").cast("string"), F.lit(" ms  statement: "), said, F.lit("\n"))
+    files = e.select("file", F.struct("event_id", line.alias("line")).alias("x")).groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.line), "").alias("text"))
+    runs = logs.executions(logs.paired(logs.entries(files)))
+    return ingest.star(runs, ingest.analyzed(runs))[name]
+
+
 _EX = f"SELECT event_id, date_trunc('second', ts) AS local_time, date_trunc('hour', ts) AS hour, 'user_'||user_id AS user_name, 'db_'||(event_id % 3) AS db, {_MASKED} AS masked, cast(round(value * 1000) AS BIGINT) AS duration_us FROM events"
 _QH = f"WITH e AS (SELECT *, {uuid5_sql('masked')} AS query_uid FROM ({_EX})) "
 _HOUR = uuid5_sql("query_uid||'|'||strftime(hour, '%Y-%m-%d %H:00:00')")
@@ -111,6 +124,15 @@ def registry():
     out["log_roundtrip"] = (lambda s, d: _executed(s, d, False), read_back)
     out["log_pairing"] = (lambda s, d: _executed(s, d, True), read_back)
     out["log_sessions"] = (_sessions, f"SELECT event_id, masked || chr(10) || ';' AS query, user_name, db, hour, duration_us FROM ({read_back})")
+    text = "'(SELECT '||event_type||'.user_id, lower(x) FROM '||event_type||' WHERE ('||event_type||'.value > ?));'"
+    parsed = f"WITH e AS (SELECT *, {uuid5_sql(text)} AS query_uid, 'public.'||event_type AS full_name FROM events) "
+    out["star_queries"] = (lambda s, d: _star(s, d, "queries").select("uid", "command", "masked_query"), parsed + f"SELECT DISTINCT query_uid AS uid, 'SELECT' AS command, {text} AS masked_query FROM e")
+    out["star_databases"] = (lambda s, d: _star(s, d, "databases"), "SELECT DISTINCT " + uuid5_sql("'db_'||(arg_min(event_id, ts_day) % 3)").replace("arg_min(event_id, ts_day)", "first_id") + " AS uid, 'db_'||(first_id % 3) AS name FROM (SELECT event_type, arg_min(event_id, (cast(ts AS DATE), event_id)) AS first_id FROM events GROUP BY event_type)")
+    out["star_tables"] = (lambda s, d: _star(s, d, "tables"), "SELECT DISTINCT " + uuid5_sql("'public.'||event_type") + " AS uid, 'public' AS schema_name, event_type AS table_name FROM events")
+    out["star_tables_in_queries"] = (lambda s, d: _star(s, d, "tables_in_queries").select("query_uid", "table_uid", "command"), parsed + "SELECT DISTINCT query_uid, " + uuid5_sql("full_name") + " AS table_uid, 'SELECT' AS command FROM e")
+    out["star_columns"] = (lambda s, d: _star(s, d, "columns_in_queries").groupBy("clause", "table_name", "column_name").count(), "SELECT clause, event_type AS table_name, column_name, count(*) AS count FROM (SELECT DISTINCT event_type FROM events), (VALUES ('SELECT', 'user_id'), ('SELECT', 'x'), ('WHERE', 'value')) v(clause, column_name) GROUP BY ALL")
+    out["star_functions"] = (lambda s, d: _star(s, d, "functions_in_queries"), parsed + "SELECT DISTINCT query_uid, 'lower' AS function_name FROM e")
+    out["star_hours"] = (lambda s, d: _star(s, d, "queries_by_hours").select("query_uid", "queried_date", "queried_hour", "total_count", "total_duration_us"), parsed + "SELECT query_uid, cast(ts AS DATE) AS queried_date, cast(extract(hour FROM ts) AS INT) AS queried_hour, count(*) AS total_count, cast(sum(cast(trunc(round(value * 1000) / 1000 * 1000) AS BIGINT)) AS BIGINT) AS total_duration_us FROM e GROUP BY ALL")
     out["hour_rollup"] = (lambda s, d: rollup.by_hour(_events(s, d)), _QH + f"SELECT {_HOUR} AS uid, * FROM (SELECT query_uid, cast(hour AS DATE) AS queried_date, cast(extract(hour FROM hour) AS INT) AS queried_hour, count(*) AS total_count, cast(sum(duration_us) AS BIGINT) AS total_duration_us, count(*) AS total_queries_in_transaction, hour FROM e GROUP BY query_uid, hour)".replace("SELECT " + _HOUR + " AS uid, *", f"SELECT {_HOUR} AS uid, query_uid, queried_date, queried_hour, total_count, total_duration_us, total_queries_in_transaction"))
     hour_users = _QH + f"SELECT {uuid5_sql('user_name||' + chr(39) + '|' + chr(39) + '||h')} AS uid, h AS queries_by_hour_uid, user_name, n AS total_count, us AS total_duration_us, {uuid5_sql('user_name||' + chr(39) + '|' + chr(39) + '||query_uid')} AS legacy_uid FROM (SELECT query_uid, hour, user_name, {_HOUR} AS h, count(*) AS n, cast(sum(duration_us) AS BIGINT) AS us FROM e GROUP BY query_uid, hour, user_name)"
     out["user_rollup"] = (lambda s, d: rollup.by_user(_events(s, d)), hour_users)
