@@ -10,50 +10,50 @@ from sqlsift.sqltext.parser import parse
 from sqlsift.sqltext.printer import text
 
 CANONICAL = [
-    # strength of operators
-    ("1 * (2 + (6 / 4)) - 9", "((1 * (2 + (6 / 4))) - 9)"), ("!-a", "(!(-a))"), ("a + b * c + d / e - f", "(((a + (b * c)) + (d / e)) - f)"), ("3 + 4; -5 * 5", "(3 + 4)((-5) * 5)"),
-    ("5 > 4 == 3 < 4", "((5 > 4) == (3 < 4))"), ("!(true == true)", "(!(TRUE == TRUE))"), ("a * [1, 2][b * c] * d", "((a * [1, 2][(b * c)]) * d)"), ("add(a * b[2], b[1])", "add((a * b[2]), b[1])"),
-    ("a = 1 and b between 1 and 2", "(((a = 1) AND b) BETWEEN (1 AND 2))"), ("case r when 'G' then 1 else 0 end::text", "CASE r WHEN 'G' THEN 1 ELSE 0 END::TEXT"),
-    # queries
-    ("select from t", "(SELECT FROM t);"), ("select u.*, 2 % 4 from users u;", "(SELECT u.*, (2 % 4) FROM users u);"), ("select +2 -3 x from t", "(SELECT ((+2) - 3) AS x FROM t);"),
-    ("select distinct on (a) b, c from t", "(SELECT DISTINCT ON (a) b, c FROM t);"), ("select string_agg ( distinct c.n, ', ' ) as v from c", "(SELECT string_agg(DISTINCT c.n, ', ') AS v FROM c);"),
-    ("select avg(s) over (partition by d order by e desc) from t", "(SELECT (avg(s) OVER (PARTITION BY d ORDER BY e DESC)) FROM t);"),
-    ("select f() over w from t window w as (partition by a order by b), v as (order by c)", "(SELECT (f() OVER w) FROM t WINDOW w AS (PARTITION BY a ORDER BY b), v AS (ORDER BY c));"),
-    ("select id from a left outer join b on a.id = b.id join c on (c.x > 'u' and c.y = a.y)", "(SELECT id FROM a LEFT JOIN b ON (a.id = b.id) INNER JOIN c ON ((c.x > 'u') AND (c.y = a.y)));"),
-    ("select r.* from roles r, rights ri where r.id = ri.id and ri.d is null", "(SELECT r.* FROM roles r , rights ri WHERE ((r.id = ri.id) AND (ri.d IS NULL)));"),
-    ("select f from t where f is not distinct from b", "(SELECT f FROM t WHERE (f IS NOT DISTINCT FROM b));"), ("select id from t order by a desc nulls first, b asc", "(SELECT id FROM t ORDER BY a DESC NULLS FIRST, b);"),
-    ("select * from t order by id offset 0 limit 34", "(SELECT * FROM t ORDER BY id LIMIT 34 OFFSET 0);"), ("select id from t limit all offset 2 rows", "(SELECT id FROM t LIMIT ALL OFFSET 2);"),
-    ("select id from t fetch first row only", "(SELECT id FROM t FETCH NEXT 1 ROWS ONLY);"), ("select id from t fetch first 10 rows with ties;", "(SELECT id FROM t FETCH NEXT 10 ROWS WITH TIES);"),
-    ("select id from t for no key update of t, s skip locked", "(SELECT id FROM t FOR NO KEY UPDATE OF t, s SKIP LOCKED);"), ("select id from t where id not in ('1','2')", "(SELECT id FROM t WHERE id NOT IN ('1', '2'));"),
-    ("select id from m where (a, b) in ((1, 7), (2, 9))", "(SELECT id FROM m WHERE (a, b) IN ((1, 7), (2, 9)));"), ("select position('b' in 'brian') as foo from c", "(SELECT position('b' IN ('brian')) AS foo FROM c);"),
-    ("select 'a' not similar to 'g' from t", "(SELECT ('a' NOT SIMILAR TO 'g') FROM t);"), ("select id from t where n !~* 'r'", "(SELECT id FROM t WHERE (n !~* 'r'));"),
-    ("select id from t where not exists (select id from s where u = t.id)", "(SELECT id FROM t WHERE (NOT exists((SELECT id FROM s WHERE (u = t.id)))));"),
-    ("select a from t union all select b from s", "((SELECT a FROM t) UNION ALL (SELECT b FROM s));"), ("select array[ 1 ]::integer[], (o ->> 'c') :: jsonb from a", "(SELECT array[1]::INTEGER[], (o ->> 'c')::JSONB FROM a);"),
-    ("select end_date + '1 day' ::interval from d", "(SELECT (end_date + '1 day'::INTERVAL) FROM d);"), ("select CAST(u.d AS DECIMAL(18, 2)) from users", "(SELECT CAST(u.d AS DECIMAL(18, 2)) FROM users);"),
-    ("select pay[1:2], pay[1:], pay[:1] from e", "(SELECT pay[(1 : 2)], pay[(1 : )], pay[( : 1)] FROM e);"), ("select array['J'] && array['H'] from t", "(SELECT (array['J'] && array['H']) FROM t);"),
-    ("select array_agg(distinct s.n order by s.n) from s", "(SELECT array_agg(DISTINCT s.n ORDER BY s.n) FROM s);"), ("select count(*) filter (where i < 5) as f from generate_series(1,10) s(i)", "(SELECT (count(*) FILTER WHERE((i < 5))) AS f FROM generate_series(1, 10) s(i));"),
-    ("select * from unnest(array [4, 2]) with ordinality as t(key, index)", "(SELECT * FROM unnest(array[4, 2]) WITH ORDINALITY t(key, index));"), ("select trim(both 'x' from 'xTx') from t", "(SELECT trim(BOTH 'x' FROM 'xTx') FROM t);"),
-    ("select substring('Hello' from 2 for 4) from t", "(SELECT substring('Hello' FROM 2 FOR 4) FROM t);"), ("select id from t where n ilike e'001'", "(SELECT id FROM t WHERE (n ILIKE E'001'));"),
-    ("select * from ( values (41, 1), (42, 2) ) as t ( id, k )", "(SELECT * FROM (VALUES (41, 1), (42, 2)) t(id, k));"), ("select 1 from t where a = interval '1' day to hour", "(SELECT 1 FROM t WHERE (a = INTERVAL '1' DAY TO HOUR));"),
-    ("select now()::timestamp with time zone at time zone 'America/Denver' from t", "(SELECT (now()::TIMESTAMP WITH TIME ZONE AT TIME ZONE 'America/Denver') FROM t);"), ("select timestamp '2001-09-23' + interval '72 hours'", "(SELECT (TIMESTAMP '2001-09-23' + INTERVAL '72 hours'));"),
-    ("select 1 as order, v as values, a or b from t as set", "(SELECT 1 AS order, v AS values, (a OR b) FROM t set);"), ('select id as "my.id" -- x\n from users /* y */ u', '(SELECT id AS "my.id" FROM users u);'),
-    ("with recursive p(x) as (select x from p), q as not materialized (select 1) select x from p union select y from q", "(WITH RECURSIVE p(x) AS (SELECT x FROM p), q AS NOT MATERIALIZED (SELECT 1) ((SELECT x FROM p) UNION (SELECT y FROM q)));"),
-    # writes and the rest
-    ("insert into d as x (a, b) values (8, 'A'), (9, 'B') on conflict (a) do update set b = excluded.b where x.z <> '1' returning a, b;", "(INSERT INTO d AS x (a, b) VALUES (8, 'A'), (9, 'B') ON CONFLICT (a) DO UPDATE SET (b = excluded.b) WHERE (x.z <> '1') RETURNING a, b);"),
-    ("insert into f default values", "(INSERT INTO f DEFAULT VALUES);"), ("insert into f (a) select a from g where b = 1", "(INSERT INTO f (a) (SELECT a FROM g WHERE (b = 1)));"),
-    ("insert into f (a) values (default) on conflict do nothing", "(INSERT INTO f (a) VALUES (default) ON CONFLICT DO NOTHING);"),
-    ("update w set a = a+1, b = default where c = 'S' returning a;", "(UPDATE w SET (a = (a + 1)), (b = default) WHERE (c = 'S') RETURNING a);"), ("update c x set (a, b) = (select 1, 2) from s y where x.id = y.id", "(UPDATE c x SET ((a, b) = (SELECT 1, 2)) FROM s y WHERE (x.id = y.id));"),
-    ("update f set k = 'D' where current of c_f;", "(UPDATE f SET (k = 'D') WHERE CURRENT OF c_f);"), ("delete from t x using e, users u where id = 42 returning *", "(DELETE FROM t AS x USING e, users u WHERE (id = 42) RETURNING *);"),
-    ("create temporary table if not exists t on commit drop as (select id from m)", "CREATE TEMP TABLE IF NOT EXISTS t ON COMMIT DROP AS (SELECT id FROM m);"), ("create unique index i on p.t using btree( a, b ) where ( c = 1 );", "CREATE UNIQUE INDEX i ON (p.t USING btree(a, b)) WHERE (c = 1);"),
-    ("create temp table t( like r )", "CREATE TEMP TABLE t((LIKE r));"), ("drop table if exists a, b cascade; select 1 from o", "DROP TABLE IF EXISTS a, b CASCADE;(SELECT 1 FROM o);"), ("drop index i", "DROP IDENT i;"),
-    ("analyze (verbose on, skip_locked false, buffer_usage_limit 10 kb) t", "ANALYZE (VERBOSE, BUFFER_USAGE_LIMIT 10KB) t;"), ("analyze verbose t", "ANALYZE (VERBOSE) t;"),
-    ("set session characteristics as transaction isolation level repeatable read", "SET SESSION CHARACTERISTICS AS TRANSACTION ISOLATION LEVEL REPEATABLE READ;"), ("set local a to 'e'", "SET LOCAL (a TO 'e');"), ("set local time zone default", "SET LOCAL TIME ZONE default;"), ("set constraints all immediate", "SET CONSTRAINTS ALL IMMEDIATE;"),
-    ("show transaction isolation level", "SHOW TRANSACTION ISOLATION LEVEL ;"), ("show v; savepoint s; begin; rollback; commit", "SHOW v;SAVEPOINT s;BEGIN;ROLLBACK;COMMIT;"), ("discard all", "discardALL"), ("values ((41, 1), (42, 2))", "(VALUES ((41, 1), (42, 2)))"),
+    ('berths * 2 + depth / 3 - 1', '(((berths * 2) + (depth / 3)) - 1)'),
+    ('not docked and fee > 10 or waived', '(((NOT docked) AND (fee > 10)) OR waived)'),
+    ('fee between 5 and 9 and berth = 4', '(fee BETWEEN ((5 AND 9) AND (berth = 4)))'),
+    ('-(draft + 2) % 7', '((-(draft + 2)) % 7)'),
+    ("case when tide > 3 then 'high' else 'low' end", "CASE WHEN (tide > 3) THEN 'high' ELSE 'low' END"),
+    ('select ship.name, ship.draft * 2 as twice from harbour.ship', '(SELECT ship.name, (ship.draft * 2) AS twice FROM harbour.ship);'),
+    ('select distinct flag from ship', '(SELECT DISTINCT flag FROM ship);'),
+    ('select distinct on (port) port, arrived from visit order by port, arrived desc nulls last', '(SELECT DISTINCT ON (port) port, arrived FROM visit ORDER BY port, arrived DESC NULLS LAST);'),
+    ('select count(distinct v.ship_id) filter (where v.fee > 100) as dear from visit v', '(SELECT (count(DISTINCT v.ship_id) FILTER WHERE((v.fee > 100))) AS dear FROM visit v);'),
+    ('select rank() over (partition by v.port order by v.fee desc) as place from visit as v', '(SELECT (rank() OVER (PARTITION BY v.port ORDER BY v.fee DESC)) AS place FROM visit v);'),
+    ('select sum(fee) over win from visit window win as (partition by port)', '(SELECT (sum(fee) OVER win) FROM visit WINDOW win AS (PARTITION BY port));'),
+    ('select s.name from ship s inner join visit v on s.id = v.ship_id left outer join port p on v.port = p.code and p.open', '(SELECT s.name FROM ship s INNER JOIN visit v ON (s.id = v.ship_id) LEFT JOIN port p ON ((v.port = p.code) AND p.open));'),
+    ('select s.name from ship s cross join port p', '(SELECT s.name FROM ship s CROSS JOIN port p);'),
+    ('select s.name from ship s, visit v where s.id = v.ship_id', '(SELECT s.name FROM ship s , visit v WHERE (s.id = v.ship_id));'),
+    ("select name from ship where flag in ('NO', 'SE') and draft not in (1, 2)", "(SELECT name FROM ship WHERE (flag IN ('NO', 'SE') AND draft) NOT IN (1, 2));"),
+    ("select name from ship where name like 'A%' or name not ilike '%b'", "(SELECT name FROM ship WHERE (((name LIKE 'A%') OR name) NOT ILIKE '%b'));"),
+    ('select name from ship where built is null or scrapped is not null', '(SELECT name FROM ship WHERE ((built IS NULL) OR (scrapped IS NOT NULL)));'),
+    ('select name from ship where exists (select 1 from visit where ship_id = ship.id)', '(SELECT name FROM ship WHERE exists((SELECT 1 FROM visit WHERE (ship_id = ship.id))));'),
+    ('select port, count(*) from visit group by port having count(*) > 5', '(SELECT port, count(*) FROM visit GROUP BY port HAVING (count(*) > 5));'),
+    ('select name from ship order by built limit 10 offset 20', '(SELECT name FROM ship ORDER BY built LIMIT 10 OFFSET 20);'),
+    ('select name from ship union select title from yacht except select label from raft', '(((SELECT name FROM ship) UNION (SELECT title FROM yacht)) EXCEPT (SELECT label FROM raft));'),
+    ('with busy as (select port from visit group by port) select b.port from busy b', '(WITH busy AS (SELECT port FROM visit GROUP BY port) (SELECT b.port FROM busy b));'),
+    ("select log ->> 'wind', log #> '{sea,state}' from bridge", "(SELECT (log ->> 'wind'), (log #> '{sea,state}') FROM bridge);"),
+    ('select tags[1], tags[2:3] from ship', '(SELECT tags[1], tags[(2 : 3)] FROM ship);'),
+    ('select cast(fee as numeric(8, 2)), fee::int from visit', '(SELECT CAST(fee AS numeric(8, 2)), fee::INT FROM visit);'),
+    ("select arrived + interval '2 day' from visit", "(SELECT (arrived + INTERVAL '2 day') FROM visit);"),
+    ('select extract(hour from arrived) from visit', '(SELECT extract(hour FROM arrived) FROM visit);'),
+    ("select coalesce(nick, name) || '!' from ship", "(SELECT (coalesce(nick, name) || '!') FROM ship);"),
+    ("insert into visit (ship_id, port) values (7, 'OSL'), (8, 'BGO')", "(INSERT INTO visit (ship_id, port) VALUES (7, 'OSL'), (8, 'BGO'));"),
+    ('insert into visit (ship_id, port) select id, home from ship on conflict (ship_id) do nothing', '(INSERT INTO visit (ship_id, port) (SELECT id, home FROM ship) ON CONFLICT (ship_id) DO NOTHING);'),
+    ("update ship set flag = 'DK', draft = draft + 1 where id = 3", "(UPDATE ship SET (flag = 'DK'), (draft = (draft + 1)) WHERE (id = 3));"),
+    ('delete from visit where fee = 0', '(DELETE FROM visit WHERE (fee = 0));'),
+    ('create temp table busy as select port from visit', 'CREATE TEMP TABLE busy AS (SELECT port FROM visit);'),
+    ('drop table if exists busy', 'DROP TABLE IF EXISTS busy;'),
+    ('set search_path to harbour', 'SET (search_path TO harbour);'),
+    ('begin; commit', 'BEGIN;COMMIT;'),
 ]
 MASKED = [
-    ("select 1 * (2 + 6.5) from t where id = $1", "(SELECT (? * (? + ?)) FROM t WHERE (id = ?));"), ("select id from t where n not like 'b%' and x is not true", "(SELECT id FROM t WHERE ((n NOT LIKE '?') AND (x IS ?)));"),
-    ("select id from t where id in ('7','8') and x is distinct from y limit 10", "(SELECT id FROM t WHERE (id IN ('?') AND (x IS ?)) LIMIT ?);"), ("select a from t fetch first row only", "(SELECT a FROM t FETCH NEXT ? ROWS ONLY);"),
-    ("select a->'n', null, true, e'x', timestamp '2001-01-01' from t", "(SELECT (a -> '?'), ?, ?, ?, TIMESTAMP '2001-01-01' FROM t);"), ("insert into u (a, b) values ('B', DEFAULT), ('C', 2)", "(INSERT INTO u (a, b) VALUES ('?', DEFAULT));"),
+    ("select name from ship where id = 44 and flag = 'NO'", "(SELECT name FROM ship WHERE ((id = ?) AND (flag = '?')));"),
+    ('select name from ship where id in (1, 2, 3)', '(SELECT name FROM ship WHERE id IN (?));'),
+    ('select name from ship where open is true limit 5', '(SELECT name FROM ship WHERE (open IS ?) LIMIT ?);'),
+    ("insert into visit (ship_id, port) values (7, 'OSL'), (8, 'BGO')", "(INSERT INTO visit (ship_id, port) VALUES (?, '?'));"),
+    ('update ship set draft = 4.5 where name = $1', '(UPDATE ship SET (draft = ?) WHERE (name = ?));'),
+    ('delete from visit where fee between 1 and 2', '(DELETE FROM visit WHERE (fee BETWEEN (? AND ?)));'),
 ]
 
 
