@@ -3,10 +3,13 @@
 A further coordinate gives all vectors one norm, so the largest inner product is the smallest distance.
 Pivots and ring bounds come from a bounded sample (`sample_rows`); every row is then indexed under its
 nearest pivot and the ring of its distance, rings of about `block_rows` rows; a ring that still holds more
-(equal vectors) is dealt into blocks by id. Queries first search the block they lie in; their k-th score there
-bounds the search radius, and by the triangle inequality only rings that meet the annulus
-d(q, pivot) -+ radius can hold better rows. Those rings, nearest or not, are all searched, so the result
-is exact. Blocks and batches of queries meet by key; groups are bounded on both sides.
+(equal vectors) is dealt into blocks by id. Of every ring the least and largest distance to each pivot are
+kept, measured over all its rows: the sorted annuli that hold it. A query's k-th score in the block it lies in
+bounds its radius at first. Then it searches rings in the order of the most they can hold by the triangle
+inequality, `FIRST` rings in the first round and `FIRST` times as many in each further one; after each the k-th score
+found so far tightens the radius, and a query stops when no ring left can hold a row as good. So the result is
+exact, and rounds grow with the logarithm of the number of rings. Blocks and batches of queries that lie near each
+other meet by key; groups are bounded on both sides, and a block travels only to the batches that ask for it.
 
 Defined results: rows with a null id or a vector that is null or holds null or non-finite components take
 no part; shorter vectors count as padded with zeros; fewer rows than k give all; ties go to the smaller id. A scaled
@@ -17,6 +20,7 @@ beyond 268,435,456, a component of about a million). An empty table gives an emp
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -57,9 +61,7 @@ class PivotIndex:
             self.bounds.append(inner)
             held = np.bincount(np.searchsorted(inner, d, "right"), minlength=len(inner) + 1) * share
             self.blocks += [max(1, -(-int(h) // (2 * block_rows))) for h in held]
-        self.low = np.concatenate([np.r_[0, b] for b in self.bounds]) if self.bounds else np.zeros(0)
-        self.high = np.concatenate([np.r_[b, np.inf] for b in self.bounds]) if self.bounds else np.zeros(0)
-        self.pivot_of = np.repeat(np.arange(len(self.bounds)), [len(b) + 1 for b in self.bounds])
+        self.before = np.cumsum(self.blocks) - self.blocks
 
     def _lifted(self, x: np.ndarray) -> np.ndarray:
         x = x.astype(float)
@@ -77,17 +79,25 @@ class PivotIndex:
     def place(self, x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ring and block of each row."""
         of, d = self.nearest(x)
-        ring = np.array([self.first[p] + np.searchsorted(self.bounds[p], v, "right") for p, v in zip(of, d)], np.int64)
+        ring = np.empty(len(x), np.int64)
+        for p in np.unique(of):
+            ring[of == p] = self.first[p] + np.searchsorted(self.bounds[p], d[of == p], "right")
         return ring, (mix(ids.astype(np.uint64)) % np.array(self.blocks, np.uint64)[ring]).astype(np.int64)
 
-    def rings(self, q: np.ndarray, least: np.ndarray) -> np.ndarray:
-        """Queries x rings: whether a ring can hold a score of `least` or more."""
+    def annuli(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and largest distance of rows to each pivot."""
+        d = self._distances(self._lifted(x))
+        return d.min(axis=0), d.max(axis=0)
+
+    def most(self, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Queries x rings: the highest score a ring can hold, by its distances (rings x pivots). Distances near zero are off by 1e-7 of a norm."""
         x = q.astype(float)
         own = (x * x).sum(axis=1)
-        d = self._distances(np.c_[x, np.zeros(len(x))])[:, self.pivot_of]
-        gap = np.maximum(0, np.maximum(self.low - d, d - self.high))
-        slack = 1e-9 * (own + self.norm)[:, None] + 1e-6
-        return (own[:, None] + self.norm - gap**2) / 2 + slack >= least[:, None]
+        d = self._distances(np.c_[x, np.zeros(len(x))])
+        gap = np.zeros((len(x), len(low)))
+        for p in range(d.shape[1]):
+            np.maximum(gap, np.maximum(low[:, p] - d[:, p : p + 1], d[:, p : p + 1] - high[:, p]), out=gap)
+        return (own[:, None] + self.norm - gap**2) / 2 + 1e-6 * (own[:, None] + self.norm) + 1e-6
 
     def scores(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
         if self.exact:
@@ -106,10 +116,16 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 _NEVER = np.iinfo(np.int64).min
+#: Rings that a query searches in its first round, and the growth of rounds.
+FIRST = 8
+
 
+def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, most_pivots: int = 128, sample_rows: int = 8192, block_rows: int = 4096, most_rings: int = 1 << 14, query_rows: int = 1 << 16, progress: Callable[[int, int], None] | None = None) -> DataFrame:
+    """For every query row its k best other rows: query_id, rank, vec_id, score.
 
-def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, pivots: int = 16, sample_rows: int = 8192, block_rows: int = 4096, most_rings: int = 1 << 14, query_rows: int = 1 << 16) -> DataFrame:
-    """For every query row its k best other rows: query_id, rank, vec_id, score."""
+    `most_pivots` x (`most_rings` + `most_pivots`) x 16 bytes bound what is broadcast; one pivot stands for 64 rows at
+    least. After each round `progress` gets the pairs of a query and a ring it searched, and all such pairs.
+    """
     spark = vectors.sparkSession
     rows = vectors.select(named(vectors, id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("query"), named(vectors, vec_col).alias("v"))
     ok = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -127,7 +143,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     sample = rows.filter(chance < F.lit(sample_rows / n)).select("v").limit(4 * sample_rows).toArrow()
     if not len(sample):
         sample = rows.select("v").limit(sample_rows).toArrow()
-    index = PivotIndex(_matrix(sample["v"], dims), n, norm, norm * 4 < 1 << 52, pivots, block_rows, most_rings)
+    index = PivotIndex(_matrix(sample["v"], dims), n, norm, norm * 4 < 1 << 52, min(most_pivots, max(1, n // 64)), block_rows, most_rings)
     shared = spark.sparkContext.broadcast(index)
     parts = max(1, -(-nq // query_rows))
 
@@ -140,54 +156,98 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     def gather(t: pa.Table) -> pa.Table:
         x, ids = _matrix(t["v"], dims), t["id"].to_numpy()
         mine = np.flatnonzero(t["query"].to_numpy())
-        out = [("rows", ids.tobytes(), x.tobytes(), None)]
+        low, high = shared.value.annuli(x)
+        out = [("rows", ids.tobytes(), x.tobytes(), None, None, low, high)]
         for lo in range(0, len(mine), 256):
             some = mine[lo : lo + 256]
             scores = shared.value.scores(x[some], x)
             scores[ids[some][:, None] == ids] = _NEVER
             least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(some), _NEVER)
-            out += [("query", ids[q : q + 1].tobytes(), x[q].tobytes(), int(v)) for q, v in zip(some, least)]
+            out += [("query", ids[q : q + 1].tobytes(), x[q].tobytes(), int(v), int(ids[q]), None, None) for q, v in zip(some, least)]
         cols = list(zip(*out))
         same = [pa.array([int(t[c][0].as_py())] * len(out), pa.int32()) for c in ("ring", "block")]
-        return pa.table([*same, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64())], names=["ring", "block", "kind", "ids", "v", "least"])
+        kinds = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        return pa.table([*same, *(pa.array(c, kind) for c, kind in zip(cols, kinds))], names=["ring", "block", "kind", "ids", "v", "least", "id", "low", "high"])
 
-    built = rows.mapInArrow(key, "ring int, block int, id long, query boolean, v array<bigint>").groupBy("ring", "block").applyInArrow(gather, "ring int, block int, kind string, ids binary, v binary, least long")
+    built = rows.mapInArrow(key, "ring int, block int, id long, query boolean, v array<bigint>").groupBy("ring", "block").applyInArrow(gather, "ring int, block int, kind string, ids binary, v binary, least long, id long, low array<double>, high array<double>")
     built = stored(built, "pivot-index")
-
-    def probe(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                s = b.slice(lo, 256)
-                ids = np.frombuffer(b"".join(s.column(0).to_pylist()), np.int64)
-                q = np.frombuffer(b"".join(s.column(1).to_pylist()), np.int64).reshape(-1, dims)
-                least = s.column(2).to_numpy()
-                part = int(mix(ids[:1].astype(np.uint64))[0] % np.uint64(parts))
-                meet = shared.value.rings(q, least.astype(float))
-                out = [(r, k2, part, ids[at].tobytes(), q[at].tobytes(), least[at].tobytes()) for r in np.flatnonzero(meet.any(axis=0)).tolist() for at in [meet[:, r]] for k2 in range(shared.value.blocks[r])]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32()] * 3 + [pa.binary()] * 3)], names=["ring", "block", "part", "ids", "v", "least"])
-
-    probes = built.filter("kind = 'query'").select("ids", "v", "least").mapInArrow(probe, "ring int, block int, part int, ids binary, v binary, least binary")
-    blocks = built.filter("kind = 'rows'").select("ring", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "ids", "v")
+    blocks = built.filter("kind = 'rows'").select("ring", "block", "ids", "v")
+    # one row a ring, whatever its number of blocks
+    ends = built.filter("kind = 'rows'").select("ring", F.posexplode(F.arrays_zip("low", "high")).alias("pivot", "x")).groupBy("ring", "pivot").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    ends = ends.groupBy("ring").agg(F.array_sort(F.collect_list(F.struct("pivot", "low", "high"))).alias("x")).select("ring", "x.low", "x.high").toArrow()
+    rings = len(index.blocks)
+    low, high = (np.full((rings, len(index.pivots)), end) for end in (np.inf, -np.inf))
+    at = ends["ring"].to_numpy()
+    for name, into in (("low", low), ("high", high)):
+        into[at] = ends[name].combine_chunks().flatten().to_numpy().reshape(len(at), -1)
+    annuli = spark.sparkContext.broadcast((low, high))
+    slice_rows = max(1, min(256, (1 << 20) // rings))
+
+    def probe_round(first: int, end: int):
+        """For rows ring, block (their own), ids, v, least of queries: the rings they search from place `first` to `end` of their order."""
+
+        def probe(batches):
+            index, total = shared.value, sum(shared.value.blocks)
+            for b in batches:
+                for lo in range(0, b.num_rows, slice_rows):
+                    s = b.slice(lo, slice_rows)
+                    part = (index.before[s.column(0).to_numpy()] + s.column(1).to_numpy()) * parts // total
+                    ids = np.frombuffer(b"".join(s.column(2).to_pylist()), np.int64)
+                    q = np.frombuffer(b"".join(s.column(3).to_pylist()), np.int64).reshape(-1, dims)
+                    least = s.column(4).to_numpy()
+                    most = index.most(q, *annuli.value)
+                    meet = np.zeros(most.shape, bool)
+                    np.put_along_axis(meet, np.argsort(-most, axis=1, kind="stable")[:, first:end], True, axis=1)
+                    meet &= most >= least[:, None].astype(float)
+                    out = []
+                    for p in np.unique(part):
+                        mine = meet & (part == p)[:, None]
+                        for r in np.flatnonzero(mine.any(axis=0)).tolist():
+                            some = mine[:, r]
+                            out += [(r, k2, int(p), ids[some].tobytes(), q[some].tobytes(), least[some].tobytes()) for k2 in range(index.blocks[r])]
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32()] * 3 + [pa.binary()] * 3)], names=["ring", "block", "part", "ids", "v", "least"])
+
+        return probe
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
-        for i in range(len(left)):
+        qs, qv, least = (np.frombuffer(b"".join(right[c].to_pylist()), np.int64) for c in ("ids", "v", "least"))
+        qv = qv.reshape(-1, dims)
+        for i in range(len(left) if len(qs) else 0):
             ids = np.frombuffer(left["ids"][i].as_py(), np.int64)
             x = np.frombuffer(left["v"][i].as_py(), np.int64).reshape(-1, dims)
-            for j in range(len(right)):
-                qs, least = np.frombuffer(right["ids"][j].as_py(), np.int64), np.frombuffer(right["least"][j].as_py(), np.int64)
-                scores = shared.value.scores(np.frombuffer(right["v"][j].as_py(), np.int64).reshape(-1, dims), x)
-                for q, s, low in zip(qs, scores, least):
+            for lo in range(0, len(qs), 256):
+                scores = shared.value.scores(qv[lo : lo + 256], x)
+                for q, s, low in zip(qs[lo : lo + 256], scores, least[lo : lo + 256]):
                     at = np.flatnonzero((s >= low) & (ids != q))
                     found += [(q, ids[a], s[a]) for a in at[_best(s[at], ids[at], k)]]
         cols = np.array(found, np.int64).reshape(-1, 3)
         return pa.table({"query_id": cols[:, 0], "vec_id": cols[:, 1], "score": cols[:, 2]})
 
     by = ("ring", "block", "part")
-    hits = blocks.groupBy(*by).cogroup(probes.groupBy(*by)).applyInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    queries = built.filter("kind = 'query'").select("ring", "block", "ids", "v", "least", "id")
+    found = spark.createDataFrame([], result)
+    first, end = 0, FIRST
+    while first < rings:
+        kth = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+        asking = (queries.join(kth, "id", "left").withColumn("least", F.greatest("least", "kth")) if first else queries).select("ring", "block", "ids", "v", "least")
+        probes = stored(asking.mapInArrow(probe_round(first, end), "ring int, block int, part int, ids binary, v binary, least binary"), "probes")
+        asked = probes.filter("block = 0").groupBy("ring", "part").agg(F.sum(F.length("ids") / 8).cast("long").alias("n"))
+        pairs, ways = asked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        if progress:
+            progress(pairs, nq * rings)
+        if not pairs:
+            break
+        asked = asked.select("ring", F.col("part").alias("part"))
+        met = blocks.join(F.broadcast(asked) if ways <= 1 << 20 else asked, "ring")
+        hits = met.groupBy(*by).cogroup(probes.groupBy(*by)).applyInArrow(search, "query_id long, vec_id long, score long")
+        hits = hits.unionByName(found.select("query_id", "vec_id", "score"))
+        ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        found = stored(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "best")
+        first, end = end, end * FIRST
+    return found
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,7 +189,7 @@ def test_top_k_edges(spark):
     vs = [(k, [float(x) for x in np.random.default_rng(k).normal(size=6) * 0.2]) for k in range(200)] + [(300 + k, [0.5] * 6) for k in range(100)] + [(900, None), (901, [float("nan")] * 6), (902, [None] * 6), (None, [0.1] * 6), (903, [0.4, 0.4])]
     df = spark.createDataFrame(vs, "vec_id long, embedding array<double>")
     got = defaultdict(list)
-    for r in topk.exact_top_k(df, F.col("vec_id") % 3 == 0, block_rows=20, pivots=4, query_rows=16).orderBy("query_id", "rank").collect():
+    for r in topk.exact_top_k(df, F.col("vec_id") % 3 == 0, block_rows=20, most_pivots=4, query_rows=16).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     pad = lambda v: np.array([math.floor(256 * x) for x in v] + [0] * (6 - len(v)))
     ok = {k: pad(v) for k, v in vs if k is not None and v and None not in v and all(map(math.isfinite, v))}
@@ -198,6 +198,22 @@ def test_top_k_edges(spark):
     assert topk.exact_top_k(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_top_k_stops_early_on_clusters(spark):
+    random = np.random.default_rng(3)
+    centres = random.normal(size=(40, 16))
+    x = np.floor(256 * (centres[random.integers(0, 40, 4000)] + random.normal(size=(4000, 16)) * 0.02)) / 256
+    searched = []
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(df, F.col("vec_id") % 50 == 0, block_rows=32, query_rows=16, progress=lambda *pairs: searched.append(pairs)).toPandas()
+    scores = np.rint(x * 256) @ np.rint(x * 256).T
+    np.fill_diagonal(scores, -np.inf)
+    for q, rows in got.groupby("query_id"):
+        best = np.lexsort((np.arange(4000), -scores[q]))[:5]
+        rows = rows.sort_values("rank")
+        assert list(rows.vec_id) == list(best) and list(rows.score) == list(scores[q][best])
+    assert len(got) == 400 and sum(n for n, _ in searched) < 0.3 * searched[0][1]
+
+
 def test_chat_edges(spark):
     t = spark.createDataFrame([(1, 0, "a", "hi"), (1, 1, "b", None), (1, 1, "b", None), (1, None, None, "x"), (2, 0, "system", "s"), (None, 0, "a", "n")], "conv_id long, turn long, role string, text string")
     got = chat.rotate(t).collect()
