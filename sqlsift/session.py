@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -26,3 +29,14 @@ def with_views(spark: SparkSession, sf_dir: str) -> SparkSession:
     for t in TABLES:
         load(spark, sf_dir, t).createOrReplaceTempView(t)
     return spark
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the folder that driver and executors share (`spark.checkpoint.dir`); a temporary one where none is named and all runs in this process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="sqlsift-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
