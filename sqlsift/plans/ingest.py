@@ -15,8 +15,9 @@ from sqlsift.plans import rollup
 
 
 def analyzed(executions: DataFrame) -> DataFrame:
-    """query, error, statements of each distinct text."""
-    return executions.select("query").distinct().withColumn("a", analyze("query")).select("query", "a.error", "a.statements")
+    """query, error, statements of each distinct text. Texts are few bytes and much work: a count of partitions keeps AQE from parsing them in one task."""
+    parts = max(int(executions.sparkSession.conf.get("spark.sql.shuffle.partitions")), executions.sparkSession.sparkContext.defaultParallelism)
+    return executions.select("query").distinct().repartition(parts, "query").withColumn("a", analyze("query")).select("query", "a.error", "a.statements")
 
 
 def statements(executions: DataFrame, texts: DataFrame) -> DataFrame:
