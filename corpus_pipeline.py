@@ -26,7 +26,8 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told; learns from all labelled ones."""
     model = train(docs)
-    judged = predict(docs, model, per_gram=True).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    # written: the rows are read twice, for the languages' means and for the decision
+    judged = stored(predict(docs.select(*COLUMNS), model, per_gram=True).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), "judged")
     return fitting(judged, model).select(*COLUMNS)
 
 
@@ -39,10 +40,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: that of least id, of equal ids the first row, of rows without id the first if no other has one.
 
-    Rows are told apart by their place in the table, so `docs` is to be one read from files, as run() gives it. Rows
-    without words stay.
+    Rows are told apart by a number that is written with them before anything is decided: however the table is split when it
+    is read again, a row keeps it. Rows without words stay.
     """
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = stored(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "numbered")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
     groups = near_components(rows.select(key.alias("key"), "text"), id_col="key")
     found = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id.row").alias("__row")), "copies")
