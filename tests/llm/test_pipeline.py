@@ -32,3 +32,24 @@ def test_every_stage_on_odd_and_no_rows(spark, docs):
 def test_texts_without_letters_go(spark, docs):
     got = [r.text for r in pipeline.language_id(spark, docs, "").collect()]
     assert sorted(got) == sorted(t for _, t in ROWS if t)
+
+
+def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path, monkeypatch):
+    texts = [f"{k} one two three four five six seven eight {k}" for k in range(300)]
+    rows = [(k, texts[k % 200], "en", "s", 1) for k in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    found = pipeline.near_components
+
+    def then_other_splits(*a, **k):
+        out = stored(found(*a, **k), "groups")
+        spark.conf.set("spark.sql.files.minPartitionNum", 16)
+        return out
+
+    monkeypatch.setattr(pipeline, "near_components", then_other_splits)
+    spark.conf.set("spark.sql.files.minPartitionNum", 1)
+    try:
+        kept = pipeline.near_duplicates(spark, docs, "")
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(200))
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
