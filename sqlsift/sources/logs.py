@@ -1,10 +1,12 @@
 """PostgreSQL server logs: entries, pairing of statements with durations, normalised executions.
 
-All of it is Catalyst expressions. An entry is matched once for its prefix and once for its body, before it leaves the
-array of its file's entries, so that no filter or column repeats a match. Control character 1, which separates the
-pieces, is dropped from texts. A file is one row (`wholetext`; servers rotate logs at megabytes), an entry
-one row after the split. Text before the first entry, an entry whose prefix does not parse, and a statement of
-unknown zone or unreadable time are kept in `quarantined`. Pairing needs order only within a file and client, so its window never spans files.
+Log files are read by ranges (`sources/ranges.py`): a row an entry, in the order of `entry_no`. What follows is Catalyst expressions. An
+entry is matched once for its prefix and once for its body. Control character 1, which separates the
+pieces, is dropped from texts. Texts of whole files (file, text) are taken, too, and cut here.
+
+Every line that begins with a date, a time and a zone begins an entry; such an entry is in `entries` or, if its prefix does not parse, with the text before a
+file's first entry, in `quarantined`, where `executions` leaves statements of unknown zone or unreadable time as well. Zones are the names of `ZONES` and
+distances from UTC (+02, -0330, +05:30).
 """
 
 from __future__ import annotations
@@ -12,16 +14,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-START = r"(?m)^[ \t]*(?=\d+-\d+-\d+ +\d+:\d+:\d+(?:\.\d+)? +\w+:)"
-PREFIX = r"(?s)^(\d+-\d+-\d+) +(\S+) +(\w+):(.*?)\((\d+)\):([^@]*)@([^:]*):\[(\d+)\]:(\w+):[ \t]*(.*)$"
+from sqlsift.sources.ranges import BEGIN, LogSource
+
+START = "(?md)" + BEGIN
+#: A host has its port in brackets, a client of the same machine is [local]. Nothing of a prefix runs over a line end.
+PREFIX = r"(?sd)^(\d+-\d+-\d+) +(\d\S*) +(\w+|[+-]\d[\d:]*):([^\n]*?)(?:\((\d+)\)|(?<=:\[local\])):([^@\n]*)@([^:\n]*):\[(\d+)\]:(\w+):[ \t]*(.*)$"
 BODY = r"(?s)^(?:duration: ([\d.]+) (\w+)\s*)?(?:(statement|execute|parse|bind)(?: ([^:]*))?: ?(.*))?$"
 #: Zones of log prefixes.
 ZONES = {"UTC": "UTC", "GMT": "UTC", "PDT": "America/Los_Angeles", "PST": "America/Los_Angeles", "EDT": "America/New_York", "EST": "America/New_York", "CDT": "America/Chicago", "CST": "America/Chicago", "MDT": "America/Denver", "MST": "America/Denver"}
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """file, text of every log file under a path."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+def read_logs(spark: SparkSession, path: str, range_bytes: int = 64 << 20) -> DataFrame:
+    """file, entry_no (its first byte), entry of every log file under a path, read in ranges of a file."""
+    spark.dataSource.register(LogSource)
+    return spark.read.format(LogSource.name()).option("rangeBytes", range_bytes).load(path)
 
 
 _SEPARATOR = "\x01"
@@ -32,11 +38,20 @@ def _pieces(text, pattern: str, groups: int):
     return F.split(F.regexp_replace(text, pattern, "".join(f"{_SEPARATOR}${n}" for n in range(1, groups + 1))), _SEPARATOR, groups + 1)
 
 
+def _cut(files: DataFrame) -> DataFrame:
+    """file, entry_no, entry of texts of whole files, in which an entry's number is its place among its file's."""
+    if "entry" in files.columns:
+        return files.select("file", "entry_no", "entry")
+    raw = F.split("text", START)
+    return files.select("file", F.posexplode(raw).alias("entry_no", "entry")).withColumn("entry_no", F.col("entry_no").cast("long"))
+
+
 def _split(files: DataFrame) -> DataFrame:
     """file, entry_no, entry and p (the pieces of its prefix and its body) of each entry."""
-    raw = F.split(F.translate("text", _SEPARATOR, ""), START)
-    each = F.transform(raw, lambda e: F.struct(e.alias("entry"), _pieces(F.rtrim(F.regexp_replace(e, r"[\r\n]+\z", "")), PREFIX, 10).alias("p")))
-    return files.select("file", F.posexplode(each).alias("entry_no", "e")).select("file", "entry_no", "e.entry", "e.p").filter(F.trim("entry") != "")
+    rows = _cut(files)
+    text = F.rtrim(F.regexp_replace(F.translate("entry", _SEPARATOR, ""), r"[\r\n]+\z", ""))
+    # an array of one, taken apart again: filters on the pieces stay above the match
+    return rows.select("file", "entry_no", "entry", F.explode(F.array(_pieces(text, PREFIX, 10))).alias("p")).filter(F.trim(F.translate("entry", "\r\n\t", "")) != "")
 
 
 def _parsed(files: DataFrame) -> DataFrame:
@@ -62,7 +77,11 @@ def entries(files: DataFrame) -> DataFrame:
 
 
 def _zone():
-    return F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])[F.col("timezone")]
+    """The zone's name for Spark, null if it is unknown."""
+    named = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])[F.col("timezone")]
+    hours, minutes = (F.regexp_extract("timezone", r"^[+-](\d\d?)(?::?(\d\d))?$", k) for k in (1, 2))
+    offset = F.concat(F.substring("timezone", 1, 1), F.lpad(hours, 2, "0"), F.lit(":"), F.when(minutes == "", "00").otherwise(minutes))
+    return F.when(F.col("timezone").rlike(r"^[+-](0?\d|1[0-7])(:?[0-5]\d)?$"), offset).otherwise(named)
 
 
 def _local_time():
@@ -81,20 +100,30 @@ def quarantined(files: DataFrame) -> DataFrame:
     return _split(files).filter(F.size("p") == 1).drop("p").unionByName(untimed)
 
 
-def paired(rows: DataFrame, strict_session: bool = False) -> DataFrame:
+def paired(rows: DataFrame, strict_session: bool = False, span: int = 64 << 20) -> DataFrame:
     """Fills the duration of an entry that came without one from the next duration-only entry of its client.
 
     The pair stands at the later position with the earlier entry's fields. A later hold replaces an earlier one.
     `strict_session` also requires the process to be the same.
+
+    A file's entries are taken in stretches of `span` numbers (bytes, as `read_logs` counts). Within a stretch an entry sees the one
+    before it of its client; of each client and stretch only the first and the last entry are carried on and scanned in
+    order, so that no task holds a client's entries of a file, however many there are.
     """
     hold = (F.col("severity") == "LOG") & (F.col("duration_lit") == "") & (F.col("query") != "")
     alone = (F.col("query") == "") & (F.col("duration_lit") != "")
     kind = F.when(hold, "hold").when(alone, "duration").otherwise("whole")
     rows = rows.withColumn("kind", kind)
     client = ["file", "remote_host", "user", "database", "severity"] + ["pid"] * strict_session
-    order = Window.partitionBy(*client).orderBy("entry_no")
     kept = [c for c in rows.columns if c not in ("kind", "entry_no", "duration_lit", "duration_measure")]
-    met = rows.filter("kind <> 'whole'").withColumn("before", F.lag(F.struct("kind", *kept)).over(order)).filter("kind = 'duration' and before.kind = 'hold'")
+    before = F.lag(F.struct("kind", *kept))
+    stretch = F.floor(F.col("entry_no") / span)
+    within = Window.partitionBy(*client, "stretch").orderBy("entry_no")
+    seen = rows.filter("kind <> 'whole'").withColumn("stretch", stretch).withColumn("before", before.over(within)).withColumn("last", F.lead("kind").over(within).isNull())
+    # the ends of all stretches of a client are one group, what stands between them stays with its stretch
+    group = F.when(F.col("before").isNull() | F.col("last"), F.lit(-1)).otherwise(F.col("stretch"))
+    carried = Window.partitionBy(*client, "group").orderBy("entry_no")
+    met = seen.withColumn("group", group).withColumn("carried", before.over(carried)).withColumn("before", F.coalesce("before", "carried")).filter("kind = 'duration' and before.kind = 'hold'")
     pairs = met.select("entry_no", "duration_lit", "duration_measure", *[F.col(f"before.{c}").alias(c) for c in kept])
     return rows.filter("kind = 'whole'").drop("kind").unionByName(pairs)
 
