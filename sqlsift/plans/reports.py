@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sqlsift.functions.ids import uuid5, uuid5_sql
 from sqlsift.plans import rollup
+from sqlsift.session import shared_dir
 from sqlsift.sources import logs
 
 _MASKED = "'(SELECT * FROM '||event_type||' WHERE (k = ?));'"
@@ -62,43 +63,74 @@ def _events(s, d):
     return e.select("event_id", F.col("ts"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), masked.alias("masked"), F.concat(F.lit("user_"), "user_id").alias("user_name"), F.concat(F.lit("db_"), F.col("event_id") % 3).alias("db"), F.round(F.col("value") * 1000).cast("long").alias("duration_us"), F.lit(1).cast("long").alias("tx_count"), uuid5(masked).alias("query_uid"))
 
 
-def _log_text(s, d, paired: bool):
-    """A log of the events: one entry each, or a statement and a duration apart."""
-    e = _events(s, d)
-    prefix = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC:10.0.0.1(5432):"), "user_name", F.lit("@"), "db", F.lit(":[42]:LOG:  "))
-    took = F.concat(F.lit("duration: "), (F.col("duration_us") / 1000).cast("decimal(20,3)").cast("string"), F.lit(" ms"))
-    what = F.concat(F.lit("execute <unnamed>: "), "masked")
-    line = F.concat(prefix, what, F.lit("\n"), prefix, took, F.lit("\n")) if paired else F.concat(prefix, took, F.lit("  "), what, F.lit("\n"))
-    return e.select(F.concat(F.lit("f"), "event_id").alias("file"), line.alias("text"))
+def _written(lines, s, name: str):
+    """A log written as text, a file for each `file` of (file, at, line) in the order of `at`, and read back by ranges."""
+    path = shared_dir(s, name)
+    lines.repartition("file").sortWithinPartitions("file", "at").select("file", "line").write.partitionBy("file").text(path)
+    return logs.read_logs(s, path, 1 << 20)
+
+
+def _prefix(host):
+    return F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC:"), host, F.lit("(5432):"), "user_name", F.lit("@"), "db", F.lit(":[42]:LOG:  "))
+
+
+def _took():
+    return F.concat(F.lit("duration: "), (F.col("duration_us") / 1000).cast("decimal(20,3)").cast("string"), F.lit(" ms"))
 
 
 def _executed(s, d, paired: bool):
-    out = logs.executions(logs.paired(logs.entries(_log_text(s, d, paired))))
-    return out.select(F.expr("cast(substr(file, 2) AS BIGINT)").alias("event_id"), "local_time", "hour", F.col("user").alias("user_name"), F.col("database").alias("db"), F.col("query").alias("masked"), "duration_us")
+    """A log of the events in four files: one entry each, or a statement and a duration apart."""
+    e = _events(s, d)
+    prefix, what = _prefix(F.lit("10.0.0.1")), F.concat(F.lit("execute <unnamed>: /* "), "event_id", F.lit(" */ "), "masked")
+    line = F.concat(prefix, what, F.lit("\n"), prefix, _took()) if paired else F.concat(prefix, _took(), F.lit("  "), what)
+    found = _written(e.select((F.col("event_id") % 4).alias("file"), F.col("event_id").alias("at"), line.alias("line")), s, "log")
+    out = logs.executions(logs.paired(logs.entries(found), span=1 << 16))
+    return out.select(_number(), "local_time", "hour", F.col("user").alias("user_name"), F.col("database").alias("db"), F.regexp_replace("query", _NUMBER, "").alias("masked"), "duration_us")
+
+
+_NUMBER = r"^/\* (\d+) \*/ "
+
+
+def _number():
+    return F.regexp_extract("query", _NUMBER, 1).cast("long").alias("event_id")
 
 
 def _sessions(s, d):
-    """A log file a day, many clients in each: a statement of two lines, then entries of others, then its duration."""
-    e = _events(s, d).withColumn("file", F.date_format("ts", "yyyy-MM-dd")).withColumn("host", F.concat(F.lit("10.1.1."), F.col("event_id") % 200))
-    prefix = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC:"), "host", F.lit("(5432):"), "user_name", F.lit("@"), "db", F.lit(":[42]:LOG:  "))
-    said = F.concat(prefix, F.lit("statement: /* "), F.col("event_id"), F.lit(" */ "), "masked", F.lit("\n   ;\n"))
-    took = F.concat(prefix, F.lit("duration: "), (F.col("duration_us") / 1000).cast("decimal(20,3)").cast("string"), F.lit(" ms\n"))
-    lines = e.select("file", F.explode(F.array(F.struct((2 * F.col("event_id")).alias("at"), said.alias("line")), F.struct((2 * F.col("event_id") + 7).alias("at"), took.alias("line")))).alias("x"))
-    files = lines.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.line), "").alias("text"))
-    out = logs.executions(logs.paired(logs.entries(files)))
-    return out.select(F.regexp_extract("query", r"^/\* (\d+)", 1).cast("long").alias("event_id"), F.regexp_replace("query", r"^/\* \d+ \*/ ", "").alias("query"), F.col("user").alias("user_name"), F.col("database").alias("db"), "hour", "duration_us")
+    """A log file a day, many clients in each: a statement of two lines, then entries of others, then its duration. Zones are written as names and as
+    distances, half of the clients are local, and some entries do not parse."""
+    e = _events(s, d).withColumn("file", F.date_format("ts", "yyyy-MM-dd"))
+    local, no = F.col("event_id") % 2 == 0, F.col("event_id")
+    hours = F.when(no % 3 == 0, F.lit("UTC")).when(no % 3 == 1, F.lit("+00")).otherwise(F.lit("+00:00"))
+    at = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss "), hours, F.lit(":"))
+    # clients of this machine differ by database, here
+    prefix = F.concat(at, F.when(local, F.lit("[local]")).otherwise(F.concat(F.lit("10.1.1."), no % 200, F.lit("(5432)"))), F.lit(":"), "user_name", F.lit("@"), "db", F.when(local, F.concat(F.lit("_"), no % 200)).otherwise(F.lit("")), F.lit(":[42]:LOG:  "))
+    said = F.concat(F.when(no % 10 == 0, F.concat(at, F.lit("out of memory\n"))).otherwise(F.lit("")), prefix, F.lit("statement: /* "), no, F.lit(" */ "), "masked", F.lit("\n   ;"))
+    lines = e.select("file", F.explode(F.array(F.struct((2 * no).alias("at"), said.alias("line")), F.struct((2 * no + 7).alias("at"), F.concat(prefix, _took()).alias("line")))).alias("x")).select("file", "x.*")
+    out = logs.executions(logs.paired(logs.entries(_written(lines, s, "sessions")), span=1 << 16))
+    return out.select(_number(), F.regexp_replace("query", _NUMBER, "").alias("query"), F.col("user").alias("user_name"), F.regexp_extract("database", r"^db_\d", 0).alias("db"), "hour", "duration_us")
+
+
+def _quarantined(s, d):
+    """What a log of the events has of entries that do not parse, unknown zones and unreadable times, by file."""
+    e = _events(s, d)
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss ")
+    kind = F.col("event_id") % 5
+    rest = F.concat(F.lit("10.0.0.1(1):u@d:[42]:LOG:  duration: 1 ms  statement: select "), "event_id")
+    line = F.when(kind == 0, F.concat(at, F.lit("UTC:10.0.0.1:u@d: no port "), "event_id")).when(kind == 1, F.concat(at, F.lit("QQQ:"), rest)).when(kind == 2, F.concat(F.date_format("ts", "yyyy-99-dd HH:mm:ss "), F.lit("UTC:"), rest)).when(kind == 3, F.concat(at, F.lit("-00:30:"), rest)).otherwise(F.concat(at, F.lit("UTC:"), rest))
+    found = _written(e.select((F.col("event_id") % 4).alias("file"), F.col("event_id").alias("at"), line.alias("line")), s, "bad")
+    return logs.quarantined(found).select(F.regexp_extract("entry", r"(\d+)\s*$", 1).cast("long").alias("event_id"), F.regexp_extract("file", r"file=(\d)", 1).cast("int").alias("file"))
 
 
 def _star(s, d, name):
     """A table of the star schema, parsed from a log of the events: one statement each, in a file a day."""
     from sqlsift.plans import ingest
 
-    e = _events(s, d).withColumn("file", F.date_format("ts", "yyyy-MM-dd"))
+    e = _events(s, d)
     kind = F.regexp_extract("masked", r"FROM (\w+)", 1)
     said = F.concat(F.lit("select e.user_id, lower(x) from "), kind, F.lit(" e where e.value > "), F.col("event_id"))
-    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC:10.0.0.1(5432):"), "user_name", F.lit("@"), "db", F.lit(":[42]:LOG:  duration: "), (F.col("duration_us") / 1000).cast("decimal(20,3)").cast("string"), F.lit(" ms  statement: "), said, F.lit("\n"))
-    files = e.select("file", F.struct("event_id", line.alias("line")).alias("x")).groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.line), "").alias("text"))
-    runs = logs.executions(logs.paired(logs.entries(files)))
+    line = F.concat(_prefix(F.lit("10.0.0.1")), _took(), F.lit("  statement: "), said)
+    found = _written(e.select(F.date_format("ts", "yyyy-MM-dd").alias("file"), F.col("event_id").alias("at"), line.alias("line")), s, "star-log")
+    runs = logs.executions(logs.paired(logs.entries(found)))
     return ingest.star(runs, ingest.analyzed(runs))[name]
 
 
@@ -122,6 +154,7 @@ def registry():
         out[f"report_{name}"] = ((lambda s, d, q=sql.replace("{G}", ""): with_views(s, d).sql(q)), sql.replace("{G}", ", 'g'"))
     read_back = _EX.replace("cast(round(value * 1000) AS BIGINT)", "cast(trunc(round(value * 1000) / 1000 * 1000) AS BIGINT)")  # the unit conversion truncates
     out["log_roundtrip"] = (lambda s, d: _executed(s, d, False), read_back)
+    out["log_quarantine"] = (_quarantined, "SELECT event_id, cast(event_id % 4 AS INT) AS file FROM events WHERE event_id % 5 < 3")
     out["log_pairing"] = (lambda s, d: _executed(s, d, True), read_back)
     out["log_sessions"] = (_sessions, f"SELECT event_id, masked || chr(10) || ';' AS query, user_name, db, hour, duration_us FROM ({read_back})")
     text = "'(SELECT '||event_type||'.user_id, lower(x) FROM '||event_type||' WHERE ('||event_type||'.value > ?));'"
