@@ -6,17 +6,16 @@ its sums once, in pieces of bins, so the shuffle has a few rows a task. The log-
 numpy. A matrix of more than `max_cells` cells is cut into groups of languages, each learned and broadcast
 by itself; documents pass them one after the other with what they found so far, to the same result.
 
-Defined results: a null text or one without a letter is `und` with score 0; without training rows every
+Defined results: a null text or one without a letter (Unicode category L) is `und` with score 0; without training rows every
 text is; ties take the smaller language; a score is the posterior of the language. Repeated rows are judged
 each; an empty table gives an empty result; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +23,7 @@ from pyspark.sql import types as T
 from sqlsift.llm.common import chunks, column, lean, mapped, named, stored, table, without
 
 ORDERS = (1, 2, 3)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _PIECES = 16
 
 
