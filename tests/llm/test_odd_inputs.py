@@ -33,3 +33,29 @@ def test_large_components(spark):
     for q in (0, 2, 4, 6):
         want = sorted(((-sum(a * b for a, b in zip(vs[q], vs[c])), c) for c in vs if c != q))[:3]
         assert [got[q][i + 1] for i in range(3)] == [(c, -s) for s, c in want]
+
+
+def test_names_decide_as_a_whole_only():
+    page = "<body><div class='site-header'>Site</div><div class='share-buttons'>x</div>{}<div class='cookie-banner'>c</div></body>"
+    inner = "<p>Intro words.</p><div class='share-price'><p>The share price rose.</p></div><p id='side-effects'>Few.</p><section id='search-algorithms'>Sort first.</section><div class='tags-and-tax'>Tax.</div><div class='header search'>Both.</div>"
+    want = "Intro words.\nThe share price rose.\nFew.\nSort first.\nTax."
+    assert html_extract.extract(page.format(f"<article>{inner}<div class='ad'>no</div><div class='comments'><p>no</p></div></article>")) == want + "\nBoth."
+    assert html_extract.extract(page.format(inner)) == want
+    chapters = "<ul><li><a href='#one'>Chapter one</a><li><a href='#two'>Chapter two</a></ul><ul><li><a href='/other'>Other page</a></ul><p>Text.</p>"
+    assert html_extract.extract(page.format(chapters)) == "Chapter one\nChapter two\nText."
+
+
+def test_random_names_change_nothing_where_pages_repeat(spark):
+    def pages(name):
+        return [(k, "http://r.example/", f"<body><div class='{name('a')}'>Home About Contact</div><div class='{name('b')}'><p>Article {k} says {k * 7}.</p></div><div class='{name('c')}'>All rights kept</div></body>") for k in range(6)]
+
+    got = [{r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(pages(name), "page_id long, url string, html string")).collect()} for name in (str, lambda x: f"q{ord(x)}z", lambda x: "same")]
+    assert got[0] == got[1] == got[2] == {k: f"Article {k} says {k * 7}." for k in range(6)}
+
+
+def test_html_of_odd_tables(spark):
+    rows = [(1, "http://a/", None, "t", 5), (1, "http://a/", None, "t", 5), (2, None, "", "t", 5), (2, None, "<p>x</p>", "t", 5), (2, None, "<p>x</p>", "t", 5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = html_extract.extract_pages(df)
+    assert got.columns == ["page_id", "url", "html", "text", "n_chars"] and sorted((r.text, r.n_chars) for r in got.collect()) == [("", 0)] * 3 + [("x", 1)] * 2
+    assert html_extract.extract_pages(df.limit(0)).count() == 0
