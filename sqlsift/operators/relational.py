@@ -6,9 +6,13 @@ Each entry is Spark SQL over the driver's tables, with the SQL that checks it wh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqlsift.functions.jsons import json_contained, json_contains, json_delete_path, json_has, json_path, json_without
+
 SQL: dict[str, tuple[str, str | None]] = {
     # projection, filters, distinct
     "proj_filter_alias": ("SELECT l_orderkey AS ok, l_linenumber AS ln, l_quantity * 2 AS dq FROM lineitem AS l WHERE l.l_quantity > 45 AND l_shipdate >= TIMESTAMP '1996-01-01 00:00:00'", None),
@@ -62,9 +66,15 @@ SQL: dict[str, tuple[str, str | None]] = {
     "except_all": ("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier", None),
     "cte": ("WITH a AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT max(n) AS m FROM a) SELECT o_custkey, n FROM a, b WHERE n = m", None),
     "cte_nested": ("SELECT * FROM (WITH x AS (SELECT r_regionkey AS k, r_name FROM region) SELECT k, r_name FROM x) y", None),
-    "cte_recursive": ("WITH RECURSIVE t(n) AS (SELECT cast(1 AS BIGINT) UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n, n * n AS sq FROM t", None),
-    "values_table": ("SELECT a, b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) AS v(a, b)", None),
-    "series": ("SELECT id AS i FROM range(1, 11)", "SELECT i FROM generate_series(1, 10) s(i)"),
+    "cte_recursive": (
+        "WITH RECURSIVE t(k, depth) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey = 1 UNION ALL SELECT c.c_custkey, depth + 1 FROM t JOIN customer c ON c.c_custkey DIV 2 = t.k AND c.c_custkey > 1) SELECT depth, count(*) AS n, cast(sum(k) AS BIGINT) AS keys FROM t GROUP BY depth",
+        "WITH RECURSIVE t(k, depth) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey = 1 UNION ALL SELECT c.c_custkey, depth + 1 FROM t JOIN customer c ON c.c_custkey // 2 = t.k AND c.c_custkey > 1) SELECT depth, count(*) AS n, cast(sum(k) AS BIGINT) AS keys FROM t GROUP BY depth",
+    ),
+    "values_table": ("SELECT n_name, a, b FROM nation JOIN (VALUES (0, 'x'), (1, 'y'), (3, NULL)) AS v(a, b) ON a = n_regionkey", None),
+    "series": (
+        "SELECT l_orderkey, l_linenumber, cast(i AS BIGINT) AS i FROM lineitem LATERAL VIEW explode(sequence(1, l_linenumber)) x AS i",
+        "SELECT l_orderkey, l_linenumber, cast(i AS BIGINT) AS i FROM lineitem, LATERAL (SELECT unnest(generate_series(1, l_linenumber)) AS i) x",
+    ),
     "ordinality": ("SELECT n_nationkey, cast(pos + 1 AS BIGINT) AS ord, w FROM nation LATERAL VIEW posexplode(split(n_name, ' ')) x AS pos, w", "SELECT n_nationkey, unnest(range(1, len(string_split(n_name, ' ')) + 1)) AS ord, unnest(string_split(n_name, ' ')) AS w FROM nation"),
     # scalar expressions
     "expr_literals": ("SELECT 1 AS i, 'a' AS s, true AS b, cast(NULL AS INT) AS n, cast(1.5 AS DOUBLE) AS d FROM region", None),
@@ -98,6 +108,20 @@ SQL: dict[str, tuple[str, str | None]] = {
 }
 
 
+#: A nested document of each event, as both engines write it.
+_DOCUMENTS = """SELECT event_id, '{"o":{"x":'||(event_id % 2)||',"l":[1,'||(event_id % 4)||']},"rows":[{"k":'||(event_id % 5)||'},{"n":null}]}' AS doc FROM events"""
+
+
+def bound(spark: SparkSession, text: str, *values) -> DataFrame:
+    """A query with parameters $1, $2, ... bound to values; those in strings and quoted names are text."""
+    named = re.sub(r"""('(?:[^']|'')*'|"[^"]*")|\$(\d+)""", lambda m: m[1] or f":p{m[2]}", text)
+    return spark.sql(named, args={f"p{k}": v for k, v in enumerate(values, 1)})
+
+
+def _documents(s):
+    return s.sql(_DOCUMENTS)
+
+
 def _upserts():
     from sqlsift.operators import upsert as u
 
@@ -114,6 +138,19 @@ def _upserts():
         "distinct_on": (lambda s, d: distinct_on(s.table("orders"), ["o_custkey"], [F.desc("o_totalprice"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey"), "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey DESC"),
         "expr_similar": (lambda s, d: s.table("part").filter(similar_to(F.col("p_brand"), "Brand#(1|2)_%")).select("p_partkey"), "SELECT p_partkey FROM part WHERE p_brand SIMILAR TO 'Brand#(1|2)..*'"),
         "json_contains": (lambda s, d: s.table("events").select("event_id", json_contains(F.col("props"), F.to_json(F.struct((F.col("event_id") % 100).alias("k")))).alias("has")), "SELECT event_id, json_contains(props, json_object('k', event_id % 100)) AS has FROM events"),
+        "bound_parameters": (
+            lambda s, d: bound(s, "SELECT o_orderkey, '$1' AS text FROM orders WHERE o_totalprice > $2 AND o_orderstatus = $1 AND o_orderkey % $3 = 0", "F", 100000.0, 2),
+            "SELECT o_orderkey, '$1' AS text FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F' AND o_orderkey % 2 = 0",
+        ),
+        "json_contains_nested": (
+            lambda s, d: _documents(s).select("event_id", json_contains(F.col("doc"), '{"o": {"x": 1, "l": [2]}}').alias("inner"), json_contains(F.col("doc"), '{"rows": [{"k": 1}, {"n": null}]}').alias("of_rows"), json_contained(F.to_json(F.struct(F.struct((F.col("event_id") % 3).alias("x")).alias("o"))), F.col("doc")).alias("part")),
+            f"SELECT event_id, json_contains(doc, '{{\"o\": {{\"x\": 1, \"l\": [2]}}}}') AS inner, json_contains(doc, '{{\"rows\": [{{\"k\": 1}}, {{\"n\": null}}]}}') AS of_rows, json_contains(doc, '{{\"o\":{{\"x\":'||(event_id % 3)||'}}}}') AS part FROM ({_DOCUMENTS})",
+        ),
+        "json_delete_path": (
+            lambda s, d: _documents(s).select("event_id", json_delete_path(F.col("doc"), "o", "l").alias("inner"), json_delete_path(F.col("doc"), "rows", "-1", "n").alias("of_rows"), json_delete_path(F.col("doc"), "zz").alias("none")),
+            f"""SELECT event_id, '{{"o":{{"x":'||(event_id % 2)||'}},"rows":['||r||']}}' AS inner, '{{"o":{{"l":['||l||'],"x":'||(event_id % 2)||'}},"rows":['||r0||']}}' AS of_rows, '{{"o":{{"l":['||l||'],"x":'||(event_id % 2)||'}},"rows":['||r||']}}' AS none
+              FROM (SELECT event_id, '1,'||(event_id % 4) AS l, '{{"k":'||(event_id % 5)||'}},{{"n":null}}' AS r, '{{"k":'||(event_id % 5)||'}},{{}}' AS r0 FROM events)""",
+        ),
         "json_path": (lambda s, d: s.table("events").select("event_id", json_path(F.to_json(F.struct(F.array(F.col("props")).alias("a"), F.parse_json("props").alias("o"))), "o", "k").cast("long").alias("k")), "SELECT event_id, cast(props->>'k' AS BIGINT) AS k FROM events"),
         "json_keys_any_all": (lambda s, d: s.table("events").select("event_id", json_has(F.col("props"), ["k", "z"], False).alias("any_key"), json_has(F.col("props"), ["k", "z"], True).alias("all_keys"), json_without(F.col("props"), "k").alias("rest")), "SELECT event_id, list_has_any(json_keys(props), ['k', 'z']) AS any_key, list_has_all(json_keys(props), ['k', 'z']) AS all_keys, '{}' AS rest FROM events"),
         "delete_rewrite": (lambda s, d: u.delete_where(s.table("orders"), F.col("o_orderstatus") == "F").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F')"),
@@ -140,37 +177,22 @@ def distinct_on(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_nth = 1").drop("_nth")
 
 
-def json_contains(column, part):
-    """`column @> part` of JSON objects: each top-level key of `part` has the same JSON value in `column`."""
-    kind = "map<string, variant>"
-    whole, wanted = F.from_json(column, kind), F.from_json(part, kind)
-    return F.forall(F.map_keys(wanted), lambda k: F.coalesce(F.to_json(whole[k]) == F.to_json(wanted[k]), F.lit(False)))
-
-
-def json_path(column, *path: str):
-    """`column #>> path`: the value at a path of keys and positions, as text."""
-    return F.get_json_object(column, "$" + "".join(f"[{x}]" if x.isdigit() else f"['{x}']" for x in path))
-
-
-def json_has(column, keys: list[str], every: bool):
-    """`column ?& keys` (every key) or `column ?| keys` (one of them)."""
-    found = F.json_object_keys(column)
-    wanted = F.array(*[F.lit(k) for k in keys])
-    return F.size(F.array_except(wanted, found)) == 0 if every else F.arrays_overlap(found, wanted)
-
-
-def json_without(column, key: str):
-    """`column - key` of a JSON object."""
-    return F.to_json(F.map_filter(F.from_json(column, "map<string, variant>"), lambda k, v: k != key))
-
-
 def similar_to(column, pattern: str):
-    """SQL's SIMILAR TO as an anchored regular expression."""
+    """SQL's SIMILAR TO as an anchored regular expression. Within brackets only a leading ^, ranges and [:classes:] are special."""
     out, at = "", 0
     while at < len(pattern):
         c = pattern[at]
         if c == "\\" and at + 1 < len(pattern):
             out, at = out + "\\" + pattern[at + 1], at + 1
+        elif c == "[":
+            end = at + 1 + (pattern[at + 1 : at + 2] == "^")
+            end += pattern[end : end + 1] == "]"
+            while end < len(pattern) and pattern[end] != "]":
+                end += 2 if pattern[end] == "\\" else pattern.index(":]", end) + 2 - end if pattern.startswith("[:", end) and ":]" in pattern[end:] else 1
+            inner = pattern[at + 1 : end]
+            negated = inner.startswith("^")
+            inner = re.sub(r"\[:(\w+):\]|([\[\]&^])", lambda m: rf"\p{{{m[1].title()}}}" if m[1] else "\\" + m[2], inner[negated:])
+            out, at = out + "[" + "^" * negated + inner + "]", end
         else:
             out += {"%": ".*", "_": "."}.get(c, "\\" + c if c in ".^$" else c)
         at += 1

@@ -14,10 +14,13 @@ from sqlsift.functions.ids import uuid5
 from sqlsift.plans import rollup
 
 
-def analyzed(executions: DataFrame) -> DataFrame:
-    """query, error, statements of each distinct text. Texts are few bytes and much work: a count of partitions keeps AQE from parsing them in one task."""
+def analyzed(executions: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """query, error, statements of each distinct text that `known` (query) lacks. Texts are few bytes and much work: a count of partitions keeps AQE from parsing them in one task."""
     parts = max(int(executions.sparkSession.conf.get("spark.sql.shuffle.partitions")), executions.sparkSession.sparkContext.defaultParallelism)
-    return executions.select("query").distinct().repartition(parts, "query").withColumn("a", analyze("query")).select("query", "a.error", "a.statements")
+    texts = executions.select("query").distinct()
+    if known is not None:
+        texts = texts.join(known.select("query"), "query", "left_anti")
+    return texts.repartition(parts, "query").withColumn("a", analyze("query")).select("query", "a.error", "a.statements")
 
 
 def statements(executions: DataFrame, texts: DataFrame) -> DataFrame:
@@ -28,7 +31,7 @@ def statements(executions: DataFrame, texts: DataFrame) -> DataFrame:
     control = F.col("s.command").isin(*rollup.CONTROL)
     return rows.select(
         uuid5(F.col("s.masked")).alias("query_uid"), F.col("s.command").alias("command"), F.col("s.masked").alias("masked_query"), F.col("s.unmasked").alias("unmasked_query"), "query",
-        F.col("database").alias("database_name"), F.col("user").alias("user_name"), "hour", F.struct("file", "entry_no", "statement_no").alias("seen"), F.when(control, 1).otherwise(F.col("n")).cast("long").alias("tx_count"),
+        F.col("database").alias("database_name"), F.col("user").alias("user_name"), "hour", F.struct("file", "entry_no", "statement_no").alias("seen"), *[c for c in ("origin",) if c in rows.columns], F.when(control, 1).otherwise(F.col("n")).cast("long").alias("tx_count"),
         F.when(control, 0).otherwise(F.round(F.col("duration_us") / F.col("n"))).cast("long").alias("duration_us"),
     )
 
@@ -62,7 +65,7 @@ def star(executions: DataFrame, texts: DataFrame) -> dict[str, DataFrame]:
         "tables": tables.select(F.col("table_uid").alias("uid"), "schema_name", "table_name").distinct(),
         "tables_in_queries": tables.withColumn("uid", _uid("query_uid", "table_uid")),
         "columns_in_queries": columns.withColumn("uid", _uid("query_uid", "clause", table(["schema_name", "table_name", "column_name"]))),
-        "table_joins_in_queries": joins.withColumn("uid", _uid("query_uid", "table_uid_a", "table_uid_b", "on_condition")),
+        "table_joins_in_queries": joins.withColumn("uid", _uid("query_uid", "table_uid_a", "table_uid_b")),
         "functions_in_queries": each.select("query_uid", F.explode("functions").alias("function_name")),
         "create_statements": creates.drop("query_uid", "command").dropDuplicates(["uid"]),
         "create_statements_in_queries": creates.select(_uid("query_uid", "uid").alias("uid"), "query_uid", F.col("uid").alias("create_statement_uid")),
@@ -70,6 +73,13 @@ def star(executions: DataFrame, texts: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def shares(runs: DataFrame) -> dict[str, DataFrame]:
+    """The roll-ups of statements with an `origin`, by origin; uid is that of the total."""
+    hours = rollup.by_hour(runs, "origin")
+    users = rollup.by_user(runs, "origin")
+    return {"hour_shares": hours, "user_shares": users}
+
+
 def owners(imported: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
     """Owners of tables from {database, data: [{table, owners}]}, and the tables that `existing` (uid) lacks."""
     rows = imported.select("database", F.explode("data").alias("d")).select("database", F.split("d.table", r"\.").alias("p"), F.explode("d.owners").alias("owner"))

@@ -24,18 +24,21 @@ def split_transactions(statements: DataFrame) -> DataFrame:
     )
 
 
-def by_hour(runs: DataFrame) -> DataFrame:
-    """query_uid, hour, duration_us, tx_count -> queries_by_hours."""
-    out = runs.groupBy("query_uid", "hour").agg(F.count("*").alias("total_count"), F.sum("duration_us").alias("total_duration_us"), F.sum("tx_count").alias("total_queries_in_transaction"))
-    return out.select(uuid5(F.concat_ws("|", "query_uid", F.date_format("hour", "yyyy-MM-dd HH:00:00"))).alias("uid"), "query_uid", F.to_date("hour").alias("queried_date"), F.hour("hour").alias("queried_hour"), "total_count", "total_duration_us", "total_queries_in_transaction")
-
-
-def by_user(runs: DataFrame) -> DataFrame:
-    """query_uid, hour, user_name, duration_us -> query_users (identity within the hour)."""
-    out = runs.groupBy("query_uid", "hour", "user_name").agg(F.count("*").alias("total_count"), F.sum("duration_us").alias("total_duration_us"))
-    hour = uuid5(F.concat_ws("|", "query_uid", F.date_format("hour", "yyyy-MM-dd HH:00:00")))
-    out = out.withColumn("queries_by_hour_uid", hour)
-    return out.select(uuid5(F.concat_ws("|", "user_name", "queries_by_hour_uid")).alias("uid"), "queries_by_hour_uid", "user_name", "total_count", "total_duration_us", uuid5(F.concat_ws("|", "user_name", "query_uid")).alias("legacy_uid"))
+def by_hour(runs: DataFrame, *by: str) -> DataFrame:
+    """query_uid, hour, duration_us, tx_count -> queries_by_hours; further columns `by` divide it."""
+    out = runs.groupBy("query_uid", "hour", *by).agg(F.count("*").alias("total_count"), F.sum("duration_us").alias("total_duration_us"), F.sum("tx_count").alias("total_queries_in_transaction"))
+    return out.select(_hour_uid().alias("uid"), "query_uid", F.to_date("hour").alias("queried_date"), F.hour("hour").alias("queried_hour"), "total_count", "total_duration_us", "total_queries_in_transaction", *by)
+
+
+def _hour_uid():
+    return uuid5(F.concat_ws("|", "query_uid", F.date_format("hour", "yyyy-MM-dd HH:00:00")))
+
+
+def by_user(runs: DataFrame, *by: str) -> DataFrame:
+    """query_uid, hour, user_name, duration_us -> query_users (identity within the hour); further columns `by` divide it and bring the date."""
+    out = runs.groupBy("query_uid", "hour", "user_name", *by).agg(F.count("*").alias("total_count"), F.sum("duration_us").alias("total_duration_us"))
+    out = out.withColumn("queries_by_hour_uid", _hour_uid())
+    return out.select(uuid5(F.concat_ws("|", "user_name", "queries_by_hour_uid")).alias("uid"), "queries_by_hour_uid", "user_name", "total_count", "total_duration_us", uuid5(F.concat_ws("|", "user_name", "query_uid")).alias("legacy_uid"), *by, *[F.to_date("hour").alias("queried_date")] * bool(by))
 
 
 def first_wins(runs: DataFrame, order: str, *columns: str) -> DataFrame:

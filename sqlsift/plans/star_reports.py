@@ -55,7 +55,7 @@ def report(spark: SparkSession, tables: dict[str, DataFrame], name: str) -> Data
 
 
 def _log(s: SparkSession, d: str) -> DataFrame:
-    """A log of the events, a file a day: a join, a temporary table, a statement without tables or an update each."""
+    """A log of the events, a file a day: a join, a temporary table, a statement without tables or an update each. Its lines, with the day of each."""
     e = read(s, d, "events")
     t, no = F.col("event_type"), F.col("event_id")
     said = (
@@ -65,22 +65,23 @@ def _log(s: SparkSession, d: str) -> DataFrame:
         .otherwise(F.concat(F.lit("update "), t, F.lit(" set value = "), no, F.lit(" where details = 'x'")))
     )
     took = (F.round(F.col("value") * 1000).cast("long") / 1000).cast("decimal(20,3)").cast("string")
-    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC:10.0.0.1(5432):user_"), F.col("user_id"), F.lit("@db_"), no % 3, F.lit(":[42]:LOG:  duration: "), took, F.lit(" ms  statement: "), said, F.lit("\n"))
-    files = e.select(F.date_format("ts", "yyyy-MM-dd").alias("file"), F.struct(no.alias("at"), line.alias("line")).alias("x")).groupBy("file")
-    return files.agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x.line), "").alias("text"))
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC:10.0.0.1(5432):user_"), F.col("user_id"), F.lit("@db_"), no % 3, F.lit(":[42]:LOG:  duration: "), took, F.lit(" ms  statement: "), said)
+    return e.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), no.alias("at"), line.alias("line"))
 
 
-#: The stored tables of the log of (application, folder).
-_LOADED: dict[tuple[str, str], dict[str, DataFrame]] = {}
+#: The stored tables of the log of (application, folder, events read).
+_LOADED: dict[tuple, dict[str, DataFrame]] = {}
 
 
 def _tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    key = s.sparkContext.applicationId, d
+    events = sorted(map(tuple, read(s, d, "events").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()))
+    key = s.sparkContext.applicationId, d, tuple(events)
     if key not in _LOADED:
-        root = shared_dir(s, "star")
-        files = _log(s, d)
-        load.load(s, files.filter(F.col("file") < "2024-01-16"), root, "app", "http://app/")
-        load.load(s, files, root, "app", "http://app/")
+        root, lines = shared_dir(s, "star"), _log(s, d)
+        path = shared_dir(s, "star-log")
+        for some in (lines.filter("day < '2024-01-16'"), lines.filter("day >= '2024-01-16'")):
+            some.repartition("day").sortWithinPartitions("day", "at").select("day", "line").write.mode("append").partitionBy("day").text(path)
+            load.load_path(s, path, root, "app", "http://app/", range_bytes=1 << 20)
         _LOADED[key] = load.tables(s, root)
     return _LOADED[key]
 

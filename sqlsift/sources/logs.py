@@ -11,6 +11,8 @@ distances from UTC (+02, -0330, +05:30).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +26,11 @@ BODY = r"(?s)^(?:duration: ([\d.]+) (\w+)\s*)?(?:(statement|execute|parse|bind)(
 ZONES = {"UTC": "UTC", "GMT": "UTC", "PDT": "America/Los_Angeles", "PST": "America/Los_Angeles", "EDT": "America/New_York", "EST": "America/New_York", "CDT": "America/Chicago", "CST": "America/Chicago", "MDT": "America/Denver", "MST": "America/Denver"}
 
 
-def read_logs(spark: SparkSession, path: str, range_bytes: int = 64 << 20) -> DataFrame:
-    """file, entry_no (its first byte), entry of every log file under a path, read in ranges of a file."""
+def read_logs(spark: SparkSession, path: str, range_bytes: int = 64 << 20, files: list[str] | None = None) -> DataFrame:
+    """file, entry_no (its first byte), entry of every log file under a path, or of those named, read in ranges of a file."""
     spark.dataSource.register(LogSource)
-    return spark.read.format(LogSource.name()).option("rangeBytes", range_bytes).load(path)
+    reader = spark.read.format(LogSource.name()).option("rangeBytes", range_bytes)
+    return (reader if files is None else reader.option("files", json.dumps(files))).load(path)
 
 
 _SEPARATOR = "\x01"
@@ -54,10 +57,11 @@ def _split(files: DataFrame) -> DataFrame:
     return rows.select("file", "entry_no", "entry", F.explode(F.array(_pieces(text, PREFIX, 10))).alias("p")).filter(F.trim(F.translate("entry", "\r\n\t", "")) != "")
 
 
-def _parsed(files: DataFrame) -> DataFrame:
-    part = lambda n: F.col("p")[n]
-    raw = _split(files).filter(F.size("p") > 1).select(
-        "entry", "file", "entry_no", part(1).alias("date"), part(2).alias("time"), part(3).alias("timezone"), part(4).alias("remote_host"), part(5).try_cast("int").alias("remote_port"),
+def parsed(files: DataFrame) -> DataFrame:
+    """One row per log entry, as parsed, with its text (entry) and whether its prefix parses (fits); fields of one that does not are null."""
+    part = lambda n: F.get("p", F.lit(n))
+    raw = _split(files).select(
+        "entry", (F.size("p") > 1).alias("fits"), "file", "entry_no", part(1).alias("date"), part(2).alias("time"), part(3).alias("timezone"), part(4).alias("remote_host"), part(5).try_cast("int").alias("remote_port"),
         part(6).alias("user"), part(7).alias("database"), part(8).try_cast("int").alias("pid"), part(9).alias("severity"), F.regexp_replace(part(10), r"(?m)^[ \t\r]+", "").alias("body"),
     )
     is_error = F.col("severity") == "ERROR"
@@ -72,8 +76,9 @@ def _parsed(files: DataFrame) -> DataFrame:
 
 
 def entries(files: DataFrame) -> DataFrame:
-    """One row per log entry, as parsed."""
-    return _parsed(files).drop("entry")
+    """One row per log entry whose prefix parses; `files` may be `parsed` already."""
+    rows = files if "fits" in files.columns else parsed(files)
+    return rows.filter("fits").drop("entry", "fits")
 
 
 def _zone():
@@ -95,9 +100,9 @@ def _executed():
 
 
 def quarantined(files: DataFrame) -> DataFrame:
-    """file, entry_no, entry of what is no entry, and of statements that `executions` leaves out for their zone or time."""
-    untimed = _parsed(files).filter(_executed() & (_zone().isNull() | _local_time().isNull())).select("file", "entry_no", "entry")
-    return _split(files).filter(F.size("p") == 1).drop("p").unionByName(untimed)
+    """file, entry_no, entry of what is no entry, and of statements that `executions` leaves out for their zone or time; `files` may be `parsed` already."""
+    rows = files if "fits" in files.columns else parsed(files)
+    return rows.filter(~F.col("fits") | _executed() & (_zone().isNull() | _local_time().isNull())).select("file", "entry_no", "entry")
 
 
 def paired(rows: DataFrame, strict_session: bool = False, span: int = 64 << 20) -> DataFrame:

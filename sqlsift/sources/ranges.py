@@ -7,11 +7,12 @@ one piece of the file. Small files share a task; packed files (.gz, .bz2, .zst)
 The same source streams: its offset is the place in each file up to which entries were taken. The last entry of a file waits
 until another begins behind it or the file has not changed for `settleSeconds`.
 
-Options: path (a file or folder), rangeBytes (64 MB), settleSeconds (60).
+Options: path (a file or folder), rangeBytes (64 MB), settleSeconds (60), files (a JSON list of the names to read, all by default).
 """
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from collections.abc import Iterator
@@ -171,11 +172,11 @@ def _planned(parts: Iterator[Part], each: int) -> list[Ranges]:
 
 
 class _Batch(DataSourceReader):
-    def __init__(self, path: str, each: int):
-        self.path, self.each = path, each
+    def __init__(self, path: str, each: int, files: str | None):
+        self.path, self.each, self.files = path, each, None if files is None else set(json.loads(files))
 
     def partitions(self):
-        return _planned((Part(name, 0, size, True) for name, size, _ in listed(self.path)), self.each)
+        return _planned((Part(name, 0, size, True) for name, size, _ in listed(self.path) if self.files is None or name in self.files), self.each)
 
     def read(self, partition):
         return _read(partition)
@@ -238,7 +239,7 @@ class LogSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> _Batch:
-        return _Batch(self.options["path"], int(self.options.get("rangebytes", 64 << 20)))
+        return _Batch(self.options["path"], int(self.options.get("rangebytes", 64 << 20)), self.options.get("files"))
 
     def streamReader(self, schema) -> _Stream:
         return _Stream(self.options["path"], int(self.options.get("rangebytes", 64 << 20)), float(self.options.get("settleseconds", 60)))

@@ -18,3 +18,69 @@ def test_hourly(spark, tmp_path):
     assert step("a.log", P.format("10:00:00", 1, 1) + P.format("10:30:00", 2, 1)) == []
     assert step("b.log", P.format("10:45:00", 3, 1) + P.format("15:00:00", 4, 1)) == [(10, 3, 6000)]
     assert step("c.log", P.format("10:50:00", 5, 1) + P.format("19:00:00", 6, 1)) == [(10, 3, 6000), (15, 1, 4000)]  # too late: left out
+
+
+HEAD = "2024-07-08 {} UTC:{}:{}@shop:[7]:LOG:  "
+
+
+def hold(at, user, n, host="10.0.0.1(1)"):
+    return HEAD.format(at, host, user) + f"statement: select a from t{n}\n  where b = 1\n"
+
+
+def took(at, user, ms, host="10.0.0.1(1)"):
+    return HEAD.format(at, host, user) + f"duration: {ms} ms\n"
+
+
+def test_pairs_over_batches_and_restarts(spark, tmp_path, monkeypatch):
+    from sqlsift.plans import load
+    from sqlsift.plans.store import Store
+    from sqlsift.sources import logs
+    from sqlsift.streaming import sessions
+
+    folder, root, other = tmp_path / "logs", str(tmp_path / "star"), str(tmp_path / "batch")
+    folder.mkdir()
+
+    def step(name, text):
+        with (folder / name).open("a") as f:
+            f.write(text)
+        q = sessions.into_store(sessions.watch(spark, str(folder), settle_seconds=0), root, str(tmp_path / "state"), "s")
+        q.awaitTermination(300)
+        return q.exception()
+
+    assert step("a.log", hold("10:00:00", "ann", 1) + hold("10:00:01", "bob", 2) + "2024-07-08 10:00:02 UTC:nonsense\n") is None
+    at = load.version(spark, root)
+    commit = Store.commit
+    monkeypatch.setattr(Store, "commit", lambda self, *a: (_ for _ in ()).throw(OSError("killed before the commit")))
+    more = took("10:00:03", "ann", 5) + hold("10:00:04", "ann", 1) + took("11:00:00", "bob", 7, "[local]") + hold("11:00:00", "bob", 3, "[local]")
+    assert step("a.log", more) is not None and load.version(spark, root) == at
+    monkeypatch.setattr(Store, "commit", lambda self, *a: commit(self, *a) and (_ for _ in ()).throw(OSError("killed behind the commit")))
+    assert step("a.log", "") is not None and load.version(spark, root) == at + 1
+    monkeypatch.setattr(Store, "commit", commit)
+    assert step("a.log", took("10:00:05", "ann", 6) + took("11:00:01", "bob", 8, "[local]")) is None
+    load.load(spark, logs.read_logs(spark, str(folder)), other)
+    for name in ("queries_by_hours", "query_users", "queries", "texts", "tables_in_queries"):
+        columns = [c for c in load.tables(spark, other)[name].columns if c != "source_uid"]
+        got, want = (sorted(map(str, load.tables(spark, r)[name].select(*columns).collect())) for r in (root, other))
+        assert got == want and want
+    assert [r.total_duration_us for r in load.tables(spark, root)["queries_by_hours"].orderBy("total_duration_us").collect()] == [8000, 11000]
+    assert load.tables(spark, root)["quarantined"].count() == 1
+
+
+def test_pairs_over_files_and_timers(spark, tmp_path):
+    from sqlsift.sources import logs
+    from sqlsift.streaming import sessions
+
+    folder = tmp_path / "logs"
+    folder.mkdir()
+
+    def step(name, text, wait):
+        (folder / name).write_text(text)
+        rows = sessions.paired(logs.parsed(sessions.watch(spark, str(folder), settle_seconds=0)), by_file=False, wait_hours=wait)
+        q = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+        return sorted((r.file[-5:], r.query[:16], r.duration_lit) for r in spark.read.schema(rows.schema).parquet(str(tmp_path / "out")).collect())
+
+    assert step("a.log", hold("10:00:00", "ann", 1), 24) == []
+    assert step("b.log", took("10:00:01", "ann", 5) + hold("10:00:02", "ann", 2), 0) == [("a.log", "select a from t1", "5")]
+    step("c.log", took("12:00:00", "cid", 1), 0)  # time passes: the timer lets go
+    assert step("d.log", took("10:00:09", "ann", 9), 0) == [("a.log", "select a from t1", "5")]
