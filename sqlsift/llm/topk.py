@@ -8,8 +8,10 @@ kept, measured over all its rows: the sorted annuli that hold it. A query's k-th
 bounds its radius at first. Then it searches rings in the order of the most they can hold by the triangle
 inequality, `FIRST` rings in the first round and `FIRST` times as many in each further one; after each the k-th score
 found so far tightens the radius, and a query stops when no ring left can hold a row as good. So the result is
-exact, and rounds grow with the logarithm of the number of rings. Blocks and batches of queries that lie near each
-other meet by key; groups are bounded on both sides, and a block travels only to the batches that ask for it.
+exact, and rounds grow with the logarithm of the number of rings; a round in which queries asked for at least half of what it offered is
+followed by one of all the rest. Runs of `TOGETHER` blocks and batches of queries that lie near each
+other meet by key: a query's vector is written once for each run it asks, with the rings of it that it asks. Groups are bounded on both sides, and a block
+travels only to the batches that ask for it. Vectors are kept in the narrowest integers that hold their components.
 
 Defined results: rows with a null id or a vector that is null or holds null or non-finite components take
 no part; shorter vectors count as padded with zeros; fewer rows than k give all; ties go to the smaller id. A scaled
@@ -45,6 +47,7 @@ class PivotIndex:
 
     def __init__(self, sample: np.ndarray, rows: int, norm: int, exact: bool, pivots: int, block_rows: int, most_rings: int):
         self.norm, self.exact, self.dims = float(norm), exact, sample.shape[1]
+        self.kind = np.dtype(next((t for t in (np.int16, np.int32) if norm <= np.iinfo(t).max ** 2), np.int64))
         distinct = np.unique(sample, axis=0)
         at = np.random.default_rng(0).permutation(len(distinct))[:pivots]
         self.pivots = self._lifted(distinct[at])
@@ -102,7 +105,7 @@ class PivotIndex:
     def scores(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
         if self.exact:
             return np.rint(q.astype(float) @ rows.astype(float).T).astype(np.int64)
-        return q @ rows.T
+        return q.astype(np.int64) @ rows.astype(np.int64).T
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -118,6 +121,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 _NEVER = np.iinfo(np.int64).min
 #: Rings that a query searches in its first round, and the growth of rounds.
 FIRST = 8
+#: Blocks, one after the other in the index, that meet queries together.
+TOGETHER = 16
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, scale: int = 256, most_pivots: int = 128, sample_rows: int = 8192, block_rows: int = 4096, most_rings: int = 1 << 14, query_rows: int = 1 << 16, progress: Callable[[int, int], None] | None = None) -> DataFrame:
@@ -155,23 +160,24 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
 
     def gather(t: pa.Table) -> pa.Table:
         x, ids = _matrix(t["v"], dims), t["id"].to_numpy()
+        kept, run = x.astype(shared.value.kind), int(shared.value.before[t["ring"][0].as_py()] + t["block"][0].as_py()) // TOGETHER
         mine = np.flatnonzero(t["query"].to_numpy())
         low, high = shared.value.annuli(x)
-        out = [("rows", ids.tobytes(), x.tobytes(), None, None, low, high)]
+        out = [("rows", ids.tobytes(), kept.tobytes(), None, None, low, high)]
         for lo in range(0, len(mine), 256):
             some = mine[lo : lo + 256]
             scores = shared.value.scores(x[some], x)
             scores[ids[some][:, None] == ids] = _NEVER
             least = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(some), _NEVER)
-            out += [("query", ids[q : q + 1].tobytes(), x[q].tobytes(), int(v), int(ids[q]), None, None) for q, v in zip(some, least)]
+            out += [("query", ids[q : q + 1].tobytes(), kept[q].tobytes(), int(v), int(ids[q]), None, None) for q, v in zip(some, least)]
         cols = list(zip(*out))
         same = [pa.array([int(t[c][0].as_py())] * len(out), pa.int32()) for c in ("ring", "block")]
         kinds = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
-        return pa.table([*same, *(pa.array(c, kind) for c, kind in zip(cols, kinds))], names=["ring", "block", "kind", "ids", "v", "least", "id", "low", "high"])
+        return pa.table([*same, pa.array([run] * len(out), pa.int32()), *(pa.array(c, kind) for c, kind in zip(cols, kinds))], names=["ring", "block", "run", "kind", "ids", "v", "least", "id", "low", "high"])
 
-    built = rows.mapInArrow(key, "ring int, block int, id long, query boolean, v array<bigint>").groupBy("ring", "block").applyInArrow(gather, "ring int, block int, kind string, ids binary, v binary, least long, id long, low array<double>, high array<double>")
+    built = rows.mapInArrow(key, "ring int, block int, id long, query boolean, v array<bigint>").groupBy("ring", "block").applyInArrow(gather, "ring int, block int, run int, kind string, ids binary, v binary, least long, id long, low array<double>, high array<double>")
     built = stored(built, "pivot-index")
-    blocks = built.filter("kind = 'rows'").select("ring", "block", "ids", "v")
+    blocks = built.filter("kind = 'rows'").select("run", "ring", "ids", "v")
     # one row a ring, whatever its number of blocks
     ends = built.filter("kind = 'rows'").select("ring", F.posexplode(F.arrays_zip("low", "high")).alias("pivot", "x")).groupBy("ring", "pivot").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
     ends = ends.groupBy("ring").agg(F.array_sort(F.collect_list(F.struct("pivot", "low", "high"))).alias("x")).select("ring", "x.low", "x.high").toArrow()
@@ -188,12 +194,13 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
 
         def probe(batches):
             index, total = shared.value, sum(shared.value.blocks)
+            start, stop = index.before // TOGETHER, (index.before + np.array(index.blocks) - 1) // TOGETHER
             for b in batches:
                 for lo in range(0, b.num_rows, slice_rows):
                     s = b.slice(lo, slice_rows)
                     part = (index.before[s.column(0).to_numpy()] + s.column(1).to_numpy()) * parts // total
                     ids = np.frombuffer(b"".join(s.column(2).to_pylist()), np.int64)
-                    q = np.frombuffer(b"".join(s.column(3).to_pylist()), np.int64).reshape(-1, dims)
+                    q = np.frombuffer(b"".join(s.column(3).to_pylist()), index.kind).reshape(-1, dims)
                     least = s.column(4).to_numpy()
                     most = index.most(q, *annuli.value)
                     meet = np.zeros(most.shape, bool)
@@ -202,30 +209,41 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
                     out = []
                     for p in np.unique(part):
                         mine = meet & (part == p)[:, None]
-                        for r in np.flatnonzero(mine.any(axis=0)).tolist():
-                            some = mine[:, r]
-                            out += [(r, k2, int(p), ids[some].tobytes(), q[some].tobytes(), least[some].tobytes()) for k2 in range(index.blocks[r])]
+                        asked = np.flatnonzero(mine.any(axis=0))
+                        runs = np.concatenate([np.stack([np.arange(start[r], stop[r] + 1), np.full(stop[r] - start[r] + 1, r)], 1) for r in asked.tolist()]) if len(asked) else np.zeros((0, 2), np.int64)
+                        for run in np.unique(runs[:, 0]).tolist():
+                            rings = runs[runs[:, 0] == run, 1]
+                            some = mine[:, rings].any(axis=1)
+                            which = mine[some][:, rings]
+                            # a ring is counted where it begins
+                            counts = np.where(start[rings] == run, which.sum(axis=0), 0)
+                            out.append((run, int(p), ids[some].tobytes(), q[some].tobytes(), least[some].tobytes(), rings.tolist(), counts.tolist(), np.packbits(which, axis=None).tobytes()))
                     if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32()] * 3 + [pa.binary()] * 3)], names=["ring", "block", "part", "ids", "v", "least"])
+                        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["run", "part", "ids", "v", "least", "rings", "counts", "which"])
 
         return probe
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
-        qs, qv, least = (np.frombuffer(b"".join(right[c].to_pylist()), np.int64) for c in ("ids", "v", "least"))
-        qv = qv.reshape(-1, dims)
-        for i in range(len(left) if len(qs) else 0):
-            ids = np.frombuffer(left["ids"][i].as_py(), np.int64)
-            x = np.frombuffer(left["v"][i].as_py(), np.int64).reshape(-1, dims)
-            for lo in range(0, len(qs), 256):
-                scores = shared.value.scores(qv[lo : lo + 256], x)
-                for q, s, low in zip(qs[lo : lo + 256], scores, least[lo : lo + 256]):
-                    at = np.flatnonzero((s >= low) & (ids != q))
-                    found += [(q, ids[a], s[a]) for a in at[_best(s[at], ids[at], k)]]
+        kind = shared.value.kind
+        if len(right):
+            held = [(ring.as_py(), np.frombuffer(ids.as_py(), np.int64), np.frombuffer(v.as_py(), kind).reshape(-1, dims)) for ring, ids, v in zip(left["ring"], left["ids"], left["v"])]
+            for row in right.select(["ids", "v", "least", "rings", "which"]).to_pylist():
+                qs, least = (np.frombuffer(row[c], np.int64) for c in ("ids", "least"))
+                qv = np.frombuffer(row["v"], kind).reshape(-1, dims)
+                which = np.unpackbits(np.frombuffer(row["which"], np.uint8), count=len(qs) * len(row["rings"])).reshape(len(qs), -1).astype(bool)
+                for ring, ids, x in held:
+                    if ring not in row["rings"]:
+                        continue
+                    some = np.flatnonzero(which[:, row["rings"].index(ring)])
+                    for q, s, low in zip(qs[some], shared.value.scores(qv[some], x), least[some]):
+                        at = np.flatnonzero((s >= low) & (ids != q))
+                        found += [(q, ids[a], s[a]) for a in at[_best(s[at], ids[at], k)]]
         cols = np.array(found, np.int64).reshape(-1, 3)
         return pa.table({"query_id": cols[:, 0], "vec_id": cols[:, 1], "score": cols[:, 2]})
 
-    by = ("ring", "block", "part")
+    by = ("run", "part")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     queries = built.filter("kind = 'query'").select("ring", "block", "ids", "v", "least", "id")
     found = spark.createDataFrame([], result)
@@ -233,8 +251,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     while first < rings:
         kth = found.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
         asking = (queries.join(kth, "id", "left").withColumn("least", F.greatest("least", "kth")) if first else queries).select("ring", "block", "ids", "v", "least")
-        probes = stored(asking.mapInArrow(probe_round(first, end), "ring int, block int, part int, ids binary, v binary, least binary"), "probes")
-        asked = probes.filter("block = 0").groupBy("ring", "part").agg(F.sum(F.length("ids") / 8).cast("long").alias("n"))
+        probes = stored(asking.mapInArrow(probe_round(first, end), "run int, part int, ids binary, v binary, least binary, rings array<int>, counts array<long>, which binary"), "probes")
+        asked = probes.select("part", F.explode(F.arrays_zip("rings", "counts")).alias("x")).groupBy(F.col("x.rings").alias("ring"), "part").agg(F.sum("x.counts").alias("n"))
         pairs, ways = asked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         if progress:
             progress(pairs, nq * rings)
@@ -246,7 +264,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
         hits = hits.unionByName(found.select("query_id", "vec_id", "score"))
         ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         found = stored(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "best")
-        first, end = end, end * FIRST
+        first, end = end, rings if 2 * pairs >= nq * (min(end, rings) - first) else end * FIRST
     return found
 
 
