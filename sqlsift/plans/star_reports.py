@@ -13,6 +13,8 @@ from sqlsift.functions.ids import uuid5_sql
 from sqlsift.plans import load
 from sqlsift.session import load as read
 from sqlsift.session import shared_dir
+from sqlsift.sources import logs
+from sqlsift.streaming import sessions
 
 _SECONDS = "floor(sum({us}) / 1e6 * 1000) / 1000"
 _TOTALS = "cast(sum(h.total_count) AS BIGINT) AS executions, cast(sum(h.total_duration_us) AS BIGINT) AS us"
@@ -110,10 +112,61 @@ create_statements_in_queries AS (SELECT query_uid, made AS create_statement_uid
 """
 
 
+_HOURS = "SELECT q.masked_query, h.queried_date, h.queried_hour, h.total_count, h.total_duration_us FROM {queries_by_hours} h JOIN {queries} q ON q.uid = h.query_uid"
+_HOURS_SQL = f"""SELECT {_MASKED} AS masked_query, cast(ts AS DATE) AS queried_date, cast(extract(hour FROM ts) AS INT) AS queried_hour, count(*) AS total_count,
+    cast(sum(cast(trunc(round(value * 1000) / 1000 * 1000) AS BIGINT)) AS BIGINT) AS total_duration_us FROM events GROUP BY ALL"""
+
+
+def _written(lines: DataFrame, path: str) -> str:
+    lines.repartition("file").sortWithinPartitions("file", "at").select("file", "line").write.partitionBy("file").text(path)
+    return path
+
+
+def _shared_hours(s: SparkSession, d: str) -> DataFrame:
+    """Hours that many files share add up, and files read again replace what they gave: at first each duration is tenfold in half of them."""
+    root, folder = shared_dir(s, "hours"), shared_dir(s, "hours-log")
+    lines = _log(s, d).withColumn("file", F.col("at") % 4)
+    wrong = lines.filter("file >= 2").withColumn("line", F.regexp_replace("line", r"duration: (\d+)\.", "duration: 9$1."))
+    load.load_path(s, _written(lines.filter("file < 2"), f"{folder}/a"), root)
+    for some in (wrong, lines.filter("file >= 2")):
+        rows = logs.read_logs(s, _written(some, shared_dir(s, "hours-log")), 1 << 20).withColumn("file", F.regexp_extract("file", r"file=(\d)", 1))
+        load.load(s, rows, root, reread=True)
+    return s.sql(_HOURS, **load.tables(s, root))
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """Statements arrive in one batch of a stream, their durations in the next; each batch is committed to the store."""
+    root, folder, state = shared_dir(s, "streamed"), shared_dir(s, "streamed-log"), shared_dir(s, "streamed-state")
+    lines = _log(s, d).withColumn("line", F.regexp_replace("line", "10.0.0.1", F.concat(F.lit("10.0.0.1_"), F.col("at"))))
+    head, took, said = (F.regexp_extract("line", r"^(.*?)(duration: \S+ ms)  (statement: .*)$", k) for k in (1, 2, 3))
+    for file, text in ((0, F.concat(head, said)), (1, F.concat(head, took))):
+        _written(lines.select(F.lit(file).alias("file"), "at", text.alias("line")), f"{folder}/{file}")
+        query = sessions.into_store(sessions.watch(s, folder, settle_seconds=0), root, state, "streamed", by_file=False)
+        query.awaitTermination()
+    return s.sql(_HOURS, **load.tables(s, root))
+
+
+def _owners(s: SparkSession, d: str) -> DataFrame:
+    """Owners of tables, imported in two documents that overlap."""
+    root = shared_dir(s, "owners")
+    for some in (0, 1):
+        e = read(s, d, "events").filter(F.col("event_id") % 3 >= some)
+        each = e.groupBy("event_type").agg(F.collect_set(F.concat(F.lit("owner_"), F.col("user_id") % 5)).alias("owners"))
+        data = each.agg(F.collect_list(F.struct(F.concat(F.lit("s."), "event_type").alias("table"), "owners")).alias("data"))
+        load.load_owners(s, data.select(F.lit("shop").alias("database"), "data"), root)
+    return s.sql("SELECT o.name AS owner, t.schema_name, t.table_name FROM {owners_tables} x JOIN {owners} o ON o.uid = x.owner_uid JOIN {tables} t ON t.uid = x.table_uid", **load.tables(s, root))
+
+
 def registry() -> dict:
+    more = {
+        "star_shared_hours": (_shared_hours, _HOURS_SQL),
+        "stream_hours": (_streamed, _HOURS_SQL),
+        "star_owners": (_owners, "SELECT DISTINCT 'owner_'||(user_id % 5) AS owner, 's' AS schema_name, event_type AS table_name FROM events"),
+    }
+
     def sql(text: str) -> str:
         for t in load.STAYS + load.WINS:
             text = text.replace(f"{{{t}}}", t)
         return _STAR + text.replace("[g]", ", 'g'")
 
-    return {f"star_{name}_report": ((lambda s, d, n=name: report(s, _tables(s, d), n)), sql(text)) for name, text in REPORTS.items()}
+    return more | {f"star_{name}_report": ((lambda s, d, n=name: report(s, _tables(s, d), n)), sql(text)) for name, text in REPORTS.items()}

@@ -1,5 +1,7 @@
 """Log files that arrive one after the other, and an hour that is late."""
 
+from pyspark.errors import StreamingQueryException
+
 from sqlsift.streaming import hourly
 
 P = "2024-07-08 {} UTC:10.0.0.1(1):ann@shop:[7]:LOG:  duration: {} ms  statement: select {}\n"
@@ -44,8 +46,10 @@ def test_pairs_over_batches_and_restarts(spark, tmp_path, monkeypatch):
         with (folder / name).open("a") as f:
             f.write(text)
         q = sessions.into_store(sessions.watch(spark, str(folder), settle_seconds=0), root, str(tmp_path / "state"), "s")
-        q.awaitTermination(300)
-        return q.exception()
+        try:
+            q.awaitTermination(300)
+        except StreamingQueryException as e:
+            return e
 
     assert step("a.log", hold("10:00:00", "ann", 1) + hold("10:00:01", "bob", 2) + "2024-07-08 10:00:02 UTC:nonsense\n") is None
     at = load.version(spark, root)
