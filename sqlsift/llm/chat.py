@@ -8,7 +8,8 @@ sums in each range, and what the ranges before hold of the one dialogue that cro
 
 Defined results: a null text is empty; a null role speaks as `unknown` and is nobody's perspective; null
 conversation ids are one conversation; turns sort nulls first, ties by role, then text; repeated rows are
-turns of their own; a conversation of system turns alone has no perspective and gives no row.
+turns of their own; a conversation of system turns alone has no perspective and gives no row; no turns give no rows.
+Columns beside conv_id, turn, role and text are not read and do not come back.
 """
 
 from __future__ import annotations

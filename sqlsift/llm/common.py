@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the one the cluster names. A temporary one of our own where none is named and all runs in this process.
 
-    Tables written there stay until whoever owns the folder clears it, as with checkpoints.
+    Tables written there stay until whoever owns the folder clears it, as with checkpoints, or `settled` does.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
@@ -34,13 +34,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables written while `settled` makes a result, by call.
+_MADE: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as a table in the shared folder and read back: what follows neither recomputes nor loses it."""
+    """`df` written as a table in the shared folder and read back: what follows neither recomputes nor loses it.
+
+    Within `settled` it goes when the result is written; else it stays until whoever owns the folder clears it.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of the shared folder."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def settled(spark: SparkSession, make, name: str) -> tuple[DataFrame, str]:
+    """What `make()` gives, written and read back, and where; all tables that were stored to make it are deleted."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        out = stored(make(), name)
+    finally:
+        _MADE.remove(made)
+    dropped(spark, *made[:-1])
+    return out, made[-1]
+
+
 def scan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of `df`; it only chooses how many pieces work is cut into."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

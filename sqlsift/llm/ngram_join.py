@@ -19,7 +19,8 @@ sets in large buckets that the bitmaps leave possible, that still lie in differe
 Large buckets are cut into a grid of bounded cells. Sets are hashed to 64 bits, tokens too.
 
 Defined results: no words or null text: size 0, linked with nothing; fewer words than a shingle: the whole
-sequence is one; a null id takes no part and has a null component; repeated rows are one component.
+sequence is one; a null id takes no part and has a null component; repeated rows are one component, a row each; an empty
+table gives none. Columns beside the id and the text are not read and do not come back.
 """
 
 from __future__ import annotations

@@ -59,3 +59,49 @@ def test_html_of_odd_tables(spark):
     got = html_extract.extract_pages(df)
     assert got.columns == ["page_id", "url", "html", "text", "n_chars"] and sorted((r.text, r.n_chars) for r in got.collect()) == [("", 0)] * 3 + [("x", 1)] * 2
     assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
+def test_scores_of_odd_tables(spark):
+    from sqlsift.llm import lm_score
+
+    rows = [(k if k % 4 else None, t, "x", 1) for k, t in enumerate(["a b c", None, "", "a b c", "x " * 500, "é ß", "a b c", ""] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, `a.b` int")
+    got = lm_score.lm_scores(docs, F.coalesce(F.col("doc_id"), F.lit(0)) % 3 > 0).collect()
+    assert len(got) == len(rows) and all(r.n_tokens >= 1 and r.score < 0 for r in got)
+    assert len({(r.n_tokens, round(r.score, 9)) for r in got if r.n_tokens == 4}) == 1  # equal texts
+    assert lm_score.lm_scores(docs.limit(0), F.lit(True)).count() == 0
+
+
+def test_vectors_of_odd_tables(spark):
+    rows = [(k, v, "q", k) for k, v in [(0, [1.0, 2.0]), (2, [1.0, 2.0]), (4, None), (None, [9.0]), (6, [1.0, float("nan")]), (8, []), (3, [5.0, None]), (5, [2.0])]]
+    df = spark.createDataFrame(rows, "VEC_ID long, embedding array<double>, query string, id long")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_top_k(df, F.col("vec_id") % 2 == 0, k=2).collect())
+    assert got == [(0, 1, 2, 5 << 16), (0, 2, 5, 2 << 16), (2, 1, 0, 5 << 16), (2, 2, 5, 2 << 16), (8, 1, 0, 0), (8, 2, 2, 0)]
+    assert topk.exact_top_k(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_dialogues_of_odd_tables(spark):
+    from sqlsift.llm import chat
+
+    rows = [(1, 0, "ann", "hi", "z", 1), (1, 1, "bob", None, "z", 2), (1, 1, "bob", None, "z", 3), (None, None, None, "x", "z", 4), (2, 0, "system", "s", "z", 5)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, message string, seq int"))
+    assert sorted((r.conv_id, r.perspective, r.seq, r.kind) for r in got.collect()) == [(1, p, k, "assistant" if (p == "ann") == (k == 1) else "user") for p in ("ann", "bob") for k in (1, 2, 3)]
+    assert chat.rotate(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, message string, seq int").limit(0)).count() == 0
+
+
+def test_stored_tables_go_with_their_owner(spark):
+    import os
+
+    from sqlsift.llm import common
+
+    paths = []
+
+    def make():
+        one = common.stored(spark.range(5), "one")
+        paths.extend(one.inputFiles())
+        return one.filter("id > 1")
+
+    out, path = common.settled(spark, make, "two")
+    assert sorted(r.id for r in out.collect()) == [2, 3, 4] and not any(os.path.exists(p.removeprefix("file://")) for p in paths) and path in out.inputFiles()[0]
+    common.dropped(spark, path)
+    assert common._MADE == []
