@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlsift.llm.common import stored, table
+from sqlsift.llm.common import dropped, settled, stored, table
 from sqlsift.llm.decontaminate import decontaminate
 from sqlsift.llm.langid import fitting, predict, train
 from sqlsift.llm.line_dedup import line_dedup
@@ -74,9 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    """The last stage's rows. What a stage writes on its way, and its input, are deleted when its result is written; the last stage's input stays, as its rows are read from it."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs, path = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            dropped(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
