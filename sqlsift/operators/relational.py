@@ -7,11 +7,13 @@ Each entry is Spark SQL over the driver's tables, with the SQL that checks it wh
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlsift.functions.jsons import json_contained, json_contains, json_delete_path, json_has, json_path, json_without
+from sqlsift.session import shared_dir
 
 SQL: dict[str, tuple[str, str | None]] = {
     # projection, filters, distinct
@@ -104,7 +106,6 @@ SQL: dict[str, tuple[str, str | None]] = {
     "array_any": ("SELECT n_nationkey FROM nation WHERE array_contains(array(1, 3), n_regionkey)", "SELECT n_nationkey FROM nation WHERE n_regionkey = ANY([1, 3])"),
     # statements that write, as rewrites
     "insert_values": ("SELECT r_regionkey, r_name FROM region UNION ALL VALUES (100, 'NEW')", None),
-    "ctas": ("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus", None),
 }
 
 
@@ -118,6 +119,28 @@ def bound(spark: SparkSession, text: str, *values) -> DataFrame:
     return spark.sql(named, args={f"p{k}": v for k, v in enumerate(values, 1)})
 
 
+def create_table_as(spark: SparkSession, name: str, text: str, if_not_exists: bool = False) -> DataFrame:
+    """CREATE TEMP TABLE name AS text: the rows are written, and later statements of the session find them by name."""
+    if spark.catalog.tableExists(name):
+        if if_not_exists:
+            return spark.table(name)
+        raise ValueError(f"{name} exists")
+    path = shared_dir(spark, name)
+    spark.sql(text).write.parquet(path)
+    spark.read.parquet(path).createTempView(name)
+    return spark.table(name)
+
+
+def _created(s: SparkSession) -> DataFrame:
+    name = f"status_{uuid.uuid4().hex}"
+    try:
+        create_table_as(s, name, "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+        create_table_as(s, name, "SELECT 1 AS x", if_not_exists=True)  # changes nothing
+        return s.sql(f"SELECT o_orderstatus, n FROM {name}")
+    finally:
+        s.catalog.dropTempView(name)
+
+
 def _documents(s):
     return s.sql(_DOCUMENTS)
 
@@ -138,6 +161,7 @@ def _upserts():
         "distinct_on": (lambda s, d: distinct_on(s.table("orders"), ["o_custkey"], [F.desc("o_totalprice"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey"), "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey DESC"),
         "expr_similar": (lambda s, d: s.table("part").filter(similar_to(F.col("p_brand"), "Brand#(1|2)_%")).select("p_partkey"), "SELECT p_partkey FROM part WHERE p_brand SIMILAR TO 'Brand#(1|2)..*'"),
         "json_contains": (lambda s, d: s.table("events").select("event_id", json_contains(F.col("props"), F.to_json(F.struct((F.col("event_id") % 100).alias("k")))).alias("has")), "SELECT event_id, json_contains(props, json_object('k', event_id % 100)) AS has FROM events"),
+        "ctas": (lambda s, d: _created(s), "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"),
         "bound_parameters": (
             lambda s, d: bound(s, "SELECT o_orderkey, '$1' AS text FROM orders WHERE o_totalprice > $2 AND o_orderstatus = $1 AND o_orderkey % $3 = 0", "F", 100000.0, 2),
             "SELECT o_orderkey, '$1' AS text FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F' AND o_orderkey % 2 = 0",
