@@ -324,17 +324,21 @@ def _score(depth: int, shards: int, total: int, distinct: int, ends: int, id_typ
     return run
 
 
-def lm_scores(docs: DataFrame, training, text_col: str = "text", id_col: str = "doc_id", depth: int = DEPTH, shard_bytes: int = 7 << 20, block_bytes: int = 14 << 20) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows where the column `training` holds are learned from."""
+def lm_scores(docs: DataFrame, training, text_col: str = "text", id_col: str = "doc_id", depth: int = DEPTH, shard_bytes: int = 7 << 20, block_bytes: int = 14 << 20, row_col: str | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows where the column `training` holds are learned from.
+
+    Rows are dealt into blocks by id and text. Where very many rows may have one id (or none) and one text, `row_col` names a column that tells
+    them apart and is the same at each reading, such as the place of a row in its file. Other columns are not read and do not come back.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
     if not 1 <= depth <= 7:
         raise ValueError("depth must be 1 to 7: an n-gram is one number")
     spark = docs.sparkSession
-    rows = docs.select(named(docs, id_col).alias("doc_id"), F.coalesce(named(docs, text_col), F.lit("")).alias("text"), (~training).alias("held_out"))
+    rows = docs.select(named(docs, id_col).alias("doc_id"), F.coalesce(named(docs, text_col), F.lit("")).alias("text"), (~training).alias("held_out"), (named(docs, row_col) if row_col else F.lit(0)).alias("row"))
     ends, size = rows.agg(F.count_if(~F.col("held_out")), F.sum(F.octet_length("text") + 16)).first()
     shards, blocks = max(32, -(-(size or 0) // shard_bytes)), max(32, -(-(size or 0) // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", "row"), F.lit(blocks)).cast("int")).drop("row").repartition(blocks, "block")
     gathered = stored(dealt.groupBy("block").applyInArrow(lean(_gather(depth, shards)), _GATHERED), "lm-gathered")
     model, left = gathered, blocks
     while True:  # at each level some parts become one
@@ -360,4 +364,5 @@ def lm_scores(docs: DataFrame, training, text_col: str = "text", id_col: str = "
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out(10))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("_metadata.row_index").alias("row"))
+    return lm_scores(docs, ~held_out(10), row_col="row")

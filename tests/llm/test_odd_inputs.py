@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from sqlsift.llm import html_extract, topk
+from sqlsift.llm import common, html_extract, topk
 
 
 def test_deep_pages(spark):
@@ -70,6 +70,10 @@ def test_scores_of_odd_tables(spark):
     assert len(got) == len(rows) and all(r.n_tokens >= 1 and r.score < 0 for r in got)
     assert len({(r.n_tokens, round(r.score, 9)) for r in got if r.n_tokens == 4}) == 1  # equal texts
     assert lm_score.lm_scores(docs.limit(0), F.lit(True)).count() == 0
+    path = common.stored(docs.select("doc_id", "text"), "same").inputFiles()[0].rsplit("/", 1)[0]
+    again = spark.read.parquet(path).select("doc_id", "text", F.col("_metadata.row_index").alias("row"))
+    told = lm_score.lm_scores(again, F.coalesce(F.col("doc_id"), F.lit(0)) % 3 > 0, row_col="row").collect()
+    assert sorted(map(repr, told)) == sorted(map(repr, got))
 
 
 def test_vectors_of_odd_tables(spark):
@@ -92,8 +96,6 @@ def test_dialogues_of_odd_tables(spark):
 def test_stored_tables_go_with_their_owner(spark):
     import os
 
-    from sqlsift.llm import common
-
     paths = []
 
     def make():
