@@ -34,8 +34,13 @@ SQL: dict[str, tuple[str, str | None]] = {
     "semi_exists": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)", None),
     "semi_in": ("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')", None),
     "anti_not_exists": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", None),
-    "anti_not_in": ("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)", None),
-    "anti_invariant": ("SELECT count_if(has) AS semi, count_if(NOT has) AS anti, count(*) AS total FROM (SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has FROM customer)", "SELECT cast(count_if(has) AS BIGINT) AS semi, cast(count_if(NOT has) AS BIGINT) AS anti, count(*) AS total FROM (SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has FROM customer)"),
+    # IN and NOT IN as an equality join and a count of the set's rows: as they stand, nulls make them a loop over all pairs or a broadcast of the whole set
+    "anti_not_in": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND (c_custkey IS NOT NULL OR (SELECT count(o_custkey) FROM orders) = 0)", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)"),
+    "anti_invariant": (
+        "SELECT count_if(has) AS semi, count_if(NOT has) AS anti, count(*) AS total FROM (SELECT CASE WHEN met THEN true WHEN n = 0 OR c_custkey IS NOT NULL AND n = named THEN false END AS has"
+        " FROM (SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS met FROM customer) CROSS JOIN (SELECT count(*) AS n, count(o_custkey) AS named FROM orders))",
+        "SELECT cast(count_if(has) AS BIGINT) AS semi, cast(count_if(NOT has) AS BIGINT) AS anti, count(*) AS total FROM (SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS has FROM customer)",
+    ),
     "scalar_subquery": ("SELECT o_orderkey FROM orders WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders)", None),
     "correlated_subquery": ("SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)", None),
     "derived_table": ("SELECT avg_n FROM (SELECT round(avg(n), 6) AS avg_n FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) x) y", None),
