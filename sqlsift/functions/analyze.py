@@ -1,13 +1,16 @@
-"""The SQL front-end as an Arrow UDF: one call a distinct text; a text it cannot take becomes an error, never a failure."""
+"""The SQL front-end as an Arrow UDF: one parse for texts that differ in literals alone (`sqltext.shapes`); a text it cannot take becomes an error, never a failure."""
 
 from __future__ import annotations
 
 import sys
 import threading
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sqlsift.sqltext.shapes import Templates
+
 #: Frames and bytes of stack for texts that nest deeper than Python's default.
 DEEP_FRAMES, DEEP_STACK = 100_000, 512 << 20
 SCHEMA = """struct<error: string, statements: array<struct<command: string, masked: string, unmasked: string,
@@ -19,6 +22,19 @@ SCHEMA = """struct<error: string, statements: array<struct<command: string, mask
     if_not_exists: boolean, name: string, on_commit: string, operator: string, expression: string, where_clause: string>>>>>"""
 
 
+def _rows(**fields: pa.DataType) -> pa.DataType:
+    return pa.list_(pa.struct(list(fields.items())))
+
+
+_S, _B = pa.string(), pa.bool_()
+#: SCHEMA for Arrow.
+_ARROW = pa.struct([("error", _S), ("statements", _rows(
+    command=_S, masked=_S, unmasked=_S, columns=_rows(clause=_S, schema_name=_S, table_name=_S, column_name=_S), tables=_rows(schema_name=_S, table_name=_S),
+    joins=_rows(schema_a=_S, table_a=_S, schema_b=_S, table_b=_S, on_condition=_S, join_condition=_S), functions=pa.list_(_S),
+    creates=_rows(scope=_S, is_unique=_B, used_concurrently=_B, is_temp=_B, is_unlogged=_B, object_type=_S, if_not_exists=_B, name=_S, on_commit=_S, operator=_S, expression=_S, where_clause=_S),
+))])
+
+
 def _deep(run, *args):
     """The result of `run` in a thread of its own with a large stack; RecursionError if even that is too small."""
     out: list = []
@@ -82,5 +98,15 @@ def _analyzed(sql: str | None) -> dict:
         return {"error": str(e), "statements": []}
 
 
+#: A worker's own.
+_TEMPLATES = Templates(analyze_text)
+
+
+def _analyzed_batch(texts: pa.Array) -> pa.Array:
+    return pa.array([_TEMPLATES(x) for x in texts.to_pylist()], _ARROW)
+
+
 def analyze(text: Column | str) -> Column:
-    return F.udf(analyze_text, SCHEMA, useArrow=True)(text)
+    """Error and statements. Declared nondeterministic to be called once a row: filters that Spark infers from what is taken apart (no empty lists) would
+    else call it a second time where the texts are read, in as few tasks as that has and before texts are made distinct."""
+    return F.arrow_udf(_analyzed_batch, SCHEMA).asNondeterministic()(text)
