@@ -36,6 +36,18 @@ def statements(executions: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def _once(texts: DataFrame) -> DataFrame:
+    """query_uid and statement, one for each query, of the texts that parse.
+
+    Statements are chosen by the least hash of their text and place, so what is grouped are two small columns (uid, number) by hashing, not all
+    statements by sorting. `texts` is read twice.
+    """
+    good = texts.filter("error is null").select("query", F.posexplode("statements").alias("no", "s"))
+    said = good.select(uuid5(F.col("s.masked")).alias("query_uid"), F.xxhash64("query", "no").alias("place"), "s")
+    least = said.groupBy("query_uid").agg(F.min("place").alias("place"))
+    return said.join(least, ["query_uid", "place"]).select("query_uid", "s.*").dropDuplicates(["query_uid"])
+
+
 def _uid(*parts):
     return uuid5(F.concat_ws("|", *parts))
 
@@ -45,7 +57,7 @@ def star(executions: DataFrame, texts: DataFrame) -> dict[str, DataFrame]:
     runs = statements(executions, texts)
     first = rollup.first_wins(runs, "seen", "database_name", "command", "masked_query", "unmasked_query")
     queries = first.select(F.col("query_uid").alias("uid"), uuid5(F.col("database_name")).alias("database_uid"), "command", "masked_query", "unmasked_query", "database_name")
-    each = texts.filter("error is null").select(F.explode("statements").alias("s")).select(uuid5(F.col("s.masked")).alias("query_uid"), "s.*").dropDuplicates(["query_uid"])
+    each = _once(texts)
     table = lambda t: F.concat_ws(".", *t)
 
     def part(name):

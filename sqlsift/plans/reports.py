@@ -70,6 +70,13 @@ def _written(lines, s, name: str):
     return logs.read_logs(s, path, 1 << 20)
 
 
+def _stored(df, name: str):
+    """Written and read back: what follows reads it more than once."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _prefix(host):
     return F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC:"), host, F.lit("(5432):"), "user_name", F.lit("@"), "db", F.lit(":[42]:LOG:  "))
 
@@ -130,8 +137,8 @@ def _star(s, d, name):
     said = F.concat(F.lit("select e.user_id, lower(x) from "), kind, F.lit(" e where e.value > "), F.col("event_id"))
     line = F.concat(_prefix(F.lit("10.0.0.1")), _took(), F.lit("  statement: "), said)
     found = _written(e.select(F.date_format("ts", "yyyy-MM-dd").alias("file"), F.col("event_id").alias("at"), line.alias("line")), s, "star-log")
-    runs = logs.executions(logs.paired(logs.entries(found)))
-    return ingest.star(runs, ingest.analyzed(runs))[name]
+    runs = _stored(logs.executions(logs.paired(logs.entries(found))), "runs")
+    return ingest.star(runs, _stored(ingest.analyzed(runs), "texts"))[name]
 
 
 _EX = f"SELECT event_id, date_trunc('second', ts) AS local_time, date_trunc('hour', ts) AS hour, 'user_'||user_id AS user_name, 'db_'||(event_id % 3) AS db, {_MASKED} AS masked, cast(round(value * 1000) AS BIGINT) AS duration_us FROM events"

@@ -68,3 +68,14 @@ def test_the_udf_is_called_once(spark):
     found = ingest.analyzed(rows).select("query", F.explode("statements").alias("s")).select("query", F.explode("s.columns").alias("c"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and found.count() == 4
+
+
+def test_one_statement_a_query_without_sorting_texts(spark):
+    from sqlsift.plans import ingest
+
+    rows = spark.createDataFrame([(f"select f(a) from t{k % 3} where b = {k}; select g(a) from u where b = {k}",) for k in range(60)], "query string")
+    texts = ingest.analyzed(rows).localCheckpoint()
+    once = ingest._once(texts)
+    assert sorted(r.masked for r in once.select("masked").collect()) == [f"(SELECT f(a) FROM t{k} WHERE (b = ?));" for k in range(3)] + ["(SELECT g(a) FROM u WHERE (b = ?));"]
+    plan = once.select("query_uid")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
