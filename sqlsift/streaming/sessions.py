@@ -1,7 +1,7 @@
 """Log entries as they arrive: statements paired with durations that come later, and batches taken into the stored star schema.
 
 A statement without a duration is kept as state of its client until the client's next such entry, whether that comes in the same
-batch, a later one or after a restart; a timer lets go of those that wait too long. Each batch is committed to the store with its number,
+batch, a later one or after a restart; a timer lets go of those that wait too long. Clients share states by groups of their hash (`GROUPS`), as a state costs calls between processes. Each batch is committed to the store with its number,
 so one that is run again after a failure changes nothing.
 """
 
@@ -28,40 +28,54 @@ def watch(spark: SparkSession, path: str, settle_seconds: float = 60, range_byte
     return spark.readStream.format(LogSource.name()).option("settleSeconds", settle_seconds).option("rangeBytes", range_bytes).load(path)
 
 
+#: Groups of clients that share a state; part of a checkpoint's layout.
+GROUPS = 4096
+
+
 class _Pairing(StatefulProcessor):
-    """The open statement of each client."""
+    """The open statements of a group of clients: state is read and written once a group and batch, not once a client."""
 
-    def __init__(self, schema: T.StructType, wait_ms: int):
-        self.schema, self.wait = schema, wait_ms
+    def __init__(self, schema: T.StructType, client: list[str], wait_ms: int):
+        self.schema, self.client, self.wait = schema, client, wait_ms
         self.names = schema.fieldNames()
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", T.StructType([T.StructField("until", T.LongType()), *self.schema.fields]))
+        self.open = handle.getListState("open", T.StructType([T.StructField("until", T.LongType()), *self.schema.fields]))
+
+    def _keep(self, held: dict[tuple, tuple]) -> None:
+        """Writes the open statements; the timer is that of the first to go, earlier ones that are left find nothing to do."""
+        if held:
+            self.open.put(list(held.values()))
+            self.handle.registerTimer(min(x[0] for x in held.values()))
+        else:
+            self.open.clear()
+
+    def _held(self) -> dict[tuple, tuple]:
+        places = [1 + self.names.index(c) for c in self.client]
+        return {tuple(x[p] for p in places): tuple(x) for x in self.open.get()} if self.open.exists() else {}
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        kept = self.open.get() if self.open.exists() else None
-        until = kept[0] if kept else None
-        held = dict(zip(self.names, kept[1:])) if kept else None
+        held = self._held()
+        until = int(time.time() * 1000) + self.wait
+        places = [self.names.index(n) for n in ("entry_no", "duration_lit", "duration_measure")]
         for row in sorted(rows, key=lambda r: (r["file"], r["entry_no"])):
-            entry = {n: row[n] for n in self.names}
-            if entry["query"]:
-                held = entry
-                continue
-            if held:
-                yield Row(**{**held, **{n: entry[n] for n in ("entry_no", "duration_lit", "duration_measure")}})
-            held = None
-        if until is not None:
-            self.handle.deleteTimer(until)
-            self.open.clear()
-        if held:
-            until = int(time.time() * 1000) + self.wait
-            self.handle.registerTimer(until)
-            self.open.update((until, *[held[n] for n in self.names]))
+            who = tuple(row[c] for c in self.client)
+            if row["query"]:
+                held[who] = (until, *[row[n] for n in self.names])
+            elif (kept := held.pop(who, None)) is not None:
+                pair = list(kept[1:])
+                for p in places:
+                    pair[p] = row[self.names[p]]
+                yield Row(**dict(zip(self.names, pair)))
+        self._keep(held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.open.exists() and self.open.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.open.clear()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        held = self._held()
+        left = {who: x for who, x in held.items() if x[0] > now}
+        if len(left) < len(held):
+            self._keep(left)
         return iter(())
 
     def close(self) -> None:
@@ -80,7 +94,8 @@ def paired(rows: DataFrame, by_file: bool = True, wait_hours: float = 24) -> Dat
     alone = (F.col("query") == "") & (F.col("duration_lit") != "")
     waits = F.coalesce(F.col("fits") & (hold | alone), F.lit(False))
     client = [*(["file"] if by_file else ["pid"]), "remote_host", "user", "database", "severity"]
-    pairs = rows.filter(waits).groupBy(*client).transformWithState(_Pairing(rows.schema, int(wait_hours * 3_600_000)), rows.schema, "Append", "ProcessingTime")
+    grouped = rows.filter(waits).withColumn("client_group", F.pmod(F.xxhash64(*client), F.lit(GROUPS)))
+    pairs = grouped.groupBy("client_group").transformWithState(_Pairing(rows.schema, client, int(wait_hours * 3_600_000)), rows.schema, "Append", "ProcessingTime")
     return rows.filter(~waits).unionByName(pairs)
 
 

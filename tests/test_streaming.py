@@ -89,3 +89,26 @@ def test_pairs_over_files_and_timers(spark, tmp_path):
     assert step("b.log", took("10:00:01", "ann", 5) + hold("10:00:02", "ann", 2), 0) == [("a.log", "select a from t1", "5")]
     step("c.log", took("12:00:00", "cid", 1), 0)  # time passes: the timer lets go
     assert step("d.log", took("10:00:09", "ann", 9), 0) == [("a.log", "select a from t1", "5")]
+
+
+def test_clients_of_one_group_keep_apart(spark, tmp_path, monkeypatch):
+    from sqlsift.sources import logs
+    from sqlsift.streaming import sessions
+
+    monkeypatch.setattr(sessions, "GROUPS", 2)
+    folder = tmp_path / "logs"
+    folder.mkdir()
+
+    def step(name, text):
+        (folder / name).write_text(text)
+        rows = sessions.paired(logs.parsed(sessions.watch(spark, str(folder), settle_seconds=0)), by_file=False)
+        q = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+        return sorted((r.user, r.query.split("\n")[0], r.duration_lit) for r in spark.read.schema(rows.schema).parquet(str(tmp_path / "out")).collect())
+
+    people = [f"p{k:02}" for k in range(30)]
+    assert step("a.log", "".join(hold("10:00:00", p, k) for k, p in enumerate(people))) == []
+    got = step("b.log", "".join(took("10:00:01", p, k) for k, p in enumerate(people) if k % 3))
+    assert got == [(p, f"select a from t{k}", str(k)) for k, p in enumerate(people) if k % 3]
+    got = step("c.log", "".join(took("10:00:02", p, 100 + k) for k, p in enumerate(people)))
+    assert [x for x in got if int(x[2]) >= 100] == [(p, f"select a from t{k}", str(100 + k)) for k, p in enumerate(people) if not k % 3]
