@@ -52,12 +52,12 @@ def _uid(*parts):
     return uuid5(F.concat_ws("|", *parts))
 
 
-def star(executions: DataFrame, texts: DataFrame) -> dict[str, DataFrame]:
-    """The tables of the star schema; `texts` is `analyzed(executions)`, best written once before."""
+def star(executions: DataFrame, texts: DataFrame, kept=lambda rows, name: rows) -> dict[str, DataFrame]:
+    """The tables of the star schema; `texts` is `analyzed(executions)`, best written once before. `kept` may write what several tables are made of, and give what it wrote."""
     runs = statements(executions, texts)
-    first = rollup.first_wins(runs, "seen", "database_name", "command", "masked_query", "unmasked_query")
+    first = kept(rollup.first_wins(runs, "seen", "database_name", "command", "masked_query", "unmasked_query"), "first")
     queries = first.select(F.col("query_uid").alias("uid"), uuid5(F.col("database_name")).alias("database_uid"), "command", "masked_query", "unmasked_query", "database_name")
-    each = _once(texts)
+    each = kept(_once(texts), "each")
     table = lambda t: F.concat_ws(".", *t)
 
     def part(name):

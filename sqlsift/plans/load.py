@@ -111,7 +111,7 @@ def _found(load: _Load, base: Version, runs: DataFrame, bad: DataFrame, source_n
     known = load.staged(known, "known") if known is not None else None
     parsed = load.staged(ingest.analyzed(said, known), "texts", "parsed")
     texts = parsed if known is None else parsed.unionByName(known.select(parsed.columns))
-    found = ingest.star(runs, texts)
+    found = ingest.star(runs, texts, load.staged)
     source = uuid5(F.lit(source_name))
     found["queries"] = found["queries"].withColumn("source_uid", source)
     found["sources"] = spark.range(1).select(source.alias("uid"), F.lit(source_name).alias("name"), F.lit(source_url).alias("url"))
@@ -121,7 +121,8 @@ def _found(load: _Load, base: Version, runs: DataFrame, bad: DataFrame, source_n
     found["functions_in_queries"] = found["functions_in_queries"].distinct().withColumn("uid", uuid5(F.concat_ws("|", "query_uid", "function_name")))
     found["query_users"] = found["query_users"].join(found["queries_by_hours"].select(F.col("uid").alias("queries_by_hour_uid"), "queried_date"), "queries_by_hour_uid").select("uid", "queries_by_hour_uid", "user_name", "total_count", "total_duration_us", "legacy_uid", "queried_date")
     if hours == "add":
-        shares = ingest.shares(ingest.statements(runs.withColumn("origin", origin), texts))
+        said = ingest.statements(runs.withColumn("origin", origin), texts)
+        shares = ingest.shares(load.staged(said.select("query_uid", "hour", "user_name", "origin", "tx_count", "duration_us"), "statements"))
         found |= {name: rows.select(uuid5(F.concat_ws("|", "origin", "uid")).alias("uid"), "origin", F.col("uid").alias("total_uid"), *[c for c in rows.columns if c not in ("uid", "origin")]) for name, rows in shares.items()}
         del found["queries_by_hours"], found["query_users"]
     del found["errors"]

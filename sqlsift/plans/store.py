@@ -30,6 +30,11 @@ KEY = "uid"
 FULL, MANY = 1_000_000, 8
 
 
+def folder_of(path):
+    """The folder (data/table/load/bucket) of a file, by its path. Cut at slashes: a pattern without a fixed begin is tried at every letter of every row's path."""
+    return F.substring_index(F.substring_index(path, "/", -5), "/", 4)
+
+
 def observed(rows: DataFrame, path: str, *by: str, same: str | None = None) -> tuple[int, int]:
     """Writes rows; how many there are and how many of them are `same`, counted by the write."""
     seen = Observation()
@@ -183,7 +188,7 @@ class Store:
         touched = self._touched(table, keys)
         if not touched:
             return self._added(table, one.withColumn("bucket", self._bucket(table)), folder)
-        old = self.read(table, touched).select(F.col(KEY).alias("k"), (F.xxhash64(*columns) if wins else F.lit(0)).alias("was"), F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+/[^/]+/[^/]+)/[^/]+$", 1).alias("folder"))
+        old = self.read(table, touched).select(F.col(KEY).alias("k"), (F.xxhash64(*columns) if wins else F.lit(0)).alias("was"), folder_of("_metadata.file_path").alias("folder"))
         met = old.join(keys, F.col("k") == F.col(KEY)).select(KEY, "bucket", "folder", "gone", (F.col("was") == F.col("content")).alias("same"))
         matched, same = observed(met, f"{self.root}/{folder}-met", same="same")
         met = self.spark.read.schema("uid string, bucket string, folder string, gone boolean, same boolean").parquet(f"{self.root}/{folder}-met")

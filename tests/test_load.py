@@ -106,6 +106,15 @@ def test_few_new_keys_rewrite_few_buckets(spark, tmp_path, monkeypatch):
     assert max(map(len, t6.folders.values())) <= store.MANY and s.read(t6).filter("i = 5").first().v == f"{store.MANY}"
 
 
+def test_folder_of_a_file(spark):
+    from sqlsift.plans.store import folder_of
+
+    path = "file:///a/b%20c/root/data/t/0123-0/bucket=2024-01-01.a/part-00000-5.c000.snappy.parquet"
+    rows = spark.range(1).selectExpr(f"'{path}' AS p").select(folder_of("p").alias("f"))
+    assert rows.first().f == "data/t/0123-0/bucket=2024-01-01.a"
+    assert "regexp" not in rows._jdf.queryExecution().toString().lower()
+
+
 def test_expire(spark, tmp_path):
     root = str(tmp_path)
     for k in range(3):
