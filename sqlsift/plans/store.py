@@ -168,7 +168,9 @@ class Store:
         rows = new.count() if rows is None else rows
         if table is None:
             table = Table(new.schema.json(), 0, date)
-            while rows > FULL * 16**table.digits:
+            # each date is a bucket already, so what is divided further is a date's share
+            dates = max(1, new.select(date).distinct().count()) if date and rows > FULL else 1
+            while rows > FULL * dates * 16**table.digits:
                 table.digits += 1
         else:
             old = T.StructType.fromJson(json.loads(table.schema))
@@ -215,19 +217,18 @@ class Store:
         return table
 
     def _rewritten(self, table: Table, buckets: set[str], stale: set[str], crowded: set[str], met: DataFrame, folder: str, less: dict[str, int]) -> Table:
-        """Stale folders without the keys of `met`, and crowded buckets as one folder."""
-        named = lambda f: any(f.endswith(s) for s in stale)
-        parts = []
+        """Stale folders without the keys of `met`, and crowded buckets as one folder. All buckets are one read and one join, so the plan does not grow with them."""
+        old, fresh = {}, {}
         for b in sorted(buckets | crowded):
-            old = [f for f in table.folders[b] if not f.startswith(f"{folder}/") and (named(f) or b in crowded)]
-            fresh = [f for f in table.folders[b] if f.startswith(f"{folder}/") and b in crowded]
-            if old:
-                rows = self.read(Table(table.schema, folders={b: old})).join(met.filter(F.col("bucket") == b).select(KEY), KEY, "left_anti") if b in buckets else self.read(Table(table.schema, folders={b: old}))
-                parts.append(rows.withColumn("bucket", F.lit(b)))
-            if fresh:
-                parts.append(self.read(Table(table.schema, folders={b: fresh})).withColumn("bucket", F.lit(b)))
-            table.folders[b] = [f for f in table.folders[b] if f not in old + fresh]
+            old[b] = [f for f in table.folders[b] if not f.startswith(f"{folder}/") and (f in stale or b in crowded)]
+            fresh[b] = [f for f in table.folders[b] if f.startswith(f"{folder}/") and b in crowded]
+            table.folders[b] = [f for f in table.folders[b] if f not in old[b] and f not in fresh[b]]
             table.rows[b] = table.rows.get(b, 0) - less.get(b, 0)
+        rows, parts = lambda folders: self.read(Table(table.schema, folders=folders)).withColumn("bucket", self._bucket(table)), []
+        if any(old.values()):
+            parts.append(rows(old).join(met.select(KEY, "bucket"), [KEY, "bucket"], "left_anti"))
+        if any(fresh.values()):
+            parts.append(rows(fresh))
         for b, f in self._write(reduce(DataFrame.unionByName, parts), f"{folder}-again")[0].items():
             table.folders[b].append(f)
         table.folders = {b: f for b, f in table.folders.items() if f}

@@ -106,6 +106,28 @@ def test_few_new_keys_rewrite_few_buckets(spark, tmp_path, monkeypatch):
     assert max(map(len, t6.folders.values())) <= store.MANY and s.read(t6).filter("i = 5").first().v == f"{store.MANY}"
 
 
+def test_changes_in_many_dates_are_one_read(spark, tmp_path, monkeypatch):
+    from sqlsift.plans import store
+
+    monkeypatch.setattr(store, "FULL", 100)
+    monkeypatch.setattr(store, "MANY", 2)
+    s = store.Store(spark, str(tmp_path))
+
+    def dated(value):
+        return spark.range(1000).selectExpr("sha1(string(id)) AS uid", "id AS i", "date_add(date'2024-01-01', int(id % 20)) AS d", f"CASE WHEN id < 40 THEN '{value}' ELSE 'old' END AS v").repartition(2)
+
+    t = s.merge(None, dated("old"), True, "data/t/1", "d")
+    assert t.digits == 0 and len(t.folders) == 20  # 50 rows of each date: no more buckets for them
+    reads, read = [], store.Store.read
+    monkeypatch.setattr(store.Store, "read", lambda self, table, buckets=None: reads.append(table) or read(self, table, buckets))
+    for k in range(1, 4):
+        reads.clear()
+        t = s.merge(t, dated(f"new{k}").filter("i < 40 or i >= 900"), True, f"data/t/{k + 1}", "d", gone=dated("old").filter("i = 500 or i < 10"))
+        assert len(reads) <= 3
+        assert {r.i: r.v for r in read(s, t).collect()} == {i: f"new{k}" if i < 40 else "old" for i in range(1000) if i != 500}
+        assert sum(t.rows.values()) == 999
+
+
 def test_folder_of_a_file(spark):
     from sqlsift.plans.store import folder_of
 
