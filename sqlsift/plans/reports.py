@@ -91,7 +91,7 @@ def _executed(s, d, paired: bool):
     prefix, what = _prefix(F.lit("10.0.0.1")), F.concat(F.lit("execute <unnamed>: /* "), "event_id", F.lit(" */ "), "masked")
     line = F.concat(prefix, what, F.lit("\n"), prefix, _took()) if paired else F.concat(prefix, _took(), F.lit("  "), what)
     found = _written(e.select((F.col("event_id") % 4).alias("file"), F.col("event_id").alias("at"), line.alias("line")), s, "log")
-    out = logs.executions(logs.paired(logs.entries(found), span=1 << 16))
+    out = logs.executions(logs.paired(_stored(logs.entries(found), "entries"), span=1 << 16))  # pairing reads its rows twice
     return out.select(_number(), "local_time", "hour", F.col("user").alias("user_name"), F.col("database").alias("db"), F.regexp_replace("query", _NUMBER, "").alias("masked"), "duration_us")
 
 
@@ -113,7 +113,7 @@ def _sessions(s, d):
     prefix = F.concat(at, F.when(local, F.lit("[local]")).otherwise(F.concat(F.lit("10.1.1."), no % 200, F.lit("(5432)"))), F.lit(":"), "user_name", F.lit("@"), "db", F.when(local, F.concat(F.lit("_"), no % 200)).otherwise(F.lit("")), F.lit(":[42]:LOG:  "))
     said = F.concat(F.when(no % 10 == 0, F.concat(at, F.lit("out of memory\n"))).otherwise(F.lit("")), prefix, F.lit("statement: /* "), no, F.lit(" */ "), "masked", F.lit("\n   ;"))
     lines = e.select("file", F.explode(F.array(F.struct((2 * no).alias("at"), said.alias("line")), F.struct((2 * no + 7).alias("at"), F.concat(prefix, _took()).alias("line")))).alias("x")).select("file", "x.*")
-    out = logs.executions(logs.paired(logs.entries(_written(lines, s, "sessions")), span=1 << 16))
+    out = logs.executions(logs.paired(_stored(logs.entries(_written(lines, s, "sessions")), "entries"), span=1 << 16))
     return out.select(_number(), F.regexp_replace("query", _NUMBER, "").alias("query"), F.col("user").alias("user_name"), F.regexp_extract("database", r"^db_\d", 0).alias("db"), "hour", "duration_us")
 
 
@@ -137,7 +137,7 @@ def _star(s, d, name):
     said = F.concat(F.lit("select e.user_id, lower(x) from "), kind, F.lit(" e where e.value > "), F.col("event_id"))
     line = F.concat(_prefix(F.lit("10.0.0.1")), _took(), F.lit("  statement: "), said)
     found = _written(e.select(F.date_format("ts", "yyyy-MM-dd").alias("file"), F.col("event_id").alias("at"), line.alias("line")), s, "star-log")
-    runs = _stored(logs.executions(logs.paired(logs.entries(found))), "runs")
+    runs = _stored(logs.executions(logs.paired(_stored(logs.entries(found), "entries"))), "runs")
     return ingest.star(runs, _stored(ingest.analyzed(runs), "texts"))[name]
 
 

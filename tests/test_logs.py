@@ -69,3 +69,11 @@ def test_upserts(spark):
     assert sorted(map(tuple, add(old, new, "uid", ["n"]).collect())) == [("a", 1), ("b", 7), ("c", 6)]
     files = spark.createDataFrame([("x",), ("y",)], "file string")
     assert [r.file for r in unprocessed(files, spark.createDataFrame([("x",)], "file_name string")).collect()] == ["y"]
+
+
+def test_registered_queries_read_their_log_once(spark):
+    from __spark_entry__ import queries
+
+    for name in ("log_pairing", "log_sessions", "log_roundtrip"):
+        found = queries()[name](spark, "/root/testdata/sf0.001")
+        assert "server_logs" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1000, name
