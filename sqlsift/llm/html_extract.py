@@ -1,16 +1,20 @@
 """HTML extraction by wrapper induction.
 
-Pages of one host share a template. A host's skeleton is its page of least hash with the nodes that others of
-its pages add (the page of least hash of each of `SLOTS` slots), by simple tree matching: the largest order- and
+Pages of one host share a template, which is made of all of them. A text may be template if all
+pages of a host that have its place (the labels from the root down) have it there, `SUPPORT` different contents at least;
+this is counted over all pages, and hosts without such a text need no wrapper. (So a line that some articles share is none,
+though a skeleton has room for it beside their other lines.) Of every page of the other hosts there remains its tree with
+these texts, their places and what is above them, less what is no content wherever it stands. A host's skeleton is
+one such tree with the nodes that all others add, by simple tree matching: the largest order- and
 ancestor-preserving mapping of nodes with equal labels, of these one with most equal texts; very long lists of
-children are aligned whole, by longest common subsequences of labels and texts, then of labels. Then every page of
-the host is aligned with the skeleton. A node whose text is the same on all pages it was matched on, with
-`SUPPORT` different contents at least, is template; the rest are slots. Pages of one content (the text by page
-roles alone) count once, so copies of an article under other menus are no template. A page is aligned with its
-host's wrapper and loses template text; of the slots, those with a page role (navigation, header, footer, aside,
+children are aligned whole, by longest common subsequences of labels and texts, then of labels. Pages are dealt to slots
+of a host by their hashes; each slot makes a skeleton of its trees in the order of hashes, and those of the slots are
+merged the same way. Then every tree of the host is aligned with the skeleton. A node whose text is the same on all pages
+it was matched on, with `SUPPORT` different contents at least, is template; the rest are slots. Pages of one content (the
+text by page roles alone) count once, so copies of an article under other menus are no template.
+A page is aligned with its host's wrapper and loses template text; of the slots, those with a page role (navigation, header, footer, aside,
 form, advert, notice, comments ...) are not content, and an article or main element, if any, bounds what is.
-Hosts without template text need no alignment, so only wrappers with some travel to their pages.
-A text on none of the pages that make the skeleton is no template. Tags may nest to any depth.
+Hosts without template text need no alignment, so only wrappers with some travel to their pages. Tags may nest to any depth.
 
 Defined results: null or empty html gives the empty text; a null url is a host of its own; markup that
 never closes ends with the page; repeated rows are pages of their own; a table without rows gives none.
@@ -29,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sqlsift.llm.common import BROADCAST_BYTES, chunks, column, lean, schema_with, stored, table, without
+from sqlsift.llm.common import BROADCAST_BYTES, chunks, column, lean, pieces, schema_with, stored, table, without
 
-SUPPORT, SLOTS = 3, 32
+SUPPORT = 3
+#: Pages of a host that make one slot of it, and the most slots (beyond these, slots have more pages).
+SLOT_PAGES, SLOTS = 512, 256
 #: What a node counts in a matching; equal texts count 1.
 NODE = 1 << 24
 #: Lists of children of more pairs than this are aligned by their longest common subsequences, without comparing what is below.
@@ -249,26 +255,49 @@ def matching(a: list, b: Node) -> list[tuple[list, Node]]:
     return match(a, b)[1]
 
 
-def bare(n: Node) -> list:
+class Tree:
+    """A node of a tree that is not parsed from a page, as `matching` takes it."""
+
+    __slots__ = ("below", "label", "text")
+
+    def __init__(self, label: str, text: int):
+        self.label, self.text, self.below = label, text, []
+
+    def children(self) -> list["Tree"]:
+        return self.below
+
+    def key(self) -> int:
+        return self.text
+
+
+def bare(n: Node | Tree) -> list:
     """A node of a skeleton: label, hash of the text, children."""
     return [n.label, n.key(), [bare(c) for c in n.children()]]
 
 
-def skeleton(pages: list[str]) -> list:
-    """The tree of the first page with the nodes that the others add."""
-    out = bare(parse(pages[0]))
-    for page in pages[1:]:
-        pairs = matching(out, parse(page))
-        partner = {id(y): x for x, y in pairs}
-        for x, y in pairs:
-            at = 0
-            for c in y.children():
-                if (mate := partner.get(id(c))) is None:
-                    x[2].insert(at, bare(c))
-                else:
-                    while x[2][at] is not mate:
-                        at += 1
-                at += 1
+def grown(out: list | None, tree: Tree) -> list:
+    """The skeleton `out` with the nodes that another tree adds."""
+    if out is None:
+        return bare(tree)
+    pairs = matching(out, tree)
+    partner = {id(y): x for x, y in pairs}
+    for x, y in pairs:
+        at = 0
+        for c in y.children():
+            if (mate := partner.get(id(c))) is None:
+                x[2].insert(at, bare(c))
+            else:
+                while x[2][at] is not mate:
+                    at += 1
+            at += 1
+    return out
+
+
+def skeleton(trees) -> list:
+    """The first of some trees with the nodes that the others add."""
+    out = None
+    for tree in trees:
+        out = grown(out, tree)
     return out
 
 
@@ -299,8 +328,97 @@ def unpacked(text: str) -> list:
     return top[0]
 
 
+def outline(root: Node) -> str:
+    """A page's tree, as `packed` gives one, without what is no content wherever it stands."""
+    out, left = [], [root]
+    while left:
+        n = left.pop()
+        apart = n.tag in DROPPED or n.attrs and _apart(n, True) and _apart(n, False)
+        kids = [] if apart else n.children()
+        out.append([n.label, 0 if apart else n.key(), len(kids)])
+        left += reversed(kids)
+    return json.dumps(out)
+
+
+def places(nodes: list):
+    """Of the nodes of a packed tree, the hashes of the place above (0 at the root), of the place (labels from the root down), and of place and text, 0 without text."""
+    above = [[0, 1]]
+    for label, key, many in nodes:
+        while not above[-1][1]:
+            above.pop()
+        above[-1][1] -= 1
+        over = above[-1][0]
+        place = xxhash.xxh3_64_intdigest(label, seed=over)
+        above.append([place, many])
+        yield over, place, xxhash.xxh3_64_intdigest(key.to_bytes(8, "little"), seed=place) if key else 0
+
+
+def reduced(nodes: list, held: set[int]) -> str:
+    """A packed tree less the places that are not in `held`, and the texts that are not in their places."""
+    out: list = []
+    above = [[None, 1]]
+    for (label, key, many), (_, place, there) in zip(nodes, places(nodes)):
+        while not above[-1][1]:
+            above.pop()
+        above[-1][1] -= 1
+        node = None
+        if place in held:  # so is what it lies below
+            node = [label, key if there in held else 0, 0]
+            out.append(node)
+            if above[-1][0]:
+                above[-1][0][2] += 1
+        above.append([node, many])
+    return json.dumps(out)
+
+
+def grounded(text: str) -> Tree | None:
+    """A packed tree; None without nodes."""
+    top: list[Tree] = []
+    above, deepest = [[top, 1]], 0
+    for label, key, many in json.loads(text):
+        while not above[-1][1]:
+            above.pop()
+        above[-1][1] -= 1
+        above[-1][0].append(node := Tree(label, key))
+        above.append([node.below, many])
+        deepest = max(deepest, len(above))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000 + 4 * deepest))
+    return top[0] if top else None
+
+
+class Held:
+    """Of each place, and of each text in a place: what it is in, whether it is a text, the number of pages that have it, `SUPPORT` contents at most (more decide nothing)."""
+
+    def __init__(self):
+        self.rows: dict[int, list] = {}
+
+    def add(self, nodes: list, content: int):
+        here: dict[int, tuple[int, bool]] = {}
+        for over, place, there in places(nodes):
+            here[place] = over, False
+            if there:
+                here[there] = place, True
+        for k, (over, is_text) in here.items():
+            row = self.rows.get(k)
+            if row is None:
+                row = self.rows[k] = [over, is_text, 0, set()]
+            row[2] += 1
+            if len(row[3]) < SUPPORT:
+                row[3].add(content)
+
+
+def along(texts: dict[int, int], parents: dict[int, int]) -> set[int]:
+    """Texts (by the places they are in), their places, and the places above these."""
+    out = set(texts)
+    for p in texts.values():
+        while p and p not in out:
+            out.add(p)
+            p = parents.get(p, 0)
+    return out
+
+
 class Counts:
-    """Of one host's pages: the nodes of its skeleton that some page contradicts, and contents that confirm the others."""
+    """Of one host's trees: the nodes of its skeleton that some tree contradicts, and contents that confirm the others."""
 
     def __init__(self, tree: list):
         self.tree = tree
@@ -308,10 +426,8 @@ class Counts:
         self.bad: set[int] = set()
         self.contents: dict[int, set[int]] = {}
 
-    def add(self, page: str):
-        root = parse(page)
-        content = None
-        for w, n in matching(self.tree, root):
+    def add(self, tree: Tree, contents):
+        for w, n in matching(self.tree, tree):
             k = self.number.get(id(w))
             if k is None or k in self.bad:
                 continue
@@ -319,32 +435,35 @@ class Counts:
                 self.bad.add(k)
                 self.contents.pop(k, None)
             elif len(found := self.contents.setdefault(k, set())) < SUPPORT:  # more decide nothing
-                if content is None:
-                    content = xxhash.xxh3_64_intdigest(main_text(root, set())) - (1 << 63)
-                found.add(content)
+                found.update(contents)
 
 
 def template(tree: list, good: set[int]) -> str | None:
-    """The wrapper: the skeleton as JSON with the hashes of template texts only; None without template text that could be content."""
-    at = -1
-    some = False
+    """The wrapper: the skeleton as JSON with the hashes of template texts only; None without any."""
+    return json.dumps([[n[0], n[1] if k in good else 0, len(n[2])] for k, n in enumerate(_nodes(tree))]) if good else None
 
-    def mark(w: list, dropped: bool) -> list:
-        nonlocal at, some
-        at += 1
-        is_template = at in good
-        some |= is_template and not dropped
-        return [w[0], w[1] if is_template else 0, [mark(c, dropped or c[0].split(" ", 1)[0] in DROPPED) for c in w[2]]]
 
-    out = mark(tree, False)
-    return packed(out) if some else None
+def content_of(root: Node) -> int:
+    return xxhash.xxh3_64_intdigest(main_text(root, set())) - (1 << 63)
 
 
 def induce(pages: list[str]) -> str | None:
-    """The wrapper of same-host pages, all in memory."""
-    counts = Counts(skeleton(pages))
-    for page in pages:
-        counts.add(page)
+    """The wrapper of same-host pages, all in memory and one slot."""
+    held, trees = Held(), []
+    for page in sorted(pages, key=xxhash.xxh3_64_intdigest):
+        root = parse(page)
+        trees.append((json.loads(outline(root)), content_of(root)))
+        held.add(*trees[-1])
+    enough = {k: row for k, row in held.rows.items() if len(row[3]) >= SUPPORT}
+    parents = {k: row[0] for k, row in enough.items() if not row[1]}
+    texts = {k: row[0] for k, row in enough.items() if row[1] and row[2] == enough[row[0]][2]}
+    if not texts:
+        return None
+    use = along(texts, parents)
+    small = [(grounded(reduced(nodes, use)), content) for nodes, content in trees]
+    counts = Counts(skeleton(t for t, _ in small))
+    for tree, content in small:
+        counts.add(tree, [content])
     return template(counts.tree, {k for k, found in counts.contents.items() if len(found) >= SUPPORT})
 
 
@@ -433,61 +552,109 @@ def host_of(url: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _keep(batches):
-    """The least page of each (host, slot) of a task, and how many pages it stands for."""
-    held: dict[tuple[str, int], tuple[int, str, int]] = {}
+def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+
+
+def _outlines(batches):
+    """The trees of pages. Within a task, pages that are the same byte for byte give one."""
+    seen: set[tuple[str, int]] = set()
+    for batch in batches:
+        for part in chunks(batch, "html"):
+            rows = []
+            for host, page in zip(column(part, "host").to_pylist(), column(part, "html").to_pylist()):
+                k = xxhash.xxh3_64_intdigest(page)
+                if (host, k) in seen:
+                    continue
+                seen.add((host, k))
+                root = parse(page)
+                rows.append((host, k - (1 << 63), content_of(root), outline(root)))
+            yield _batch(rows, host=pa.string(), hash=pa.int64(), content=pa.int64(), tree=pa.string())
+        if len(seen) > 1 << 17:
+            seen = set()
+
+
+def _held(batches):
+    """Of the trees of a task, by host: `Held`, a row for each content."""
+    hosts: dict[str, Held] = {}
+    kinds = {"host": pa.string(), "key": pa.int64(), "above": pa.int64(), "is_text": pa.bool_(), "n": pa.int64(), "content": pa.int64()}
 
     def out():
-        rows = [(h, s, k - (1 << 63), p, n) for (h, s), (k, p, n) in held.items()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64()))], names=["host", "slot", "hash", "html", "n"])
+        for host, h in hosts.items():
+            rows = ((k, row, i, c) for k, row in h.rows.items() for i, c in enumerate(row[3]))
+            yield _batch([(host, k - (1 << 63), row[0] - (1 << 63), row[1], 0 if i else row[2], c) for k, row, i, c in rows], **kinds)
 
-    size = 0
     for batch in batches:
-        for host, page in zip(column(batch, "host").to_pylist(), column(batch, "html").to_pylist()):
-            k = xxhash.xxh3_64_intdigest(page)
-            key = (host, k % SLOTS)
-            least = held.get(key)
-            if least is None or k < least[0]:
-                size += len(page)
-                held[key] = (k, page, least[2] + 1 if least else 1)
-            else:
-                held[key] = (*least[:2], least[2] + 1)
-        if size > 32 << 20:
-            yield out()
-            held, size = {}, 0
-    if held:
-        yield out()
+        for host, content, tree in zip(*(column(batch, c).to_pylist() for c in ("host", "content", "tree"))):
+            hosts.setdefault(host, Held()).add(json.loads(tree), content)
+        if sum(len(h.rows) for h in hosts.values()) > 1 << 18:
+            yield from out()
+            hosts = {}
+    yield from out()
+
+
+def _slots(batches, *names: str):
+    """The rows of each (host, slot), which come in order, one after another: `first` is whether a row begins one."""
+    now = None
+    for batch in batches:
+        for host, slot, *row in zip(*(column(batch, c).to_pylist() for c in ("host", "slot", *names))):
+            yield (host, slot) != now, host, slot, *row
+            now = host, slot
+
+
+_MERGED = {"host": pa.string(), "slot": pa.int32(), "whole": pa.bool_(), "tree": pa.string(), "contents": pa.list_(pa.int64())}
+
+
+def _merge(batches):
+    """Of each slot: its skeleton (`whole`), and its different trees with contents, `SUPPORT` at most. A slot's texts and places, with what they are in, come before its trees."""
+    at, texts, parents, use, trees = None, {}, {}, None, {}
+
+    def out():
+        rows = [(*at, False, t, sorted(c)) for t, c in trees.items()]
+        if rows:
+            yield _batch([*rows, (*at, True, packed(skeleton(map(grounded, trees))), None)], **_MERGED)
+
+    for first, host, slot, k, content, is_text, tree in _slots(batches, "hash", "content", "is_text", "tree"):
+        if first:
+            yield from out()
+            at, texts, parents, use, trees = (host, slot), {}, {}, None, {}
+        if tree is None:
+            (texts if is_text else parents)[k + (1 << 63)] = content + (1 << 63)
+            continue
+        if use is None:
+            use = along(texts, parents)
+        if len(found := trees.setdefault(reduced(json.loads(tree), use), set())) < SUPPORT:
+            found.add(content)
+    yield from out()
 
 
 def _skeleton(t: pa.Table) -> pa.Table:
-    found = []
-    if sum(t["n"].to_pylist()) >= SUPPORT:
-        found = [(t["host"][0].as_py(), packed(skeleton([p for _, p in sorted(zip(t["hash"].to_pylist(), t["html"].to_pylist()))])))]
-    return pa.table({"host": pa.array([h for h, _ in found], pa.string()), "skeleton": pa.array([x for _, x in found], pa.string())})
+    """The skeleton of a host: those of its slots, merged."""
+    parts = [x for _, x in sorted(zip(t["slot"].to_pylist(), t["tree"].to_pylist()))]
+    return pa.table({"host": [t["host"][0].as_py()], "skeleton": [parts[0] if len(parts) == 1 else packed(skeleton(map(grounded, parts)))]})
 
 
 def _count(batches):
-    """Of the pages of a task: by host and node, whether a page contradicts, and contents that confirm, `SUPPORT` at most."""
-    hosts: dict[str, Counts] = {}
+    """Of each slot, by node: whether a tree contradicts, and contents that confirm, `SUPPORT` at most. A slot's skeleton comes before its trees."""
+    at, skeleton, trees = None, None, {}
 
     def out():
-        rows = [(h, k, k in c.bad, sorted(c.contents.get(k, ()))) for h, c in hosts.items() for k in sorted(c.bad | c.contents.keys())]
-        kinds = (pa.string(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["host", "node", "bad", "contents"])
-
-    size = 0
-    for batch in batches:
-        for part in chunks(batch, "html"):
-            for host, page, tree in zip(*(column(part, c).to_pylist() for c in ("host", "html", "skeleton"))):
-                if host not in hosts:
-                    hosts[host] = Counts(unpacked(tree))
-                    size += len(tree)
-                hosts[host].add(page)
-        if size > 8 << 20:
-            yield out()
-            hosts, size = {}, 0
-    if hosts:
-        yield out()
+        if not trees:
+            return
+        counts = Counts(unpacked(skeleton))
+        for tree, contents in trees.items():
+            counts.add(grounded(tree), contents)
+        yield _batch([(at, k, k in counts.bad, sorted(counts.contents.get(k, ()))[:SUPPORT]) for k in sorted(counts.bad | counts.contents.keys())], host=pa.string(), node=pa.int32(), bad=pa.bool_(), contents=pa.list_(pa.int64()))
+
+    for first, host, _, whole, tree, contents in _slots(batches, "whole", "tree", "contents"):
+        if first:
+            yield from out()
+            at, trees = host, {}
+        if whole:
+            skeleton = tree
+        elif len(found := trees.setdefault(tree, set())) < SUPPORT:
+            found.update(contents)
+    yield from out()
 
 
 def _finish(batches):
@@ -506,10 +673,29 @@ def _met(pages: DataFrame, found: DataFrame, text: str, how: str) -> DataFrame:
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper of the hosts whose pages share template text; `pages` has host and html."""
     pages = pages.filter("html <> ''").select("host", "html")
-    kept = pages.mapInArrow(_keep, "host string, slot int, hash long, html string, n long")
-    least = kept.groupBy("host", "slot").agg(F.min(F.struct("hash", "html")).alias("x"), F.sum("n").alias("n")).select("host", "x.hash", "x.html", "n")
-    skeletons = stored(least.groupBy("host").applyInArrow(_skeleton, "host string, skeleton string"), "skeletons")
-    counts = _met(pages, skeletons, "skeleton", "inner").mapInArrow(_count, "host string, node int, bad boolean, contents array<long>")
+    trees = stored(pages.mapInArrow(lean(_outlines), "host string, hash long, content long, tree string"), "trees")
+    kinds = "host string, key long, above long, is_text boolean, n long, content long"
+    held = trees.mapInArrow(lean(_held), kinds).repartition("host", "key").groupBy("host", "key", "above", "is_text")
+    held = held.agg(F.sum("n").alias("n"), F.count_distinct("content").alias("contents")).filter(F.col("contents") >= SUPPORT)
+    held = stored(held.drop("contents"), "held")
+    places = held.filter("not is_text")
+    met = places.select("host", F.col("key").alias("above"), F.col("n").alias("pages"))
+    texts = stored(held.filter("is_text").join(met, ["host", "above"]).filter("n = pages").select("host", "key", "above", "is_text"), "texts")
+    slots = trees.join(texts.select("host").distinct(), "host", "left_semi").groupBy("host").agg(F.least(F.ceil(F.count_distinct("hash") / SLOT_PAGES), F.lit(SLOTS)).cast("int").alias("slots"))
+    slots = stored(slots, "slots")
+    heads = texts.unionByName(places.select(*texts.columns)).join(slots, "host")
+    heads = heads.select("host", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.col("key").alias("hash"), F.col("above").alias("content"), "is_text", F.lit(None).cast("string").alias("tree"))
+    dealt = trees.join(slots, "host").select("host", F.pmod("hash", "slots").cast("int").alias("slot"), "hash", "content", F.lit(None).cast("boolean").alias("is_text"), "tree")
+    dealt = heads.unionByName(dealt)
+    parts = pieces(trees, 1 << 20, 32)  # of few bytes, but much work each
+    dealt = dealt.repartition(parts, "host", "slot").sortWithinPartitions("host", "slot", F.col("tree").isNotNull(), "hash")
+    merged = stored(dealt.mapInArrow(lean(_merge), "host string, slot int, whole boolean, tree string, contents array<long>"), "merged")
+    skeletons = stored(merged.filter("whole").groupBy("host").applyInArrow(_skeleton, "host string, skeleton string"), "skeletons")
+    # now equal trees of a host come to one slot
+    heads = skeletons.join(slots, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(True).alias("whole"), F.col("skeleton").alias("tree"), F.lit(None).cast("array<long>").alias("contents"))
+    dealt = merged.filter("not whole").join(slots, "host").withColumn("slot", F.pmod(F.xxhash64("tree"), "slots").cast("int")).select(*merged.columns)
+    dealt = heads.unionByName(dealt).repartition(parts, "host", "slot").sortWithinPartitions("host", "slot", F.col("whole").desc())
+    counts = dealt.mapInArrow(lean(_count), "host string, node int, bad boolean, contents array<long>")
     nodes = counts.groupBy("host", "node").agg(F.max("bad").alias("bad"), F.array_distinct(F.flatten(F.collect_set("contents"))).alias("contents"))
     good = nodes.filter(~F.col("bad") & (F.size("contents") >= SUPPORT)).groupBy("host").agg(F.collect_list("node").alias("nodes"))
     return skeletons.join(good, "host").select("host", "skeleton", "nodes").mapInArrow(_finish, "host string, wrapper string")
