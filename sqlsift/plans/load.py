@@ -10,6 +10,7 @@ a file that is read again replaces its own share. With `hours="replace"` the tot
 
 from __future__ import annotations
 
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -59,11 +60,11 @@ class _Load:
             self.counts[count] = self.sizes[name]
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def commit(self, base: Version, found: dict[str, DataFrame], batch: tuple[str, int] | None, replaced: DataFrame | None = None, again=None) -> Version | None:
+    def commit(self, base: Version, found: dict[str, DataFrame], batch: tuple[str, int] | None, replaced: DataFrame | None = None, again=None, waiting: Table | None = None) -> Version | None:
         """The version with `found`; None if what another load committed meanwhile makes this one void (`again` says so)."""
         for attempt in range(100):
             made = self.merged(base, found, replaced, f"{self.id}-{attempt}")
-            if self.store.commit(base, made, self.counts, batch):
+            if self.store.commit(base, made, self.counts, batch, waiting):
                 self.store._fs.delete(self.store._path(f"staging/{self.id}"), True)
                 return self.store.version(base.number + 1)
             base = self.store.version()
@@ -173,17 +174,41 @@ def load_path(spark: SparkSession, path: str, root: str, source_name: str = "",
     return load(spark, logs.read_logs(spark, path, range_bytes, names), root, source_name, source_url, hours)
 
 
-def load_batch(spark: SparkSession, rows: DataFrame, root: str, stream: str, batch: int, source_name: str = "", source_url: str = "") -> dict[str, int]:
-    """Takes a batch of parsed, paired entries of a stream; one that was committed before changes nothing and counts nothing."""
+def _paired(load: _Load, rows: DataFrame, waiting: Table | None, by_file: bool, wait_hours: float) -> tuple[DataFrame, Table]:
+    """The parsed entries of a batch, holds with their durations, and the holds that no duration followed yet: these of the batch and of `waiting`, what the batches before left."""
+    store, folder, now = load.store, f"data/open/{load.id}", int(time.time() * 1000)
+    path, columns = f"{store.root}/staging/{load.id}/arrived", rows.columns
+    rows = rows.withColumn("kind", logs.kind())
+    _, whole = observed(rows, path, same=F.col("kind") == "whole")
+    rows = load.spark.read.schema(rows.schema).parquet(path)
+    met = rows.withColumn("until", F.lit(now + int(wait_hours * 3_600_000))).withColumn("age", F.lit(1))
+    if waiting is not None:
+        met = met.unionByName(store.read(waiting).withColumn("kind", F.lit("hold")).withColumn("age", F.lit(0)))
+    holds = logs.followed(met, [*(["file"] if by_file else ["pid"]), "remote_host", "user", "database", "severity"], 64 << 20, "age")
+    holds = holds.filter(f"next.kind = 'duration' or next is null and (age = 1 or until > {now})").withColumn("bucket", F.when(F.col("next").isNull(), "open").otherwise("paired"))
+    holds = logs.with_next(holds, [*columns, "until", "bucket"])
+    n, pairs = observed(holds, f"{store.root}/{folder}", "bucket", same=F.col("bucket") == "paired", spread=False)
+    load.counts["entries"] = whole + pairs
+    made = lambda b, rows: Table(holds.drop("bucket").schema.json(), folders={b: [f"{folder}/bucket={b}"]} if rows else {}, rows={b: rows})
+    return rows.filter("kind = 'whole'").drop("kind").unionByName(store.read(made("paired", pairs)).drop("until")), made("open", n - pairs)
+
+
+def load_batch(spark: SparkSession, rows: DataFrame, root: str, stream: str, batch: int, source_name: str = "", source_url: str = "", by_file: bool = True, wait_hours: float = 24) -> dict[str, int]:
+    """Takes a batch of parsed entries of a stream; one that was committed before changes nothing and counts nothing.
+
+    Statements whose durations have not come are kept with the version, and paired in the batch in which these come: so they are as the store's tables are, whatever
+    batch is run again. `by_file`: a client is one within a file, else a duration may come in a later file than its statement (of one client and process). Of a batch,
+    entries are taken in the order of files and places. A statement that waits for more than `wait_hours` is let go after a batch.
+    """
     this = _Load(spark, root)
     base = this.store.version()
     if base.batches.get(stream, -1) >= batch:
-        rows.write.format("noop").mode("append").save()  # read all the same: the stream's state moves on as its rows are read
         return {}
-    rows = this.staged(rows, "entries", "entries")
+    rows, waiting = _paired(this, rows, base.open.get(stream), by_file, wait_hours)
     runs = this.staged(logs.executions(logs.entries(rows)), "runs", "executions")
     found = _found(this, base, runs, logs.quarantined(rows), source_name, source_url, F.concat(F.lit(f"{stream}#{batch}#"), "file"), "add")
-    committed = this.commit(base, found, (stream, batch), None, lambda now: now.batches.get(stream, -1) >= batch)
+    committed = this.commit(base, found, (stream, batch), None, lambda now: now.batches.get(stream, -1) >= batch, waiting)
+    this.store._fs.delete(this.store._path(f"data/open/{this.id}" + ("/bucket=paired" if committed else "")), True)
     return this.counts if committed else {}
 
 

@@ -135,13 +135,13 @@ def _shared_hours(s: SparkSession, d: str) -> DataFrame:
 
 
 def _streamed(s: SparkSession, d: str) -> DataFrame:
-    """Statements arrive in one batch of a stream, their durations in the next; each batch is committed to the store."""
+    """Statements arrive in one batch of a stream, a file a day, their durations in the next; each batch is committed to the store."""
     root, folder, state = shared_dir(s, "streamed"), shared_dir(s, "streamed-log"), shared_dir(s, "streamed-state")
     lines = _log(s, d).withColumn("line", F.regexp_replace("line", "10.0.0.1", F.concat(F.lit("10.0.0.1_"), F.col("at"))))
     head, took, said = (F.regexp_extract("line", r"^(.*?)(duration: \S+ ms)  (statement: .*)$", k) for k in (1, 2, 3))
-    for file, text in ((0, F.concat(head, said)), (1, F.concat(head, took))):
-        _written(lines.select(F.lit(file).alias("file"), "at", text.alias("line")), f"{folder}/{file}")
-        query = sessions.into_store(sessions.watch(s, folder, settle_seconds=0), root, state, "streamed", by_file=False)
+    for part, text in ((0, F.concat(head, said)), (1, F.concat(head, took))):
+        _written(lines.select(F.col("day").alias("file"), "at", text.alias("line")), f"{folder}/{part}")
+        query = sessions.into_store(sessions.watch(s, folder, settle_seconds=0, range_bytes=4 << 20), root, state, "streamed", by_file=False)
         query.awaitTermination()
     return s.sql(_HOURS, **load.tables(s, root))
 

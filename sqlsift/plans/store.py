@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,17 +35,17 @@ def folder_of(path):
     return F.substring_index(F.substring_index(path, "/", -5), "/", 4)
 
 
-def observed(rows: DataFrame, path: str, *by: str, same: str | None = None) -> tuple[int, int]:
-    """Writes rows; how many there are and how many of them are `same`, counted by the write."""
+def observed(rows: DataFrame, path: str, *by: str, same: str | Column | None = None, spread: bool = True) -> tuple[int, int]:
+    """Writes rows, in folders `by` columns, dealt by these anew unless not `spread`; how many there are and how many of them are `same`, counted by the write."""
     seen = Observation()
-    aggregates = F.count(F.lit(1)).alias("n"), F.count_if(same).alias("same") if same else F.lit(0).alias("same")
-    out = rows.observe(seen, *aggregates) if same else rows.observe(seen, aggregates[0])
-    (out.hint("rebalance", *by).write.partitionBy(*by) if by else out.write).parquet(path)
+    aggregates = F.count(F.lit(1)).alias("n"), F.lit(0).alias("same") if same is None else F.count_if(same).alias("same")
+    out = rows.observe(seen, aggregates[0]) if same is None else rows.observe(seen, *aggregates)
+    (out.hint("rebalance", *by) if by and spread else out).write.partitionBy(*by).parquet(path)
     try:
         found = seen.get
     except Py4JJavaError:  # a plan that is found to be empty loses its metrics
         found = rows.sparkSession.read.schema(rows.schema).parquet(path).agg(*aggregates).first()
-    return found["n"], found["same"] if same else 0
+    return found["n"], 0 if same is None else found["same"]
 
 
 @dataclass
@@ -66,6 +66,7 @@ class Version:
     batches: dict[str, int] = field(default_factory=dict)
     counts: dict[str, int] = field(default_factory=dict)
     at: float = 0.0
+    open: dict[str, Table] = field(default_factory=dict)  # by stream, statements that wait for their durations
 
 
 class Store:
@@ -99,11 +100,12 @@ class Store:
             found = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return Version(number, {k: Table(**t) for k, t in found["tables"].items()}, found["batches"], found["counts"], found["at"])
+        return Version(number, {k: Table(**t) for k, t in found["tables"].items()}, found["batches"], found["counts"], found["at"], {k: Table(**t) for k, t in found.get("open", {}).items()})
 
-    def commit(self, base: Version, tables: dict[str, Table], counts: dict[str, int], batch: tuple[str, int] | None = None) -> bool:
-        """Makes `tables` the version after `base`; False if another load was first."""
-        made = {"tables": {k: vars(t) for k, t in {**base.tables, **tables}.items()}, "batches": {**base.batches, **({batch[0]: batch[1]} if batch else {})}, "counts": counts, "at": time.time()}
+    def commit(self, base: Version, tables: dict[str, Table], counts: dict[str, int], batch: tuple[str, int] | None = None, waiting: Table | None = None) -> bool:
+        """Makes `tables` the version after `base`, and `waiting` what is open of the batch's stream; False if another load was first."""
+        waits = {**base.open, **({batch[0]: waiting} if batch and waiting else {})}
+        made = {"tables": {k: vars(t) for k, t in {**base.tables, **tables}.items()}, "batches": {**base.batches, **({batch[0]: batch[1]} if batch else {})}, "counts": counts, "at": time.time(), "open": {k: vars(t) for k, t in waits.items()}}
         self._fs.mkdirs(self._path("manifests"))
         aside, name = self._path(f"manifests/.{uuid.uuid4().hex}"), self._path(f"manifests/{base.number + 1:012}.json")
         stream = self._fs.create(aside, False)
@@ -245,7 +247,7 @@ class Store:
         """Removes all versions but the last `keep`, and folders that none of these names and that are `older` (seconds) than now: loads under way may still name them. How many folders went."""
         for n in self.numbers()[:-keep]:
             self._fs.delete(self._path(f"manifests/{n:012}.json"), False)
-        named = {f for n in self.numbers() for t in self.version(n).tables.values() for folders in t.folders.values() for f in folders}
+        named = {f for n in self.numbers() for v in [self.version(n)] for t in [*v.tables.values(), *v.open.values()] for folders in t.folders.values() for f in folders}
         went, now = 0, time.time()
         old = lambda f: now - self._fs.getFileStatus(self._path(f)).getModificationTime() / 1000 >= older
         for top in ("data", "staging"):

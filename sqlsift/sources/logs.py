@@ -105,32 +105,44 @@ def quarantined(files: DataFrame) -> DataFrame:
     return rows.filter(~F.col("fits") | _executed() & (_zone().isNull() | _local_time().isNull())).select("file", "entry_no", "entry")
 
 
-def paired(rows: DataFrame, strict_session: bool = False, span: int = 64 << 20) -> DataFrame:
-    """Fills the duration of an entry that came without one from the next duration-only entry of its client.
+def kind():
+    """What pairing takes an entry for: a statement that waits for its duration (hold), a duration alone, or whole."""
+    hold = (F.col("severity") == "LOG") & (F.col("duration_lit") == "") & (F.col("query") != "")
+    alone = (F.col("query") == "") & (F.col("duration_lit") != "")
+    return F.when(hold, "hold").when(alone, "duration").otherwise("whole")
 
-    The pair stands at the later position with the earlier entry's fields. A later hold replaces an earlier one.
-    `strict_session` also requires the process to be the same.
 
-    A file's entries are taken in stretches of `span` numbers (bytes, as `read_logs` counts). Within a stretch an entry sees the one
-    before it of its client; of each client and stretch only the first and the last entry are carried on and scanned in
+def followed(rows: DataFrame, client: list[str], span: int = 64 << 20, *age: str) -> DataFrame:
+    """Holds of `rows` (with `kind`) and `next`, what follows each of its client (kind, entry_no, duration_lit, duration_measure), null where nothing does.
+
+    Entries of a client are in the order of `age`, if given, file and entry_no. They are taken in stretches of `span` numbers (bytes, as `read_logs` counts) of a file.
+    Within a stretch an entry sees the one behind it of its client; of each client and stretch only the first and the last entry are carried on and scanned in
     order, so that no task holds a client's entries of a file, however many there are.
     """
-    hold = (F.col("severity") == "LOG") & (F.col("duration_lit") == "") & (F.col("query") != "")
-    alone = (F.col("query") == "") & (F.col("duration_lit") != "")
-    kind = F.when(hold, "hold").when(alone, "duration").otherwise("whole")
-    rows = rows.withColumn("kind", kind)
-    client = ["file", "remote_host", "user", "database", "severity"] + ["pid"] * strict_session
-    kept = [c for c in rows.columns if c not in ("kind", "entry_no", "duration_lit", "duration_measure")]
-    before = F.lag(F.struct("kind", *kept))
-    stretch = F.floor(F.col("entry_no") / span)
-    within = Window.partitionBy(*client, "stretch").orderBy("entry_no")
-    seen = rows.filter("kind <> 'whole'").withColumn("stretch", stretch).withColumn("before", before.over(within)).withColumn("last", F.lead("kind").over(within).isNull())
+    after = F.lead(F.struct("kind", "entry_no", "duration_lit", "duration_measure"))
+    within = Window.partitionBy(*dict.fromkeys([*client, *age, "file", "stretch"])).orderBy("entry_no")
+    seen = rows.filter("kind <> 'whole'").withColumn("stretch", F.floor(F.col("entry_no") / span)).withColumn("next", after.over(within)).withColumn("first", F.lag("kind").over(within).isNull())
     # the ends of all stretches of a client are one group, what stands between them stays with its stretch
-    group = F.when(F.col("before").isNull() | F.col("last"), F.lit(-1)).otherwise(F.col("stretch"))
-    carried = Window.partitionBy(*client, "group").orderBy("entry_no")
-    met = seen.withColumn("group", group).withColumn("carried", before.over(carried)).withColumn("before", F.coalesce("before", "carried")).filter("kind = 'duration' and before.kind = 'hold'")
-    pairs = met.select("entry_no", "duration_lit", "duration_measure", *[F.col(f"before.{c}").alias(c) for c in kept])
-    return rows.filter("kind = 'whole'").drop("kind").unionByName(pairs)
+    group = F.when(F.col("first") | F.col("next").isNull(), F.lit(-1)).otherwise(F.col("stretch"))
+    carried = Window.partitionBy(*client, "group").orderBy(*age, "file", "entry_no")
+    met = seen.withColumn("group", group).withColumn("carried", after.over(carried)).withColumn("next", F.coalesce("next", "carried"))
+    return met.filter("kind = 'hold'").select(*rows.columns, "next")
+
+
+def with_next(holds: DataFrame, columns: list[str]) -> DataFrame:
+    """Holds at the place and with the duration of their `next`; one without it stays as it is."""
+    return holds.select(*[F.coalesce(f"next.{c}", c).alias(c) if c in ("entry_no", "duration_lit", "duration_measure") else c for c in columns])
+
+
+def paired(rows: DataFrame, strict_session: bool = False, span: int = 64 << 20) -> DataFrame:
+    """Fills the duration of an entry that came without one from the next duration-only entry of its client (see `followed`).
+
+    The pair stands at the later position with the earlier entry's fields. A later hold replaces an earlier one.
+    `strict_session` also requires the process to be the same.
+    """
+    columns, rows = rows.columns, rows.withColumn("kind", kind())
+    holds = followed(rows, ["file", "remote_host", "user", "database", "severity"] + ["pid"] * strict_session, span)
+    return rows.filter("kind = 'whole'").drop("kind").unionByName(with_next(holds.filter("next.kind = 'duration'"), columns))
 
 
 def microseconds(amount, unit):

@@ -1,8 +1,8 @@
 """Log entries as they arrive: statements paired with durations that come later, and batches taken into the stored star schema.
 
-A statement without a duration is kept as state of its client until the client's next such entry, whether that comes in the same
-batch, a later one or after a restart; a timer lets go of those that wait too long. Clients share states by groups of their hash (`GROUPS`), as a state costs calls between processes. Each batch is committed to the store with its number,
-so one that is run again after a failure changes nothing.
+A statement without a duration is kept until the client's next such entry, whether that comes in the same batch, a later one or after a restart, and let go
+if it waits too long: by `into_store` as a row of the store, by `paired`, for other sinks, as state of the query. There clients share states by groups of their hash
+(`GROUPS`), as a state costs calls between processes. Each batch is committed to the store with its number and the statements that wait, so one that is run again after a failure changes nothing.
 """
 
 from __future__ import annotations
@@ -99,10 +99,13 @@ def paired(rows: DataFrame, by_file: bool = True, wait_hours: float = 24) -> Dat
     return rows.filter(~waits).unionByName(pairs)
 
 
-def into_store(entries: DataFrame, root: str, checkpoint: str, name: str, source_name: str = "", source_url: str = "", by_file: bool = True, **trigger) -> StreamingQuery:
-    """Starts a query that takes entries (of `watch`) into the star schema at `root`, a commit for each batch. `name` is the stream's in the store: one for each checkpoint."""
+def into_store(entries: DataFrame, root: str, checkpoint: str, name: str, source_name: str = "", source_url: str = "", by_file: bool = True, wait_hours: float = 24, **trigger) -> StreamingQuery:
+    """Starts a query that takes entries (of `watch`) into the star schema at `root`, a commit for each batch. `name` is the stream's in the store: one for each checkpoint.
+
+    Statements that wait for durations are kept in the store (`load.load_batch`), not as state of the query: they are read, paired and written as tables, and the log is parsed once.
+    """
 
     def take(batch: DataFrame, number: int) -> None:
-        load.load_batch(batch.sparkSession, batch, root, name, number, source_name, source_url)
+        load.load_batch(batch.sparkSession, batch, root, name, number, source_name, source_url, by_file, wait_hours)
 
-    return paired(logs.parsed(entries), by_file).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+    return logs.parsed(entries).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()

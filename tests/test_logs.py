@@ -77,3 +77,22 @@ def test_registered_queries_read_their_log_once(spark):
     for name in ("log_pairing", "log_sessions", "log_roundtrip"):
         found = queries()[name](spark, "/root/testdata/sf0.001")
         assert "server_logs" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1000, name
+
+
+def test_followed_by_brute_force(spark):
+    import random
+
+    from sqlsift.sources.logs import followed
+
+    deal = random.Random(7)
+    rows = [(age, f"f{file}", no, f"u{deal.randrange(4)}", "hold" if not age else deal.choice(["hold", "duration", "whole"]), str(deal.randrange(99))) for age in (0, 1) for file in range(3) for no in deal.sample(range(300), 40)]
+    want, last = [], {}
+    for age, file, no, who, kind, lit in sorted(rows, reverse=True):
+        if kind == "hold":
+            want.append((age, file, no, last.get(who)))
+        if kind != "whole":
+            last[who] = (kind, no, lit)
+    df = spark.createDataFrame(rows, "age int, file string, entry_no long, user string, kind string, duration_lit string").withColumn("duration_measure", F.lit("ms"))
+    for span in (1, 7, 64, 1 << 26):
+        got = [(r.age, r.file, r.entry_no, r.next and (r.next.kind, r.next.entry_no, r.next.duration_lit)) for r in followed(df, ["user"], span, "age").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), span

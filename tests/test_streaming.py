@@ -112,3 +112,59 @@ def test_clients_of_one_group_keep_apart(spark, tmp_path, monkeypatch):
     assert got == [(p, f"select a from t{k}", str(k)) for k, p in enumerate(people) if k % 3]
     got = step("c.log", "".join(took("10:00:02", p, 100 + k) for k, p in enumerate(people)))
     assert [x for x in got if int(x[2]) >= 100] == [(p, f"select a from t{k}", str(100 + k)) for k, p in enumerate(people) if not k % 3]
+
+
+def test_waiting_statements_are_rows_of_the_store(spark, tmp_path):
+    from sqlsift.plans import load
+    from sqlsift.plans.store import Store
+    from sqlsift.streaming import sessions
+
+    folder, root = tmp_path / "logs", str(tmp_path / "star")
+    folder.mkdir()
+
+    def step(name, text, wait=24):
+        (folder / name).write_text(text)
+        q = sessions.into_store(sessions.watch(spark, str(folder), settle_seconds=0), root, str(tmp_path / "state"), "s", by_file=False, wait_hours=wait)
+        q.awaitTermination(300)
+        assert all(not p["stateOperators"] for p in q.recentProgress) and len(q.recentProgress) == 1
+        store = Store(spark, root)
+        waiting = store.read(store.version().open["s"])
+        return sorted((r.user, r.query.split("\n")[0]) for r in waiting.collect()), [r.total_duration_us for r in load.tables(spark, root)["queries_by_hours"].orderBy("total_duration_us").collect()]
+
+    assert step("m.log", hold("10:00:00", "ann", 1) + hold("10:00:01", "ann", 2) + hold("10:00:02", "bob", 3)) == ([("ann", "select a from t2"), ("bob", "select a from t3")], [])
+    load.expire(spark, root, keep=1, older=0.0)
+    # a file of an earlier name comes later; a second duration finds nothing
+    assert step("a.log", took("10:00:03", "ann", 5) + took("10:00:04", "ann", 6) + hold("10:00:05", "cid", 4), 0) == ([("bob", "select a from t3"), ("cid", "select a from t4")], [5000])
+    load.expire(spark, root, keep=1, older=0.0)
+    assert step("b.log", took("10:00:06", "cid", 7), 0) == ([("bob", "select a from t3")], [5000, 7000])
+    assert load.load_batch(spark, spark.createDataFrame([], "entry string"), root, "s", 2) == {}  # it was committed
+    assert step("c.log", hold("10:00:07", "bob", 5)) == ([("bob", "select a from t5")], [5000, 7000])
+    assert step("d.log", took("10:00:08", "bob", 9)) == ([], [5000, 7000, 9000])
+
+
+def test_waiting_statements_are_let_go(spark, tmp_path):
+    from sqlsift.plans.store import Store
+    from sqlsift.streaming import sessions
+
+    folder, root = tmp_path / "logs", str(tmp_path / "star")
+    folder.mkdir()
+    for name, text, left in (("a.log", hold("10:00:00", "ann", 1), ["ann"]), ("b.log", hold("10:00:01", "bob", 2), ["bob"]), ("c.log", took("10:00:02", "ann", 1), [])):
+        (folder / name).write_text(text)
+        sessions.into_store(sessions.watch(spark, str(folder), settle_seconds=0), root, str(tmp_path / "state"), "s", by_file=False, wait_hours=0).awaitTermination(300)
+        store = Store(spark, root)
+        assert [r.user for r in store.read(store.version().open["s"]).collect()] == left
+    assert store.read(store.version().tables["queries_by_hours"]).count() == 0
+
+
+def test_the_streamed_log_is_a_file_a_day(spark, monkeypatch):
+    import pytest
+
+    from sqlsift.plans import star_reports
+
+    def written(lines, path):
+        raise KeyError(lines.select("file").distinct().count())
+
+    monkeypatch.setattr(star_reports, "_written", written)
+    with pytest.raises(KeyError) as days:
+        star_reports._streamed(spark, "/root/testdata/sf0.001")
+    assert days.value.args[0] > 20
