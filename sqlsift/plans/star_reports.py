@@ -56,8 +56,8 @@ def report(spark: SparkSession, tables: dict[str, DataFrame], name: str) -> Data
     return spark.sql(REPORTS[name].replace("[g]", ""), **tables)
 
 
-def _log(s: SparkSession, d: str) -> DataFrame:
-    """A log of the events, a file a day: a join, a temporary table, a statement without tables or an update each. Its lines, with the day of each."""
+def _log_parts(s: SparkSession, d: str, host=None) -> DataFrame:
+    """day, at, head, took, said: what the lines of a log of the events are made of, a join, a temporary table, a statement without tables or an update each."""
     e = read(s, d, "events")
     t, no = F.col("event_type"), F.col("event_id")
     said = (
@@ -67,8 +67,14 @@ def _log(s: SparkSession, d: str) -> DataFrame:
         .otherwise(F.concat(F.lit("update "), t, F.lit(" set value = "), no, F.lit(" where details = 'x'")))
     )
     took = (F.round(F.col("value") * 1000).cast("long") / 1000).cast("decimal(20,3)").cast("string")
-    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC:10.0.0.1(5432):user_"), F.col("user_id"), F.lit("@db_"), no % 3, F.lit(":[42]:LOG:  duration: "), took, F.lit(" ms  statement: "), said)
-    return e.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), no.alias("at"), line.alias("line"))
+    host = F.lit("10.0.0.1") if host is None else host
+    head = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC:"), host, F.lit("(5432):user_"), F.col("user_id"), F.lit("@db_"), no % 3, F.lit(":[42]:LOG:  "))
+    return e.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), no.alias("at"), head.alias("head"), F.concat(F.lit("duration: "), took, F.lit(" ms")).alias("took"), F.concat(F.lit("statement: "), said).alias("said"))
+
+
+def _log(s: SparkSession, d: str) -> DataFrame:
+    """A log of the events, a file a day: its lines, with the day of each."""
+    return _log_parts(s, d).select("day", "at", F.concat("head", "took", F.lit("  "), "said").alias("line"))
 
 
 #: The stored tables of the log of (application, folder, events read).
@@ -137,10 +143,9 @@ def _shared_hours(s: SparkSession, d: str) -> DataFrame:
 def _streamed(s: SparkSession, d: str) -> DataFrame:
     """Statements arrive in one batch of a stream, a file a day, their durations in the next; each batch is committed to the store."""
     root, folder, state = shared_dir(s, "streamed"), shared_dir(s, "streamed-log"), shared_dir(s, "streamed-state")
-    lines = _log(s, d).withColumn("line", F.regexp_replace("line", "10.0.0.1", F.concat(F.lit("10.0.0.1_"), F.col("at"))))
-    head, took, said = (F.regexp_extract("line", r"^(.*?)(duration: \S+ ms)  (statement: .*)$", k) for k in (1, 2, 3))
-    for part, text in ((0, F.concat(head, said)), (1, F.concat(head, took))):
-        _written(lines.select(F.col("day").alias("file"), "at", text.alias("line")), f"{folder}/{part}")
+    lines = _log_parts(s, d, F.concat(F.lit("10.0.0.1_"), F.col("event_id")))
+    for part, text in enumerate(("said", "took")):
+        _written(lines.select(F.col("day").alias("file"), "at", F.concat("head", text).alias("line")), f"{folder}/{part}")
         query = sessions.into_store(sessions.watch(s, folder, settle_seconds=0, range_bytes=4 << 20), root, state, "streamed", by_file=False)
         query.awaitTermination()
     return s.sql(_HOURS, **load.tables(s, root))

@@ -168,3 +168,21 @@ def test_the_streamed_log_is_a_file_a_day(spark, monkeypatch):
     with pytest.raises(KeyError) as days:
         star_reports._streamed(spark, "/root/testdata/sf0.001")
     assert days.value.args[0] > 20
+
+
+def test_the_streamed_log_keeps_numbers_like_its_host(spark, tmp_path, monkeypatch):
+    import datetime
+
+    import pytest
+
+    from sqlsift.plans import star_reports
+
+    def written(lines, path):
+        raise KeyError([r.line for r in lines.orderBy("at").collect()])
+
+    rows = [(no, datetime.datetime(2024, 1, 1, 10), 7, "click", 1.5, "{}") for no in (3, 10203051)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(star_reports, "_written", written)
+    with pytest.raises(KeyError) as lines:
+        star_reports._streamed(spark, str(tmp_path))
+    assert [x.split("set ")[1] for x in lines.value.args[0]] == ["value = 3 where details = 'x'", "value = 10203051 where details = 'x'"]
